@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id
+from . import exact_dedup, language_id, mixing, packing
 from ._shared import WHITE, id_bucket
 
 
@@ -25,13 +25,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.to_json("shares").alias("shares"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(_documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_mixing": op6_mixing,
 }
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
 ORACLE = {
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORM} AS norm, length(coalesce(text, '')) AS n_cp FROM documents),
@@ -39,4 +51,20 @@ ORACLE = {
         f AS (SELECT norm, doc_id AS keep_id FROM k WHERE rn = 1)
         SELECT k.doc_id, f.keep_id, k.group_size, k.rn = 1 AS kept, sha256(k.norm) AS text_sha256
         FROM k JOIN f ON k.norm = f.norm""",
+    "op6_mixing": f"""
+        WITH d AS (SELECT doc_id, source, {_WORDS} AS size, coalesce(text, '') AS t FROM documents),
+        q AS (SELECT doc_id, source, size, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, length(translate(t, '{mixing.NOISE}', ''))::DOUBLE / length(t)) END AS w,
+              (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0::DOUBLE AS u FROM d),
+        k AS (SELECT doc_id, source, size, -ln(u) / w AS key FROM q),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM k GROUP BY source),
+        c AS (SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS share, 3 * source_size AS cap FROM s),
+        l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / share, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(share) OVER (ORDER BY cap::DOUBLE / share, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM c),
+        g AS (SELECT *, max(CASE WHEN cap > level * share THEN level END) OVER () AS top FROM l),
+        t AS (SELECT source, source_size, CASE WHEN cap <= level * share THEN cap::DOUBLE ELSE top * share END AS target FROM g),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+        p AS (SELECT k.*, e.source_size, e.target, e.epochs, floor(e.target + 0.5)::BIGINT - e.epochs * e.source_size AS rest,
+              coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+              FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM p""",
 }
