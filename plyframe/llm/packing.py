@@ -12,6 +12,9 @@ pieces only through how many there are of each length, a table of at most
 3. Actual lengths take the places of the rounded ones, longest first.
 4. What is left, large and small, goes best-fit into the gaps, then into new
    sequences.
+5. Sequences that still have a gap, or small pieces, are taken apart and packed
+   again best-fit where that saves sequences (rounding leaves gaps that no
+   small piece is left for).
 
 Pieces then find their sequence by their length and their rank among pieces of
 that length.  Ranks come from counts by (length, salt), so a length that a
@@ -235,7 +238,25 @@ def best_fit(runs: Runs, lengths: dict[int, int], capacity: int) -> Runs:
     return [x for g in gaps for x in g]
 
 
-def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.125, groups: int = 96) -> Runs:
+def tighten(runs: Runs, capacity: int, least: int) -> Runs:
+    """Take sequences apart and pack their pieces again best-fit where that saves
+    sequences: those with a gap, and then also those that hold small pieces,
+    which may fill gaps better elsewhere."""
+    for loose in (lambda x: sum(x) < capacity, lambda x: sum(x) < capacity or min(x) < least):
+        kept, again = [], {}
+        for items, n in runs:
+            if not loose(items):
+                kept.append((items, n))
+            else:
+                for length in items:
+                    again[length] = again.get(length, 0) + n
+        packed = kept + best_fit([], again, capacity)
+        if sum(n for _, n in packed) < sum(n for _, n in runs):
+            runs = packed
+    return runs
+
+
+def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.25, groups: int = 40) -> Runs:
     """Sequences for histogram[length] pieces of each length below capacity."""
     least = int(capacity * small_share) + 1
     grouped = linear_groups(histogram[:capacity], least, groups)
@@ -246,7 +267,7 @@ def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.125, group
         runs, rest = substitute(grouped, [(p, int(x + 1e-7)) for p, x in found if x >= 1 - 1e-7])
         for length, n in rest.items():
             lengths[length] = lengths.get(length, 0) + n
-    return best_fit(runs, lengths, capacity)
+    return tighten(best_fit(runs, lengths, capacity), capacity, least)
 
 
 def slot_table(runs: Runs, first: int) -> dict[str, np.ndarray]:
@@ -271,7 +292,7 @@ def slot_table(runs: Runs, first: int) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- on Spark
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, small_share: float = 0.125, groups: int = 96) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, small_share: float = 0.25, groups: int = 40) -> DataFrame:
     """Add sequence_id and offset to the rows of token_pieces()."""
     salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
     rows = written(pieces.withColumn("salt", salt), "packing")
