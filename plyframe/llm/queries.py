@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing
+from . import exact_dedup, language_id, line_dedup, mixing, packing, substring_dedup, warc
 from ._shared import WHITE, id_bucket
 
 
@@ -33,11 +33,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.page_records(warc.read_archives(archives, block=False))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir), with_text=False).withColumnRenamed("id", "doc_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(_documents(spark, sf_dir))
+    return found.select(F.when(F.col("doc") != substring_dedup.NO_ID, F.col("doc")).alias("doc_id"), "start", "end", "words", F.when(F.col("first_doc") != substring_dedup.NO_ID, F.col("first_doc")).alias("first_doc_id"), "is_first")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
@@ -67,4 +84,13 @@ ORACLE = {
               coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
               FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM p""",
+    "op9_line_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.doc_id, k.i, k.line, g.key IS NOT NULL AND k.doc_id <> g.top AS gone FROM k LEFT JOIN g ON k.key = g.key)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::BIGINT)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
