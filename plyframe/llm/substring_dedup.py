@@ -4,7 +4,9 @@ A gear hash rolls over the bytes of a text; where the bits that depend on the
 last 16 bytes meet the condition, a chunk ends.  A boundary directly after
 another (within MIN_CHUNK bytes) does not count, whether or not that one did:
 so boundaries depend on nothing but the bytes just before them, and an
-insertion shifts chunks without changing those that follow.  Chunks are
+insertion shifts chunks without changing those that follow.  Stretches without
+a boundary, as in periodic text, are cut at the smallest hash 32 to 64 bytes
+after the last cut, which falls into step with the period.  Chunks are
 deduplicated by digest over all documents; neighbouring repeated chunks make a
 passage, reported from a given number of words on.
 
@@ -30,6 +32,7 @@ from ._sorted_runs import repeated
 #: below bit 16, which the gear hash takes from the last 16 bytes.
 BITS, TOP_BIT = 5, 16
 MIN_CHUNK = 12
+LONG_CHUNK = 96
 NO_ID = -(1 << 63)
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)], np.uint32)
 SPACE = np.zeros(256, bool)
@@ -52,7 +55,8 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         none = np.zeros(0, np.int64)
         return none, none, none
     test = np.uint32(((1 << BITS) - 1) << (TOP_BIT - BITS))
-    cut = np.flatnonzero((gear_hashes(data) & test) == 0) + 1  # ends of chunks
+    gear = gear_hashes(data)
+    cut = np.flatnonzero((gear & test) == 0) + 1  # ends of chunks
     row = np.searchsorted(offsets, cut, side="left") - 1
     # The first 15 bytes of a row would hash bytes of the row before.
     own = cut - offsets[row] >= TOP_BIT
@@ -60,6 +64,14 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     apart = np.ones(len(cut), bool)
     apart[1:] = (cut[1:] - cut[:-1] >= MIN_CHUNK) | (row[1:] != row[:-1])
     ends = np.union1d(cut[apart], offsets[1:][lengths > 0])
+    starts = np.concatenate([[0], ends[:-1]])
+    more = []
+    for k in np.flatnonzero(ends - starts > LONG_CHUNK):
+        at, end = int(starts[k]), int(ends[k])
+        while end - at > LONG_CHUNK:
+            at += 32 + int(gear[at + 32 : at + 64].argmin())
+            more.append(at)
+    ends = np.union1d(ends, np.array(more, ends.dtype))
     row = np.searchsorted(offsets, ends, side="left") - 1
     starts = np.concatenate([[0], ends[:-1]])
     return row, starts, ends
