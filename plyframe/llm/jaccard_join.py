@@ -12,9 +12,9 @@ similarity of at least `threshold`, by a MinHash LSH forest.
    dropped.
 3. A pair is met in the first tree in which it shares a bucket, so it counts
    once.  Buckets over `block` members are cut into blocks that meet pairwise.
-   Members without a partner that looks similar by signature leave; the others
-   bring their n-gram sets and are verified exactly, all against all within a
-   block pair by a matrix product, without ever making rows of pairs.
+   Members that meet nobody for the first time leave; the others bring their
+   words and are verified exactly by their n-gram sets, all against all within
+   a block pair by a matrix product, without ever making rows of pairs.
 4. What comes out is linear: per member its number of linked documents and the
    smallest member of its connected part.  Parts are joined over buckets by
    alternating star contraction with checkpoints in the shared folder.
@@ -127,12 +127,8 @@ def _sketches(n: int, depth: int):
             for batch in slices(whole, "words"):
                 gram, rows = shingles(*byte_buffer(batch.column("words")), n)
                 labels = prefix_labels(signatures(gram, rows, TREES * depth), depth)
-                at = pa.array(rows, pa.int32())
                 trees = pa.array(np.arange(0, labels.size + 1, TREES), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), pa.ListArray.from_arrays(trees, pa.array(labels.ravel())), pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64)))],
-                    names=["rep", "labels", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(trees, pa.array(labels.ravel()))], names=["rep", "labels"])
 
     return run
 
@@ -148,22 +144,13 @@ def _met_here(labels: np.ndarray, other: np.ndarray, tree: int) -> np.ndarray:
     return first
 
 
-def _similar(labels: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
-    """bool[a, b]: at least `least` trees share a label."""
-    shared = np.zeros((len(labels), len(other)), np.int16)
-    for t in range(TREES):
-        shared += labels[:, t, None] == other[None, :, t]
-    return shared >= least
-
-
 class _Sets:
     """N-gram sets as rows of a 0/1 matrix, in strips of columns."""
 
-    def __init__(self, grams: list[np.ndarray]):
-        self.size = np.array([len(g) for g in grams])
-        self.row = np.repeat(np.arange(len(grams)), self.size)
-        flat = np.concatenate(grams) if len(grams) else np.zeros(0, np.int64)
-        values, self.column = np.unique(flat, return_inverse=True)
+    def __init__(self, gram: np.ndarray, rows: np.ndarray):
+        self.size = np.diff(rows)
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        values, self.column = np.unique(gram, return_inverse=True)
         order = np.argsort(self.column, kind="stable")
         self.row, self.column = self.row[order], self.column[order]
         # An n-gram that one set alone has adds nothing to an intersection.
@@ -235,13 +222,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield group.take(pa.array(keep)).select(["rep", *BUCKET, "block", "labels"])
 
 
-def _verify(threshold: float):
+def _verify(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches, BUCKET):
             tree, one, two = (int(group.column(c)[0].as_py()) for c in ("tree", "one", "two"))
             labels = np.asarray(group.column("labels").flatten()).reshape(-1, TREES)
             side, rep, copies = (group.column(c).to_numpy() for c in ("block", "rep", "copies"))
-            sets = _Sets([np.asarray(x.values) for x in group.column("grams")])
+            sets = _Sets(*shingles(*byte_buffer(group.column("words")), n))
             common = sets.common()
             union = sets.size[:, None] + sets.size[None, :] - common
             link = (common >= threshold * union - 1e-6) & _met_here(labels, labels, tree)
@@ -303,7 +290,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     # The words ride on the aggregate as one text per class and task.
     reps = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"))
     classes = written(reps, "near-classes")
-    sketches = written(classes.select("rep", "words").mapInArrow(_sketches(n, depth), "rep long, labels array<long>, grams array<long>"), "near-sketches")
+    sketches = written(classes.select("rep", "words").mapInArrow(_sketches(n, depth), "rep long, labels array<long>"), "near-sketches")
     entry = sketches.select("rep", F.posexplode("labels").alias("tree", "label"))
     crowded = entry.groupBy("tree", "label").agg(F.count("*").alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -313,8 +300,8 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     paired = written(paired, "near-buckets", "snappy").join(sketches.select("rep", "labels"), "rep")
     lined = paired.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep")
     wanted = written(lined.mapInArrow(_candidates, "rep long, tree int, label long, one int, two int, block int, labels array<long>"), "near-candidates")
-    brought = wanted.join(sketches.select("rep", "grams"), "rep").join(classes.select("rep", "copies"), "rep")
-    found = written(brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(threshold), "rep long, root long, links long, texts long"), "near-links")
+    brought = wanted.join(classes.select("rep", "copies", "words"), "rep")
+    found = written(brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(n, threshold), "rep long, root long, links long, texts long"), "near-links")
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     classes = classes.select("key", "rep", "copies").join(links, "rep", "left").join(parts, classes.rep == parts.node, "left").select("key", "rep", "copies", "links", "texts", F.coalesce("root", "rep").alias("root"))
