@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, warc
+from . import exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, warc
 from ._shared import WHITE, id_bucket
 
 
@@ -42,6 +42,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archives(archives, block=False))
 
 
+def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir), with_text=False).withColumnRenamed("id", "doc_id")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_iblt_fingerprints": op8_iblt_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
