@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, warc
+from . import exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
 from ._shared import WHITE, id_bucket
 
 
@@ -29,6 +29,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False))
+    languages = language_id.train(docs, ~held_out)
+    model = toxicity.train(docs, labels, ~held_out, languages)
+    scored = toxicity.score(docs, model, languages).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -59,6 +69,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
