@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import byte_buffer, mix64, slices, span_hashes, text_or_empty, word_spans, written
@@ -115,10 +115,11 @@ def prefix_labels(signature: np.ndarray, depth: int) -> np.ndarray:
 # ---------------------------------------------------------------- representatives
 
 
-def word_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n rows, class key) per row; the key is a digest of the word sequence."""
+def word_classes(docs: DataFrame, id_col: str, text_col: str, more: list[Column] = []) -> DataFrame:
+    """id, key, words and more per row; the key is a digest of the word sequence,
+    null without words."""
     words = F.trim(F.regexp_replace(F.lower(text_or_empty(text_col)), r"[\x09-\x0D\x20!-/:-@\[-`{-~]+", " "))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), words.alias("words")).select("id", F.when(F.col("words") != "", F.unhex(F.md5("words"))).alias("key"), "words")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), words.alias("words"), *more).withColumn("key", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
 
 
 def _sketches(n: int, depth: int):
@@ -280,16 +281,16 @@ def connected(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id; class_id (smallest id with these words); copies
-    (rows in the class); n_links (rows of other classes linked to it, plus the
-    other rows of its own) ; group_id (smallest id of its connected part)."""
+def near_classes(rows: DataFrame, n: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """One row per class of equal word sequences in rows (id, key, words): key;
+    first (its smallest id); copies; links (rows of other classes linked to it);
+    texts (those classes); group_id (smallest id of its connected part); keep
+    (whether it is the class that stays of that part)."""
     depth = forest_depth(threshold, recall)
-    rows = word_classes(docs, id_col, text_col)
-    members = written(rows.select("id", "key"), "near-members", "snappy")
-    # The words ride on the aggregate as one text per class and task.
-    reps = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"))
-    classes = written(reps, "near-classes")
+    # The words ride on the aggregate as one text per class and task.  Classes are
+    # numbered, as an id may stand for rows of different texts.
+    made = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("words").alias("words"))
+    classes = written(made.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
     sketches = written(classes.select("rep", "words").mapInArrow(_sketches(n, depth), "rep long, labels array<long>"), "near-sketches")
     entry = sketches.select("rep", F.posexplode("labels").alias("tree", "label"))
     crowded = entry.groupBy("tree", "label").agg(F.count("*").alias("size")).filter("size > 1")
@@ -304,13 +305,46 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     found = written(brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(n, threshold), "rep long, root long, links long, texts long"), "near-links")
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    classes = classes.select("key", "rep", "copies").join(links, "rep", "left").join(parts, classes.rep == parts.node, "left").select("key", "rep", "copies", "links", "texts", F.coalesce("root", "rep").alias("root"))
-    out_id = lambda c: F.when(c != NO_ID, c)
-    return members.join(classes, "key", "left").select(
-        out_id(F.col("id")).alias("id"),
-        out_id(F.coalesce("rep", "id")).alias("class_id"),
+    linked = classes.select("rep", "first").join(links, "rep").join(parts, F.col("rep") == F.col("node"), "left").select("rep", "first", "links", "texts", F.coalesce("root", "rep").alias("root"))
+    tops = linked.groupBy("root").agg(F.min(F.struct("first", "rep")).alias("top"))
+    grouped = linked.join(tops, "root").select("rep", "links", "texts", "top")
+    none = F.lit(0).cast("long")
+    return classes.select("key", "first", "copies", "rep").join(grouped, "rep", "left").select(
+        "key",
+        "first",
+        "copies",
+        F.coalesce("links", none).alias("links"),
+        F.coalesce("texts", none).alias("texts"),
+        F.coalesce("top.first", "first").alias("group_id"),
+        F.coalesce(F.col("top.rep") == F.col("rep"), F.lit(True)).alias("keep"),
+    )
+
+
+def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id; class_id (smallest id with these words); copies
+    (rows in the class); n_links (rows of other classes linked to it, plus the
+    other rows of its own); n_linked_texts (those classes); group_id (smallest
+    id of its connected part)."""
+    rows = word_classes(docs, id_col, text_col)
+    classes = near_classes(rows, n, threshold, recall, block)
+    given = lambda c: F.when(c != NO_ID, c)
+    return rows.select("id", "key").join(classes, "key", "left").select(
+        given(F.col("id")).alias("id"),
+        given(F.coalesce("first", "id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
-        out_id(F.coalesce("root", "id")).alias("group_id"),
+        given(F.coalesce("group_id", "id")).alias("group_id"),
     )
+
+
+def keep_one_per_group(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each connected group one row of the smallest
+    id stays, and every row without words; same columns."""
+    rows = word_classes(docs, id_col, text_col)
+    stays = near_classes(rows, n, threshold, recall, block).filter("keep").select("key", F.col("first").alias("id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mine = word_classes(docs, id_col, text_col, [row]).drop("words")
+    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.xxhash64(F.col(f"row.`{text_col}`"))))
+    kept = mine.filter("key is not null").join(stays, ["key", "id"], "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return mine.filter("key is null").select("row.*").unionByName(kept.select("row.*"))
