@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.functions import rules
+from plyframe.functions import prob, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def logits64(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plies163(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distributions over the 163 move classes: game, ply, p."""
     z = "transform(sequence(0, 162), i -> 8D * z[i % 64] + double((i * 37 + vec_id * 11) % 101) / 50D)"
-    rows = logits64(spark, sf_dir).select("vec_id", F.expr("vec_id div 40").alias("game"), F.expr("int(vec_id % 40)").alias("ply"), F.expr(z).alias("z"))
-    return rows.select("vec_id", "game", "ply", F.expr("transform(z, x -> exp(x - array_max(z)))").alias("e")).select(
-        "vec_id", "game", "ply", F.expr("element_at(transform(array(aggregate(e, 0D, (s, x) -> s + x)), t -> transform(e, x -> x / t)), 1)").alias("p")
-    )
+    # One let-bound expression: a filter pushed below it computes it once more, not
+    # once per element.
+    p = rules.let("logit", z, prob.softmax("logit"))
+    return logits64(spark, sf_dir).select("vec_id", F.expr("vec_id div 40").alias("game"), F.expr("int(vec_id % 40)").alias("ply"), F.expr(p).alias("p"))
