@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import WHITE, text_or_empty, written
 
@@ -247,8 +248,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.translate(text_or_empty(text_col), WHITE, "").alias("norm"),
         (F.struct(*wanted) if wanted else F.lit(None).cast("boolean")).alias("carry"),
     ).select("id", "n_cp", F.sha2("norm", 256).alias("sha"), F.col("norm").cast("binary").alias("norm"), "carry")
-    kind = rows.schema["carry"].dataType.simpleString()
-    schema = f"is_rep boolean, rep long, id long, n_cp long, row_key long, sha string, size long, payload binary, carry {kind}"
+    schema = StructType.fromDDL("is_rep boolean, rep long, id long, n_cp long, row_key long, sha string, size long, payload binary").add("carry", rows.schema["carry"].dataType)
     folded = written(rows.mapInArrow(_fold_partition(trie_mb << 20), schema), "exact-dedup")
     owners = (
         folded.filter("is_rep")

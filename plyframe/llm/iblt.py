@@ -151,7 +151,7 @@ def next_smaller(ids: DataFrame, low: int, high: int) -> DataFrame:
     the smallest.  Ids are ordered within slices of 2 ** ID_BITS values, the
     slices in the same way, until one slice is left."""
     down = Window.orderBy(F.desc("x"))
-    if (high >> ID_BITS) == (low >> ID_BITS):
+    if high - low < 1 << ID_BITS:
         return ids.select("x", F.lead("x").over(down).alias("next"))
     sliced = ids.select("x", F.shiftright("x", ID_BITS).alias("slice"))
     tops = sliced.groupBy("slice").agg(F.max("x").alias("top"))

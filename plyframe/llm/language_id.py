@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import byte_buffer, slices, text_or_empty, word_spans
 
@@ -204,7 +205,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
     """lang_pred, score (the share of lang_pred), shares (a map of the selected
     set), and the struct `carry` of the columns asked for, for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed buckets x languages
-    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("carry"))
     rows = docs.select(F.lower(text_or_empty(text_col)).alias("text"), text_or_empty(text_col).rlike(r"\p{L}").alias("letters"), F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("carry"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
                 maps = pa.MapArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(names[lang], pa.string()), pa.array(share.T[row, lang].astype(float)))
                 yield pa.RecordBatch.from_arrays([pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1).astype(float)), maps, batch.column("carry")], names=["lang_pred", "score", "shares", "carry"])
 
-    return rows.mapInArrow(run, f"lang_pred string, score double, shares map<string,double>, carry {kind.schema['carry'].dataType.simpleString()}")
+    return rows.mapInArrow(run, StructType.fromDDL("lang_pred string, score double, shares map<string,double>").add("carry", rows.schema["carry"].dataType))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.4) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import byte_buffer, slices, text_or_empty, written
 from ._sorted_runs import repeated
@@ -155,6 +156,5 @@ def cut_repeats(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", te
                     texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(run, f"row {kind}, text string")
+    done = rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType).add("text", "string"))
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
