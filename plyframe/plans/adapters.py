@@ -26,7 +26,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per half-move: user_id and the ply's fields."""
-    return games(spark, sf_dir).select("user_id", F.explode("plies").alias("p")).select("user_id", "p.*")
+    # explode would infer a filter on the array's size and fold each game once more for it.
+    return games(spark, sf_dir).select("user_id", F.explode_outer("plies").alias("p")).filter("p is not null").select("user_id", "p.*")
 
 
 def logits64(spark: SparkSession, sf_dir: str) -> DataFrame:
