@@ -68,7 +68,7 @@ def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cut a batch so that each part has about `most` bytes of text (whole rows)."""
     _, at = byte_buffer(batch.column(column))
     first = 0

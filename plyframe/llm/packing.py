@@ -59,17 +59,21 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    plain = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-    quick = tiktoken.Encoding("quick", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-    exact = Tokenizer.from_file(json_path)
+    def ranked(name: str, split: str):
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding(name, pat_str=split, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    # Each takes some 100 MB of a worker, and most workers need the first only.
+    quick = ranked("quick", pattern.replace(r"\s+(?!\S)|", ""))
+    plain = functools.cache(lambda: ranked("whole", pattern))
+    exact = functools.cache(lambda: Tokenizer.from_file(json_path))
     runs = re.compile(r"\s\s").search
 
     def encode(text: str) -> list[int]:
         if SPECIAL in text:
-            return exact.encode(text, add_special_tokens=False).ids
-        return plain(text) if runs(text) else quick(text)
+            return exact().encode(text, add_special_tokens=False).ids
+        return plain()(text) if runs(text) else quick(text)
 
     return encode
 
