@@ -22,6 +22,8 @@ from ._shared import WHITE, text_or_empty, written
 
 #: Slices of a source's key distribution.
 SLICES = 4096
+#: Parts in which the rows of a source meet what is known of their source.
+SALTS = 64
 #: Characters that lower a document's quality weight.
 NOISE = "0123456789#$%&*|!@<>{}[]="
 
@@ -72,6 +74,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epoch
     )
 
 
+def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows joined with the one row of their source; each source's row is there once
+    per salt, so that a source of a third of all rows goes to many tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "id", "size"), F.lit(SALTS)).cast("int"))
+    copies = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["s_null", "s", "salt"]).drop("salt")
+
+
 def decisions(keyed: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
     """One row per source: target, epochs and the border (key, id, size, words)."""
     by = ["s_null", "s"]
@@ -79,7 +89,7 @@ def decisions(keyed: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epoch
     budget = F.floor(F.col("target") + 0.5)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     sources = written(sources.withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long")), "mix-sources")
-    sliced = keyed.join(sources.select(*by, "mean_w"), by).withColumn("slice", F.floor((1 - F.exp(-F.col("key") * F.col("mean_w"))) * SLICES)).drop("mean_w")
+    sliced = with_source(keyed, sources.select(*by, "mean_w")).withColumn("slice", F.floor((1 - F.exp(-F.col("key") * F.col("mean_w"))) * SLICES)).drop("mean_w")
     sums = sliced.groupBy(*by, "slice").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     border = (
@@ -112,7 +122,7 @@ def _fraction() -> Column:
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
     """One row per document: id, source, size, source_size, target, epochs, taken."""
     keyed = written(docs.select(*_keyed(docs, id_col, text_col, source_col, weight, seed)), "mix-keys")
-    return keyed.join(decisions(keyed, weights, most_epochs), ["s_null", "s"]).select(
+    return with_source(keyed, decisions(keyed, weights, most_epochs)).select(
         "id",
         F.when(~F.col("s_null"), F.col("s")).alias("source"),
         "size",
@@ -130,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     made = _keyed(docs, id_col, text_col, source_col, weight, seed)
     keyed = written(docs.select(*made), "mix-keys")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = docs.select(*made, row).join(decisions(keyed, weights, most_epochs), ["s_null", "s"]).withColumn("part", _fraction())
+    joined = with_source(docs.select(*made, row), decisions(keyed, weights, most_epochs)).withColumn("part", _fraction())
     whole = F.col("epochs") + F.when(F.col("size") == 0, 1).otherwise((F.col("part") == F.col("size")).cast("long"))
     short = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     words = F.array_join(F.slice(F.split(F.ltrim(F.col(f"row.{text_col}"), F.lit(WHITE)), r"[\x20\x09-\x0D]+"), 1, F.col("part").cast("int")), " ")
