@@ -61,7 +61,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.repeated_passages(_documents(spark, sf_dir))
+    found = substring_dedup.passage_parts(_documents(spark, sf_dir))
     return found.select(F.when(F.col("doc") != substring_dedup.NO_ID, F.col("doc")).alias("doc_id"), "start", "end", "words", F.when(F.col("first_doc") != substring_dedup.NO_ID, F.col("first_doc")).alias("first_doc_id"), "is_first")
 
 

@@ -8,7 +8,8 @@ insertion shifts chunks without changing those that follow.  Stretches without
 a boundary, as in periodic text, are cut at the smallest hash 32 to 64 bytes
 after the last cut, which falls into step with the period.  Chunks are
 deduplicated by digest over all documents; neighbouring repeated chunks make a
-passage, reported from a given number of words on.
+passage, reported from a given number of words on, in parts by the document
+that has them first.
 
 Null or empty text has no chunks.  Null ids are one document, smaller than any
 other; rows that repeat an id are one document.  An empty table gives an empty
@@ -107,39 +108,54 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return repeated(written(rows, "chunks"), ["h"], 2, "chunk-runs").drop("h")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage: doc, ver, start and end (bytes of the text in UTF-8),
-    words, first_doc, and is_first where the passage is the first occurrence.
-
-    A passage is a run of neighbouring chunks that other documents have as well.
-    Whole chunks lie within a repeated passage only, so a passage of 50 words
-    shows with fewer; min_words counts what is shown.
-    """
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Repeated chunks with the number of their run of neighbouring ones, and of the
+    part of it in which first_doc stays the same."""
     by = Window.partitionBy("doc", "ver").orderBy("place")
-    rows = (
+    return (
         repeated_chunks(docs, id_col, text_col)
         .dropDuplicates(["doc", "ver", "place"])
         .withColumn("first", F.col("doc") == F.col("first_doc"))
-        .withColumn("new", (F.coalesce(F.lag(F.col("place") + F.col("length")).over(by), F.lit(-1)) != F.col("place")).cast("int"))
-        .withColumn("run", F.sum("new").over(by))
+        .withColumn("new", F.coalesce(F.lag(F.col("place") + F.col("length")).over(by), F.lit(-1)) != F.col("place"))
+        .withColumn("other", F.col("new") | (F.lag("first_doc").over(by) != F.col("first_doc")))
+        .withColumn("run", F.sum(F.col("new").cast("int")).over(by))
+        .withColumn("part", F.sum(F.col("other").cast("int")).over(by))
     )
-    return (
-        rows.groupBy("doc", "ver", "run")
-        .agg(
-            F.min("place").alias("start"),
-            F.max(F.col("place") + F.col("length")).alias("end"),
-            F.sum("words").alias("words"),
-            F.min("first_doc").alias("first_doc"),
-            F.bool_and("first").alias("is_first"),
-        )
-        .filter(F.col("words") >= min_words)
-        .drop("run")
+
+
+def _spans(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy("doc", "ver", *keys).agg(
+        F.min("place").alias("start"),
+        F.max(F.col("place") + F.col("length")).alias("end"),
+        F.sum("words").alias("words"),
+        F.min("first_doc").alias("first_doc"),
+        F.bool_and("first").alias("is_first"),
     )
 
 
+def repeated_passages(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage: doc, ver, start and end (bytes of the text in UTF-8),
+    words, first_doc, and is_first where all of the passage is the first occurrence.
+
+    A passage is a run of neighbouring chunks that other documents have as well.
+    Whole chunks lie within a repeated passage only, so a passage of 50 words
+    shows with fewer; min_words counts what is shown.  What may be cut is told by
+    passage_parts.
+    """
+    return _spans(_runs(docs, id_col, text_col), "run").filter(F.col("words") >= min_words).drop("run")
+
+
+def passage_parts(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The passages of min_words words or more, split where first_doc changes: a row
+    of the same columns per part.  What a document is the first to have is a part
+    with is_first, whatever it lies next to."""
+    parts = _spans(_runs(docs, id_col, text_col), "run", "part").withColumn("whole", F.sum("words").over(Window.partitionBy("doc", "ver", "run")))
+    return parts.filter(F.col("whole") >= min_words).drop("run", "part", "whole")
+
+
 def cut_repeats(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that an earlier document has; same columns."""
-    later = repeated_passages(docs, min_words, id_col, text_col).filter("not is_first")
+    later = passage_parts(docs, min_words, id_col, text_col).filter("not is_first")
     spans = later.groupBy("doc", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(*_ids(id_col, text_col), row).join(spans, ["doc", "ver"], "left").select("row", F.col(f"row.`{text_col}`").alias("text"), "spans")
