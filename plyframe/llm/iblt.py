@@ -1,9 +1,10 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
-A text is the set of digests of its paragraphs.  A line break closes one, and
-so does, as lines may be long, the end of a sentence whose last letter is one of
-a-g (a condition on the text itself, so that an edit moves no border but its
-own).  A digest goes to a bucket by some of its bits, and in
+A text is the set of digests of its pieces.  A line break or the end of any
+sentence closes one; what is still long is cut after words whose hash meets a
+condition (on the text itself, so that an edit moves no border but its own).
+The coarser paragraph_digests, unless pieces are asked, close at line breaks and
+sentence ends after one of a-g.  A digest goes to a bucket by some of its bits, and in
 its bucket to one cell in each of three rows of eight by others.  A cell holds
 a count, the xor of the digests and the xor of their checks.  Cells of two
 versions subtract: what both have cancels out.  Peeling takes a cell with one
@@ -23,6 +24,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ LOAD, APART_LOAD = 16, 4
 WIDTH, ROUNDS, RETRIES = 8, 16, 3
 #: Buckets split off in one step.
 FAN = 64
+#: What ends a sentence; characters from which on a piece is cut by content, a word
+#: within; of so many words one ends a piece on average.
+SENTENCE_END = r"\n|(?<=[.!?…؟।]) +|(?<=[。！？])"
+LONG, LONG_WORD, EVERY = 120, 40, 8
 NO_ID = -(1 << 63)
 #: Ids a task puts in order at once: 2 ** ID_BITS.
 ID_BITS = 12
@@ -54,12 +61,24 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def paragraph_digests(text: Column) -> Column:
+def paragraph_digests(text: str) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text, in a fixed order."""
-    parts = F.filter(F.split(text, r"\n|(?<=[a-g][.!?]) +"), lambda x: x != "")
+    parts = F.filter(F.split(F.col(text), r"\n|(?<=[a-g][.!?]) +"), lambda x: x != "")
     return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
 
 
+def piece_digests(text: str) -> Column:
+    """Distinct 64-bit digests of the pieces of a text (SQL), in a fixed order: every
+    sentence end closes one, and pieces of more than LONG characters are cut by
+    content, after words (in words of more than LONG_WORD, as where no spaces are
+    written, after characters) whose hash meets a condition."""
+    inside = f"array_join(transform(split(w, ''), c -> if((xxhash64(c) & {2 * EVERY - 1}L) = 0, concat(c, chr(10)), c)), '')"
+    word = f"if(char_length(w) > {LONG_WORD}, {inside}, if(w <> '' and (xxhash64(w) & {EVERY - 1}L) = 0, concat(w, chr(10)), w))"
+    cut = f"split(array_join(transform(split(x, ' '), w -> {word}), ' '), concat(chr(10), ' ?'))"
+    fine = f"flatten(transform(split({text}, r'{SENTENCE_END}'), x -> if(char_length(x) <= {LONG}, array(x), {cut})))"
+    return F.expr(f"array_distinct(transform(filter({fine}, y -> y <> ''), y -> xxhash64(y)))")
+
+
 def _slot(digest: str, row: int) -> str:
     """Place of a digest's cell of a row in the array of cells, from 0."""
     return f"int(shiftrightunsigned({digest}, {3 * row}) & {WIDTH - 1}L) + {WIDTH * row}"
@@ -161,9 +180,9 @@ def next_smaller(ids: DataFrame, low: int, high: int) -> DataFrame:
     return inside.join(after, "slice", "left").select("x", F.coalesce("next", "top").alias("next"))
 
 
-def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
     """id, text, edited (the last third replaced by as much of the beginning of the
-    next document), and next_digests, the paragraph digests of that document."""
+    next document), and next_digests, the digests of that document."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("x"), text_or_empty(text_col).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     ids = rows.groupBy("x").agg(F.max(third).alias("k"))
@@ -174,7 +193,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = follows.join(ids, "x").select(F.col("x").alias("of"), "next", "k")
     tails = (
         rows.join(wanted, rows.x == wanted.next)
-        .select("of", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("tail"), paragraph_digests(F.col("text")).alias("digests")).alias("t"))
+        .select("of", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("tail"), digests("text").alias("digests")).alias("t"))
         .groupBy("of")
         .agg(F.min("t").alias("t"))
     )
@@ -187,18 +206,18 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and both likenesses."""
-    texts = edited_texts(docs, id_col, text_col)
-    digests = texts.select(
+    texts = edited_texts(docs, id_col, text_col, digests)
+    sets = texts.select(
         "id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("a"),
-        paragraph_digests(F.col("edited")).alias("e"),
+        digests("text").alias("a"),
+        digests("edited").alias("e"),
         F.col("next_digests").alias("z"),
     )
-    return digests.select(
+    return sets.select(
         "id",
         "n_chars",
         "edited_sha256",

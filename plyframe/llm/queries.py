@@ -53,7 +53,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return iblt.fingerprints(_documents(spark, sf_dir), digests=iblt.piece_digests).withColumnRenamed("id", "doc_id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
