@@ -4,22 +4,31 @@ A text is the set of digests of its pieces.  A line break or the end of any
 sentence closes one; what is still long is cut after words whose hash meets a
 condition (on the text itself, so that an edit moves no border but its own).
 The coarser paragraph_digests, unless pieces are asked, close at line breaks and
-sentence ends after one of a-g.  A digest goes to a bucket by some of its bits, and in
-its bucket to one cell in each of three rows of eight by others.  A cell holds
-a count, the xor of the digests and the xor of their checks.  Cells of two
-versions subtract: what both have cancels out.  Peeling takes a cell with one
-digest left (count 1 or -1 and a matching check), removes that digest from its
-other cells, and goes on; empty cells at the end mean that every differing
-digest was recovered.  On failure the bucket is taken again as a table four
-times as large, and so on; the few that still fail are compared exactly.
-
-Likeness is 1 - d / (a + b) for d differing of a and b paragraphs; two texts
-without paragraphs are alike (1).  Only built-in functions are used.
+sentence ends after one of a-g.
+
+A table has three rows of 2 ** bits cells, at least LOAD cells in a row for each
+digest of the text; a digest goes to one cell in each row, by other bits of its
+own.  A cell holds a count, the xor of the digests and the xor of their checks.
+A fingerprint lists the cells of a table that are not empty, so that it can be
+peeled to its digests from the string alone.  Tables of two versions meet in the
+larger one's width; cells subtract, and what both have cancels out.
+Peeling sweeps the rows in turn: a cell with one digest left (count 1 or -1 and
+a matching check) gives that digest, which leaves its cells in the other rows.
+Empty cells at the end mean that every differing digest was recovered; else
+the pair is taken again in tables that are WIDER bits larger, and the few that
+still fail are compared exactly.
+
+Likeness is 1 - d / (a + b) for d differing of a and b digests; two texts without
+pieces are alike (1).  Only built-in functions are used.  Cells are rows of a
+DataFrame: all sums are hash aggregates in the partitioning of the join before
+them, so that a text of any length is peeled in linear time, no cell is shuffled,
+and aggregates may spill.  What is known of a document rides along as one row.
 
 Null text counts as empty.  The next document is the one with the next smaller
 id, after the smallest the largest; null ids come last.  Of rows that repeat
-the id, the one with the smallest beginning is the next document.  An empty
-table gives an empty result.
+the id, the one with the smallest beginning is the next document; equal rows
+have equal results.  Columns other than id and text are not looked at, so their
+names can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,35 +40,24 @@ from pyspark.sql import functions as F
 
 from ._shared import text_or_empty
 
-#: Digests a bucket holds on average at most: in a table that is kept or compared
-#: with an edited version, and in one compared with another document.
-LOAD, APART_LOAD = 16, 4
-#: Cells in a row, rounds of peeling, tables four times as large that are tried.
-WIDTH, ROUNDS, RETRIES = 8, 16, 3
-#: Buckets split off in one step.
-FAN = 64
-#: What ends a sentence; characters from which on a piece is cut by content, a word
-#: within; of so many words one ends a piece on average.
-SENTENCE_END = r"\n|(?<=[.!?…؟।]) +|(?<=[。！？])"
-LONG, LONG_WORD, EVERY = 120, 40, 8
+#: Cells in a row for each digest at least, and bits of the narrowest row.
+LOAD, LEAST_BITS = 4, 6
+#: Sweeps (of one row each), and bits that the second attempt's tables are wider.
+SWEEPS, WIDER = 6, 4
+#: What ends a sentence before a space, and anywhere; characters from which on a piece
+#: is cut by content.
+SENTENCE_END, WIDE_END = ".!?…؟।", "。！？"
+LONG = 120
+#: Words after which a long piece is cut: one in eight or so, by their last two letters.
+CUT_WORD = r"(?i) (?<=[aehilo][dgmry] )"
+#: Where that leaves a piece long: words cut by their hash, one in EVERY; a word over
+#: LONG_WORD characters (as where no spaces are written) after characters, by theirs.
+LONG_WORD, EVERY = 40, 8
 NO_ID = -(1 << 63)
 #: Ids a task puts in order at once: 2 ** ID_BITS.
 ID_BITS = 12
 
 
-#: A cell, and the cells of an empty bucket, as SQL.
-EMPTY_CELL = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
-EMPTY_BUCKET = f"array_repeat({EMPTY_CELL}, {3 * WIDTH})"
-
-
-# The expressions below are SQL text: `let` names a value once for a body, and
-# nested lambdas get names of their own by their depth.
-
-
-def let(name: str, value: str, body: str) -> str:
-    """body with name standing for value, computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
 
 def paragraph_digests(text: str) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text, in a fixed order."""
@@ -70,99 +68,94 @@ def paragraph_digests(text: str) -> Column:
 def piece_digests(text: str) -> Column:
     """Distinct 64-bit digests of the pieces of a text (SQL), in a fixed order: every
     sentence end closes one, and pieces of more than LONG characters are cut by
-    content, after words (in words of more than LONG_WORD, as where no spaces are
-    written, after characters) whose hash meets a condition."""
+    content, at CUT_WORD and, what is long then, by hashes of words or characters."""
     inside = f"array_join(transform(split(w, ''), c -> if((xxhash64(c) & {2 * EVERY - 1}L) = 0, concat(c, chr(10)), c)), '')"
     word = f"if(char_length(w) > {LONG_WORD}, {inside}, if(w <> '' and (xxhash64(w) & {EVERY - 1}L) = 0, concat(w, chr(10)), w))"
-    cut = f"split(array_join(transform(split(x, ' '), w -> {word}), ' '), concat(chr(10), ' ?'))"
-    fine = f"flatten(transform(split({text}, r'{SENTENCE_END}'), x -> if(char_length(x) <= {LONG}, array(x), {cut})))"
+    hashed = f"split(array_join(transform(split(v, ' '), w -> {word}), ' '), concat(chr(10), ' ?'))"
+    cut = f"flatten(transform(split(x, r'{CUT_WORD}'), v -> if(char_length(v) <= {LONG}, array(v), {hashed})))"
+    for end in SENTENCE_END:
+        text = f"replace({text}, '{end} ', '{end}\n')"
+    for end in WIDE_END:
+        text = f"replace({text}, '{end}', '{end}\n')"
+    fine = f"flatten(transform(split({text}, '\n'), x -> if(char_length(x) <= {LONG}, array(x), {cut})))"
     return F.expr(f"array_distinct(transform(filter({fine}, y -> y <> ''), y -> xxhash64(y)))")
 
 
-def _slot(digest: str, row: int) -> str:
-    """Place of a digest's cell of a row in the array of cells, from 0."""
-    return f"int(shiftrightunsigned({digest}, {3 * row}) & {WIDTH - 1}L) + {WIDTH * row}"
-
-
-def _change(bucket: str, digest: str, by: str) -> str:
-    """The cells of a bucket with `by` copies of a digest more."""
-    for row in range(3):
-        cell = f"named_struct('c', g.c + ({by}), 'k', g.k ^ {digest}, 'h', g.h ^ xxhash64({digest}))"
-        changed = let("g", "b[i]", cell)
-        put = let("i", _slot(digest, row), f"concat(slice(b, 1, i), array({changed}), slice(b, i + 2, {3 * WIDTH - 1} - i))")
-        bucket = let("b", bucket, put)
-    return bucket
-
-
-def cells(digests: str) -> str:
-    """The three rows of cells of one bucket."""
-    return f"aggregate({digests}, {EMPTY_BUCKET}, (t, d) -> {_change('t', 'd', '1')})"
+# ---------------------------------------------------------------- cells as rows
 
+# A cell's number is kind | bits | row | place.  The kind tells the tables of a
+# document apart; row 3 counts the digests that peeling has recovered.
+KIND, BITS, ROW, TALLY = 48, 40, 36, 3
+CELL = "cell"
+#: Tables: of the text, of the edited text; differences to the edited and the next one.
+TEXT, EDITED, NEAR_EDITED, NEAR_NEXT = 1, 2, 3, 4
 
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
+def bits(n: str) -> str:
+    """Of a row's cells for n digests: the least power of two of LOAD * n or more."""
+    return f"greatest({LEAST_BITS}L, bigint(char_length(bin({LOAD} * {n} - 1))) * int({n} > 0))"
 
-def peel(table: str) -> str:
-    """How many digests the cells held, or null if they can't be recovered."""
-    pure = "array_distinct(transform(filter(s.cells, y -> abs(y.c) = 1 and xxhash64(y.k) = y.h), y -> named_struct('k', y.k, 'c', y.c)))"
-    removed = f"aggregate(found, s.cells, (t, q) -> {_change('t', 'q.k', '-q.c')})"
-    after = let("found", pure, f"named_struct('cells', {removed}, 'n', s.n + size(found), 'more', size(found) > 0)")
-    return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {table}, 'n', 0, 'more', true), (s, r) -> if(s.more, {after}, s), "
-        "s -> if(exists(s.cells, y -> y.c <> 0 or y.k <> 0 or y.h <> 0), null, s.n))"
-    )
-
-
-def _differing(a: str, b: str, tried: int = 0) -> str:
-    """Digests that one of two buckets has and the other has not."""
-    if tried > RETRIES:
-        return f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    u, i, n = f"u{tried}", f"i{tried}", f"n{tried}"
-    part = lambda x: f"filter({x}, d -> (shiftrightunsigned(d, {9 + 2 * tried}) & 3L) = {i})"
-    inner = let(u, f"named_struct('a', {part(a)}, 'b', {part(b)})", _differing(f"{u}.a", f"{u}.b", tried + 1))
-    return f"coalesce({peel(subtract(cells(a), cells(b)))}, aggregate(array(0L, 1L, 2L, 3L), 0, ({n}, {i}) -> {n} + {inner}))"
-
-
-def n_buckets(n: str, load: int) -> str:
-    """A power of two, so that each holds `load` of n digests at most on average."""
-    return f"if({n} <= {load}, 1L, bigint(pow(2.0D, ceil(log2({n} / {load})))))"
 
+def table(kind: int, width: str) -> str:
+    """The part of a cell's number that all cells of a table share."""
+    return f"(shiftleft({kind}L, {KIND}) | shiftleft({width}, {BITS}))"
 
-def _bucket(d: str) -> str:
-    return f"(shiftrightunsigned({d}, 24) & (many - 1))"
 
+def place(cell: str, row: int, digest: str) -> str:
+    """Number of the digest's cell in a row of the table that `cell` belongs to."""
+    width = f"int(shiftright({cell}, {BITS}) & 255L)"
+    return f"((shiftright({cell}, {BITS}) << {BITS}) | {row << ROW}L | (shiftrightunsigned({digest}, {21 * row}) & (shiftleft(1L, {width}) - 1L)))"
 
-#: Buckets of a table of `many` are split off in two steps of FAN at most.
-GROUPS, INSIDE = f"sequence(0L, greatest(many div {FAN}, 1L) - 1)", f"sequence(0L, least(many, {FAN}L) - 1)"
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """Equal cells summed; empty ones go."""
+    cells = rows.groupBy("x", "nth", "doc", CELL).agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return cells.filter("doc is not null or c <> 0 or k <> 0 or h <> 0")
 
-def _grouped(x: str) -> str:
-    return f"filter({x}, d -> {_bucket('d')} div {FAN} = grp)"
 
+def inserted(docs: DataFrame, doc: Column, tables: list[tuple[str, str, int]]) -> DataFrame:
+    """Rows x, nth, doc, cell, c, k, h: the tables (number without row and place;
+    digests; sign) of each row, and its row with doc and the cell 0."""
+    none = F.lit(None)
+    own = F.struct(doc.alias("doc"), F.lit(0).cast("long").alias(CELL), F.array(F.lit(0).cast("long")).alias("k"), F.lit(0).cast("long").alias("c"))
+    given = docs.select("x", "nth", own.alias("own"), *[F.struct(F.expr(t).alias(CELL), F.expr(k).alias("k"), F.lit(c).cast("long").alias("c")).alias(f"t{i}") for i, (t, k, c) in enumerate(tables)])
+    parts = F.array("own", *[F.struct(none.cast(docs_type(given)).alias("doc"), F.col(f"t{i}.{CELL}"), F.col(f"t{i}.k"), F.col(f"t{i}.c")) for i in range(len(tables))])
+    flat = given.select("x", "nth", F.explode(parts).alias("p")).select("x", "nth", "p.doc", f"p.{CELL}", "p.c", F.explode("p.k").alias("k"))
+    cells = F.when(F.col("doc").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*[F.expr(place(CELL, r, "k")) for r in range(3)]))
+    return flat.select("x", "nth", "doc", F.explode(cells).alias(CELL), "c", "k", F.hash("k").alias("h"))
 
-def _own(x: str) -> str:
-    return f"filter({x}, d -> {_bucket('d')} = grp * {FAN} + nr)"
 
+def docs_type(given: DataFrame):
+    return given.schema["own"].dataType["doc"].dataType
 
-def differing(a: str, b: str, load: int = LOAD) -> str:
-    """How many paragraph digests two texts do not share, by subtracting tables."""
-    bucket = let("v", f"named_struct('a', {_own('w.a')}, 'b', {_own('w.b')})", _differing("v.a", "v.b"))
-    group = let("w", f"named_struct('a', {_grouped(a)}, 'b', {_grouped(b)})", f"aggregate({INSIDE}, 0, (fine, nr) -> fine + {bucket})")
-    return let("many", n_buckets(f"greatest(size({a}), size({b}))", load), f"aggregate({GROUPS}, 0, (coarse, grp) -> coarse + {group})")
 
+def swept(cells: DataFrame, row: int) -> DataFrame:
+    """Take the digests that are alone in a cell of `row` out of their other cells."""
+    pure = f"doc is null and (shiftright({CELL}, {ROW}) & 15L) = {row} and abs(c) = 1 and hash(k) = h"
+    moved = [F.struct(F.expr(place(CELL, (row + i) % 3, "k")).alias(CELL), (-F.col("c")).alias("c"), F.col("k"), F.col("h")) for i in (1, 2)]
+    tally = F.struct(F.expr(f"(shiftright({CELL}, {BITS}) << {BITS}) | {TALLY << ROW}L").alias(CELL), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("h"))
+    same = F.struct(CELL, "c", "k", "h")
+    return _summed(cells.select("x", "nth", "doc", F.explode(F.when(F.expr(pure), F.array(*moved, tally)).otherwise(F.array(same))).alias("m")).select("x", "nth", "doc", "m.*"))
 
-def fingerprint(a: str) -> str:
-    """The table of a text, of a size by its number of paragraphs: buckets apart
-    by `;`, cells by `,`, each count:digests:checks in hex, empty cells empty."""
-    shown = "x -> if(x.c = 0, '', concat_ws(':', hex(x.c), hex(x.k), hex(shiftrightunsigned(x.h, 48))))"
-    bucket = f"array_join(transform({cells(_own('w'))}, {shown}), ',')"
-    group = let("w", _grouped(a), f"array_join(transform({INSIDE}, nr -> {bucket}), ';')")
-    return let("many", n_buckets(f"size({a})", LOAD), f"array_join(transform({GROUPS}, grp -> {group}), ';')")
 
-
-def likeness(a: str, b: str, load: int = LOAD) -> str:
-    return f"if(size({a}) + size({b}) = 0, 1.0D, 1.0D - {differing(a, b, load)} / (size({a}) + size({b})))"
+def differing(docs: DataFrame, pairs: dict[str, tuple[int, str, str]], more_bits: int, where: dict[str, str]) -> DataFrame:
+    """Add to docs (x, nth and doc, a struct with arrays of digests) how many digests
+    the two of each pair (kind, a, b) do not share: long columns, null where peeling
+    failed or `where` is false."""
+    tables = []
+    for name, (kind, a, b) in pairs.items():
+        wide = table(kind, f"{bits(f'greatest(size({a}), size({b}))')} + {more_bits}L")
+        tables += [(wide, f"if({where[name]}, {a}, cast(array() as array<bigint>))", 1), (wide, f"if({where[name]}, {b}, cast(array() as array<bigint>))", -1)]
+    cells = _summed(inserted(docs, F.col("doc"), tables))
+    for sweep in range(SWEEPS):
+        cells = swept(cells, sweep % 3)
+    of = lambda kind: f"doc is null and shiftright({CELL}, {KIND}) = {kind}"
+    tally = f"(shiftright({CELL}, {ROW}) & 15L) = {TALLY}"
+    found = cells.groupBy("x", "nth").agg(
+        F.first("doc", ignorenulls=True).alias("doc"),
+        *[F.expr(f"if(count_if({of(kind)} and not {tally}) > 0, null, coalesce(sum(c) filter (where {of(kind)} and {tally}), 0L))").alias(name) for name, (kind, _, _) in pairs.items()],
+    )
+    return found.select("x", "nth", "doc", *[F.when(F.expr(where[name]), F.col(name)).alias(name) for name in pairs])
 
 
 def next_smaller(ids: DataFrame, low: int, high: int) -> DataFrame:
@@ -181,9 +174,12 @@ def next_smaller(ids: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
-    """id, text, edited (the last third replaced by as much of the beginning of the
-    next document), and next_digests, the digests of that document."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("x"), text_or_empty(text_col).alias("text"))
+    """id, text, digests, edited (the last third replaced by as much of the beginning
+    of the next document), and next_digests, the digests of that document; x and
+    nth tell the rows apart, and the result is partitioned by x."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("x"), F.monotonically_increasing_id().alias("nth"), text_or_empty(text_col).alias("text"))
+    # Both joins below read the same columns of rows, so that Spark shuffles them once.
+    rows = rows.withColumn("digests", digests("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     ids = rows.groupBy("x").agg(F.max(third).alias("k"))
     low, high = ids.agg(F.min("x"), F.max("x")).first()
@@ -193,36 +189,61 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = follows.join(ids, "x").select(F.col("x").alias("of"), "next", "k")
     tails = (
         rows.join(wanted, rows.x == wanted.next)
-        .select("of", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("tail"), digests("text").alias("digests")).alias("t"))
+        .select("of", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("tail"), "digests", "nth").alias("t"))
         .groupBy("of")
         .agg(F.min("t").alias("t"))
     )
     kept = F.substring("text", F.lit(1), F.char_length("text") - third)
     return rows.join(tails, rows.x == tails.of).select(
+        "x",
+        "nth",
         F.when(F.col("x") != NO_ID, F.col("x")).alias("id"),
         "text",
+        "digests",
         F.concat(kept, F.substring(F.col("t.tail"), F.lit(1), third)).alias("edited"),
         F.col("t.digests").alias("next_digests"),
     )
 
 
+def fingerprint(cells: str, n: str) -> str:
+    """Bits of a row, `|`, and the cells: place in the table:count:digests:checks in
+    hex, in order of place."""
+    return f"concat({bits(n)}, '|', array_join({cells}.shown, ','))"
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and both likenesses."""
     texts = edited_texts(docs, id_col, text_col, digests)
     sets = texts.select(
-        "id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        digests("text").alias("a"),
-        digests("edited").alias("e"),
-        F.col("next_digests").alias("z"),
+        "x",
+        "nth",
+        F.struct(
+            "id",
+            F.char_length("text").cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+            F.col("digests").alias("a"),
+            digests("edited").alias("e"),
+            F.col("next_digests").alias("z"),
+        ).alias("doc"),
     )
-    return sets.select(
-        "id",
-        "n_chars",
-        "edited_sha256",
-        F.expr(fingerprint("a")).alias("fingerprint"),
-        F.expr(fingerprint("e")).alias("edited_fingerprint"),
-        F.expr(likeness("a", "e")).alias("near_edited"),
-        F.expr(likeness("a", "z", APART_LOAD)).alias("near_next"),
+    cells = _summed(inserted(sets, F.col("doc"), [(table(TEXT, bits("size(doc.a)")), "doc.a", 1), (table(EDITED, bits("size(doc.e)")), "doc.e", 1)]))
+    at = f"(shiftleft(shiftright({CELL}, {ROW}) & 15L, int(shiftright({CELL}, {BITS}) & 255L)) | ({CELL} & {(1 << ROW) - 1}L))"
+    shown = F.struct(F.col(CELL), F.expr(f"concat_ws(':', hex({at}), c, hex(k), hex(h & 4294967295L))").alias("shown"))
+    listed = cells.select("x", "nth", "doc", F.expr(f"shiftright({CELL}, {KIND})").alias("kind"), F.when(F.col("doc").isNull(), shown).alias("s"))
+    by_doc = listed.groupBy("x", "nth").agg(
+        F.first("doc", ignorenulls=True).alias("d"),
+        *[F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("s")))).alias(name) for kind, name in ((TEXT, "text_cells"), (EDITED, "edited_cells"))],
     )
+    doc = by_doc.select("x", "nth", F.struct("d.*", F.expr(fingerprint("text_cells", "size(d.a)")).alias("fingerprint"), F.expr(fingerprint("edited_cells", "size(d.e)")).alias("edited_fingerprint")).alias("doc"))
+    pairs = {"d_edited": (NEAR_EDITED, "doc.a", "doc.e"), "d_next": (NEAR_NEXT, "doc.a", "doc.z")}
+    once = differing(doc, pairs, 0, dict.fromkeys(pairs, "true"))
+    kept = once.select("x", "nth", F.struct("doc.*", *pairs).alias("doc"))
+    again = differing(kept, pairs, WIDER, {name: f"doc.{name} is null" for name in pairs})
+
+    def likeness(name: str) -> Column:
+        _, a, b = pairs[name]
+        exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
+        return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, 1.0D - coalesce(doc.{name}, {name}, {exact}) / (size({a}) + size({b})))")
+
+    shown = [F.col(f"doc.{c}").alias(c) for c in ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")]
+    return again.select(*shown, likeness("d_edited").alias("near_edited"), likeness("d_next").alias("near_next"))
