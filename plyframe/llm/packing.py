@@ -5,23 +5,25 @@ cut; the first piece takes the remainder).  The packing problem depends on the
 pieces only through how many there are of each length, a table of at most
 `capacity` numbers at any scale, so the plan is made from that histogram:
 
-1. Large lengths (over capacity * small_share) are split by rank into groups of
-   equal cardinality and rounded up to the longest of their group.
+1. Large lengths (over capacity * small_share) are split by rank into `groups`
+   groups of equal cardinality and rounded up to the longest of their group; the
+   number of groups doubles while rounding adds over MOST_ROUNDING of the tokens.
 2. Column generation finds the few-size configurations (which rounded lengths
    share a sequence) of the least fractional count; whole multiples are taken.
 3. Actual lengths take the places of the rounded ones, longest first.
 4. What is left, large and small, goes best-fit into the gaps, then into new
-   sequences.
-5. Sequences that still have a gap, or small pieces, are taken apart and packed
-   again best-fit where that saves sequences (rounding leaves gaps that no
-   small piece is left for).
+   sequences.  No sequence of step 3 is taken apart again.
 
 Pieces then find their sequence by their length and their rank among pieces of
-that length.  Ranks come from counts by (length, salt), so a length that a
-third of all pieces share is numbered by many tasks.
+that length.  Ranks come from counts by (length, salt); a length has as many
+salts as its pieces need at SALT_ROWS each, so that one that a third of all
+pieces share is numbered by as many tasks as its number asks for.
 
 Null text counts as empty (one token: the end mark).  Null or repeated ids and
-equal rows are packed row by row.  An empty table gives an empty result.
+equal rows are packed row by row; ties in length are ranked by id, piece and
+checksum.  A very long text is encoded whole, in the task that has it, and leaves
+as pieces.  Columns other than id and text are not looked at, so their names can't
+clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,10 @@ from pyspark.sql import functions as F
 
 from ._shared import text_or_empty, written
 
-SALTS = 64
+#: Share of the large pieces' tokens that rounding may add.
+MOST_ROUNDING = 0.005
+#: Pieces of one length that one task numbers.
+SALT_ROWS = 1_000_000
 #: Written in a text, the vocabulary's special token is that token's id.
 SPECIAL = "<|endoftext|>"
 
@@ -140,25 +145,25 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     size, need = np.array(sizes), np.array(demand, float)
     patterns = np.diag(capacity // size).astype(float)
     inverse, level = np.diag(1 / np.diag(patterns)), need / np.diag(patterns)
+    # Where a configuration of c tokens comes from when size g is its last one.
+    before = np.arange(capacity + 1)[:, None] - size[None, :]
+    fits, before = before >= 0, np.maximum(before, 0)
     for _ in range(60 * k):
         price = inverse.sum(axis=0)
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):
-            value = np.where(size <= c, best[np.maximum(c - size, 0)] + price, -1)
-            g = int(value.argmax())
-            if value[g] > best[c - 1] + 1e-12:
-                best[c], choice[c] = value[g], g
-            else:
-                best[c], choice[c] = best[c - 1], -1
+        best, choices = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(size.min())):
+            value = np.where(fits, best[before] + price, -1.0)
+            g = value.argmax(axis=1)
+            longer = value[np.arange(capacity + 1), g]
+            choices.append(np.where(longer > best + 1e-12, g, -1))
+            best = np.maximum(best, longer)
         if best[capacity] <= 1 + 1e-9:
             break
         new, c = np.zeros(k), capacity
-        while c > 0:
+        for choice in reversed(choices):
             if choice[c] >= 0:
                 new[choice[c]] += 1
                 c -= sizes[choice[c]]
-            else:
-                c -= 1
         step = inverse @ new
         ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -242,28 +247,14 @@ def best_fit(runs: Runs, lengths: dict[int, int], capacity: int) -> Runs:
     return [x for g in gaps for x in g]
 
 
-def tighten(runs: Runs, capacity: int, least: int) -> Runs:
-    """Take sequences apart and pack their pieces again best-fit where that saves
-    sequences: those with a gap, and then also those that hold small pieces,
-    which may fill gaps better elsewhere."""
-    for loose in (lambda x: sum(x) < capacity, lambda x: sum(x) < capacity or min(x) < least):
-        kept, again = [], {}
-        for items, n in runs:
-            if not loose(items):
-                kept.append((items, n))
-            else:
-                for length in items:
-                    again[length] = again.get(length, 0) + n
-        packed = kept + best_fit([], again, capacity)
-        if sum(n for _, n in packed) < sum(n for _, n in runs):
-            runs = packed
-    return runs
-
-
-def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.25, groups: int = 40) -> Runs:
+def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.25, groups: int = 192) -> Runs:
     """Sequences for histogram[length] pieces of each length below capacity."""
     least = int(capacity * small_share) + 1
     grouped = linear_groups(histogram[:capacity], least, groups)
+    tokens = sum(x * n for g in grouped for x, n in g)
+    while groups < capacity - least and sum((g[0][0] - x) * n for g in grouped for x, n in g) > MOST_ROUNDING * tokens:
+        groups *= 2
+        grouped = linear_groups(histogram[:capacity], least, groups)
     lengths = {i: int(n) for i, n in enumerate(histogram[:least]) if n}
     runs: Runs = []
     if grouped:
@@ -271,7 +262,7 @@ def plan(histogram: np.ndarray, capacity: int, small_share: float = 0.25, groups
         runs, rest = substitute(grouped, [(p, int(x + 1e-7)) for p, x in found if x >= 1 - 1e-7])
         for length, n in rest.items():
             lengths[length] = lengths.get(length, 0) + n
-    return tighten(best_fit(runs, lengths, capacity), capacity, least)
+    return best_fit(runs, lengths, capacity)
 
 
 def slot_table(runs: Runs, first: int) -> dict[str, np.ndarray]:
@@ -296,25 +287,31 @@ def slot_table(runs: Runs, first: int) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- on Spark
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, small_share: float = 0.25, groups: int = 40) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, small_share: float = 0.25, groups: int = 192) -> DataFrame:
     """Add sequence_id and offset to the rows of token_pieces()."""
-    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    rows = written(pieces.withColumn("salt", salt), "packing")
-    # At most capacity x SALTS numbers, whatever the corpus.
+    rows = written(pieces, "packing")
+    # At most `capacity` numbers, then one more per SALT_ROWS pieces.
+    sizes = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").count().collect():
+        sizes[r["length"]] = r["count"]
+    many = np.maximum(1, -(-sizes // SALT_ROWS))
+    salts = F.element_at(F.lit([int(x) for x in many]), (F.col("length") + 1).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), salts).cast("int"))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow()
-    by = np.zeros((capacity + 1, SALTS), np.int64)
-    by[counts.column("length").to_numpy(), counts.column("salt").to_numpy()] = counts.column("n").to_numpy()
-    full = int(by[capacity].sum())
-    table = slot_table(plan(by.sum(axis=1), capacity, small_share, groups), full)
-    before = np.cumsum(by, axis=1) - by
-    shared = rows.sparkSession.sparkContext.broadcast((table, before))
+    lead = np.cumsum(many) - many  # where a length's salts begin
+    by = np.zeros(int(many.sum()), np.int64)
+    by[lead[counts.column("length").to_numpy()] + counts.column("salt").to_numpy()] = counts.column("n").to_numpy()
+    table = slot_table(plan(sizes, capacity, small_share, groups), int(sizes[capacity]))
+    total = np.cumsum(by) - by
+    before = total - np.repeat(total[lead], many)
+    shared = rows.sparkSession.sparkContext.broadcast((table, lead, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, before = shared.value
+        table, lead, before = shared.value
         key = (table["length"] << 44) + table["begin"]
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = before[length, batch.column("salt").to_numpy()] + batch.column("nth").to_numpy() - 1
+            rank = before[lead[length] + batch.column("salt").to_numpy()] + batch.column("nth").to_numpy() - 1
             seq, offset = rank.copy(), np.zeros_like(rank)
             cut = length < capacity
             slot = np.searchsorted(key, (length[cut] << 44) + rank[cut], side="right") - 1
