@@ -5,24 +5,31 @@ similarity of at least `threshold`, by a MinHash LSH forest.
    on.  (A map-side combined aggregate: a text that fills a third of the table
    is one row per task.)
 2. A representative's n-grams give a signature of trees x depth minimum hashes.
-   In each tree the signature is the path of a prefix trie.  Prefixes are
-   compared at full depth first and shortened until the chance that a pair at
-   the threshold shares a prefix in some tree reaches the target recall; the
-   tries, sorted by path, are cut there into buckets, and buckets of one are
-   dropped.
-3. A pair is met in the first tree in which it shares a bucket, so it counts
-   once.  Buckets over `block` members are cut into blocks that meet pairwise.
-   Members that meet nobody for the first time leave; the others bring their
-   words and are verified exactly by their n-gram sets, all against all within
-   a block pair by a matrix product, without ever making rows of pairs.
-4. What comes out is linear: per member its number of linked documents and the
-   smallest member of its connected part.  Parts are joined over buckets by
+   In each tree the signature is a path of `depth` values, a leaf of a prefix
+   trie; leaves are sorted by path, and a subtrie is a run of equal prefixes.
+3. Documents that share a prefix at full depth meet first.  Matched prefixes
+   are then shortened until a pair at the lowest similarity that the links found
+   so far show (the threshold, while there are none) shares one in some tree
+   with the target recall.  Only nodes that fork between the two depths are
+   looked at again, and a pair that met at the longer prefix or in an earlier
+   tree is not compared again, so it counts once.
+4. Subtries of more than `block` members or BLOCK_BYTES of words are cut into
+   blocks that meet pairwise.  Members that meet nobody for the first time leave;
+   the others bring their words and are verified exactly by their n-gram sets,
+   all against all within a block pair by a matrix product, without ever making
+   rows of pairs.
+5. What comes out is linear: per member its number of linked documents and the
+   smallest member of its connected part.  Parts are joined over subtries by
    alternating star contraction with checkpoints in the shared folder.
 
 Words are what white space separates, lower-cased, without punctuation at the
 ends.  A text of fewer words than n has one n-gram, the text; a text without
 words (null, empty) is in no pair and a class of its own.  Null ids take part
-like others, and lose as smallest id.  Rows that repeat an id count as rows.
+like others, and lose as smallest id.  Rows that repeat an id count as rows.  Of
+classes with the same smallest id the one of the smaller number stays.  A very
+long text is in a block by itself, whole.  Other columns are looked at only by
+keep_one_per_group, which carries them in a struct, so their names can't clash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +45,10 @@ from pyspark.sql import functions as F
 from ._shared import byte_buffer, mix64, slices, span_hashes, text_or_empty, word_spans, written
 
 TREES, DEPTH = 24, 8
+#: Bytes of a value in a path (a multiple of these makes two 64-bit words a path).
+VALUE = 2
+#: Bytes of words that a block has on average at most.
+BLOCK_BYTES = 4 << 20
 #: Largest id, which stands for null.
 NO_ID = (1 << 63) - 1
 WORD = np.ones(256, bool)
@@ -101,15 +112,25 @@ def signatures(gram: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
     return out
 
 
-def prefix_labels(signature: np.ndarray, depth: int) -> np.ndarray:
-    """int64[rows, TREES]: hash of each tree's path down to depth."""
-    labels = np.zeros((len(signature), TREES), np.uint64)
-    for t in range(TREES):
-        h = np.full(len(signature), t + 1, np.uint64)
-        for k in range(depth):
-            h = mix64(h * np.uint64(31) + signature[:, t * depth + k])
-        labels[:, t] = h
-    return labels.view(np.int64)
+def trie_paths(signature: np.ndarray) -> pa.Array:
+    """Per row the paths of all trees, one after the other, as bytes that sort as the
+    values do."""
+    raw = (signature >> np.uint32(16)).astype(">u2").tobytes()
+    size = TREES * DEPTH * VALUE
+    ends = pa.array(np.arange(0, (len(signature) + 1) * size, size), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(signature), [None, ends.buffers()[1], pa.py_buffer(raw)])
+
+
+def prefix_labels(paths: pa.Array, depth: int) -> np.ndarray:
+    """uint64[rows, TREES]: a hash of each tree's path down to depth."""
+    raw, _ = byte_buffer(paths)
+    words = raw.reshape(-1, TREES, DEPTH * VALUE).view(">u8").astype(np.uint64)
+    bits = 8 * VALUE * depth
+    if bits < 128:
+        words[..., 1] = words[..., 1] >> np.uint64(128 - bits) if bits > 64 else 0
+    if bits < 64:
+        words[..., 0] >>= np.uint64(64 - bits)
+    return mix64(words[..., 0] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[..., 1]))
 
 
 # ---------------------------------------------------------------- representatives
@@ -122,14 +143,13 @@ def word_classes(docs: DataFrame, id_col: str, text_col: str, more: list[Column]
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), words.alias("words"), *more).withColumn("key", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
 
 
-def _sketches(n: int, depth: int):
+def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "words"):
-                gram, rows = shingles(*byte_buffer(batch.column("words")), n)
-                labels = prefix_labels(signatures(gram, rows, TREES * depth), depth)
-                trees = pa.array(np.arange(0, labels.size + 1, TREES), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(trees, pa.array(labels.ravel()))], names=["rep", "labels"])
+                data, offsets = byte_buffer(batch.column("words"))
+                paths = trie_paths(signatures(*shingles(data, offsets, n), TREES * DEPTH))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), paths, pa.array(np.diff(offsets))], names=["rep", "paths", "bytes"])
 
     return run
 
@@ -137,12 +157,22 @@ def _sketches(n: int, depth: int):
 # ---------------------------------------------------------------- within a bucket
 
 
-def _met_here(labels: np.ndarray, other: np.ndarray, tree: int) -> np.ndarray:
-    """bool[a, b]: no earlier tree brings the two together."""
-    first = np.ones((len(labels), len(other)), bool)
-    for t in range(tree):
-        first &= labels[:, t, None] != other[None, :, t]
-    return first
+class _Paths:
+    """Whether two members meet here for the first time."""
+
+    def __init__(self, paths: pa.Array, depth: int, longer: int | None):
+        self.labels = prefix_labels(paths, depth)
+        self.longer = prefix_labels(paths, longer) if longer else None
+
+    def met_here(self, a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+        """bool[a, b]: no earlier tree, nor a longer prefix in any, brings them together."""
+        first = np.ones((len(a), len(b)), bool)
+        for t in range(tree):
+            first &= self.labels[a, t, None] != self.labels[None, b, t]
+        if self.longer is not None:
+            for t in range(TREES):
+                first &= self.longer[a, t, None] != self.longer[None, b, t]
+        return first
 
 
 class _Sets:
@@ -207,32 +237,34 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
 BUCKET = ["tree", "label", "one", "two"]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(depth: int, longer: int | None):
     """Of each block pair, the members that some pair met here may link."""
-    for group in _by_key(batches, BUCKET):
-        tree, one, two = (int(group.column(c)[0].as_py()) for c in ("tree", "one", "two"))
-        labels = np.asarray(group.column("labels").flatten()).reshape(-1, TREES)
-        side = group.column("block").to_numpy()
-        a = np.flatnonzero(side == one)
-        b = np.flatnonzero(side == two)
-        want = _met_here(labels[a], labels[b], tree)
-        if one == two:
-            np.fill_diagonal(want, False)
-        keep = np.union1d(a[want.any(axis=1)], b[want.any(axis=0)])
-        if len(keep):
-            yield group.take(pa.array(keep)).select(["rep", *BUCKET, "block", "labels"])
-
-
-def _verify(n: int, threshold: float):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_key(batches, BUCKET):
+            tree, one, two = (int(group.column(c)[0].as_py()) for c in ("tree", "one", "two"))
+            side = group.column("block").to_numpy()
+            a, b = np.flatnonzero(side == one), np.flatnonzero(side == two)
+            want = _Paths(group.column("paths"), depth, longer).met_here(a, b, tree)
+            if one == two:
+                np.fill_diagonal(want, False)
+            keep = np.union1d(a[want.any(axis=1)], b[want.any(axis=0)])
+            if len(keep):
+                yield group.take(pa.array(keep)).select(["rep", *BUCKET, "block", "paths"])
+
+    return run
+
+
+def _verify(n: int, threshold: float, depth: int, longer: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches, BUCKET):
             tree, one, two = (int(group.column(c)[0].as_py()) for c in ("tree", "one", "two"))
-            labels = np.asarray(group.column("labels").flatten()).reshape(-1, TREES)
             side, rep, copies = (group.column(c).to_numpy() for c in ("block", "rep", "copies"))
             sets = _Sets(*shingles(*byte_buffer(group.column("words")), n))
             common = sets.common()
             union = sets.size[:, None] + sets.size[None, :] - common
-            link = (common >= threshold * union - 1e-6) & _met_here(labels, labels, tree)
+            every = np.arange(len(rep))
+            link = (common >= threshold * union - 1e-6) & _Paths(group.column("paths"), depth, longer).met_here(every, every, tree)
             link &= ((side[:, None] == one) & (side[None, :] == two)) | ((side[:, None] == two) & (side[None, :] == one))
             np.fill_diagonal(link, False)
             linked = np.flatnonzero(link.any(axis=1))
@@ -240,9 +272,10 @@ def _verify(n: int, threshold: float):
                 order = np.argsort(rep, kind="stable")
                 root = np.empty(len(rep), np.int64)
                 root[order] = rep[order][_roots(link[np.ix_(order, order)])]
+                lowest = np.where(link, common / union, 1.0).min(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[linked]), pa.array(root[linked]), pa.array((link @ copies)[linked].astype(np.int64)), pa.array(link.sum(axis=1)[linked].astype(np.int64))],
-                    names=["rep", "root", "links", "texts"],
+                    [pa.array(rep[linked]), pa.array(root[linked]), pa.array((link @ copies)[linked].astype(np.int64)), pa.array(link.sum(axis=1)[linked].astype(np.int64)), pa.array(lowest[linked], pa.float64())],
+                    names=["rep", "root", "links", "texts", "lowest"],
                 )
 
     return run
@@ -281,28 +314,52 @@ def connected(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def links_at(classes: DataFrame, sketches: DataFrame, depth: int, longer: int | None, n: int, threshold: float, block: int) -> DataFrame:
+    """The links of pairs that share a prefix of `depth` values in some tree and none
+    of `longer` values in any: per member and block pair rep, root, links, texts and
+    the lowest similarity."""
+    size = DEPTH * VALUE
+    leaf = F.substring("paths", F.col("tree") * size + 1, F.lit(size))
+    trees = F.array(*[F.substring("paths", t * size + 1, size) for t in range(TREES)])
+    entry = sketches.select("rep", "bytes", F.posexplode(trees).alias("tree", "path")).withColumn("label", F.xxhash64(F.substring("path", 1, depth * VALUE)))
+    node = entry.withColumn("inner", F.xxhash64(F.substring("path", 1, (longer or depth) * VALUE)))
+    forks = node.groupBy("tree", "label").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes"), (F.min("inner") != F.max("inner")).alias("forks")).filter("size > 1" + " and forks" * bool(longer))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    placed = entry.join(forks, ["tree", "label"]).select("rep", "tree", "label", blocks.alias("blocks"), mine.alias("block"))
+    paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "tree", "label", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block")
+    paired = written(paired, "near-subtries", "snappy").join(sketches.select("rep", "paths"), "rep").withColumn("leaf", leaf)
+    sorted_leaves = paired.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "leaf", "rep").drop("leaf")
+    wanted = written(sorted_leaves.mapInArrow(_candidates(depth, longer), "rep long, tree int, label long, one int, two int, block int, paths binary"), "near-candidates")
+    brought = wanted.join(classes.select("rep", "copies", "words"), "rep")
+    made = brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(n, threshold, depth, longer), "rep long, root long, links long, texts long, lowest double")
+    return written(made, "near-links")
+
+
+def forest_links(classes: DataFrame, sketches: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, list[int]]:
+    """All links, and the prefix lengths at which documents met, longest first."""
+    depths = [DEPTH]
+    found = links_at(classes, sketches, DEPTH, None, n, threshold, block)
+    while True:
+        lowest = found.agg(F.min("lowest")).first()[0]
+        depth = forest_depth(max(threshold, lowest or threshold), recall)
+        if depth >= depths[-1]:
+            return found, depths
+        found = found.unionByName(links_at(classes, sketches, depth, depths[-1], n, threshold, block))
+        depths.append(depth)
+
+
 def near_classes(rows: DataFrame, n: int, threshold: float, recall: float, block: int) -> DataFrame:
     """One row per class of equal word sequences in rows (id, key, words): key;
     first (its smallest id); copies; links (rows of other classes linked to it);
     texts (those classes); group_id (smallest id of its connected part); keep
     (whether it is the class that stays of that part)."""
-    depth = forest_depth(threshold, recall)
     # The words ride on the aggregate as one text per class and task.  Classes are
     # numbered, as an id may stand for rows of different texts.
     made = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("words").alias("words"))
     classes = written(made.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
-    sketches = written(classes.select("rep", "words").mapInArrow(_sketches(n, depth), "rep long, labels array<long>"), "near-sketches")
-    entry = sketches.select("rep", F.posexplode("labels").alias("tree", "label"))
-    crowded = entry.groupBy("tree", "label").agg(F.count("*").alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = entry.join(crowded, ["tree", "label"]).select("rep", "tree", "label", blocks.alias("blocks"), mine.alias("block"))
-    paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "tree", "label", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block")
-    paired = written(paired, "near-buckets", "snappy").join(sketches.select("rep", "labels"), "rep")
-    lined = paired.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep")
-    wanted = written(lined.mapInArrow(_candidates, "rep long, tree int, label long, one int, two int, block int, labels array<long>"), "near-candidates")
-    brought = wanted.join(classes.select("rep", "copies", "words"), "rep")
-    found = written(brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(n, threshold), "rep long, root long, links long, texts long"), "near-links")
+    sketches = written(classes.select("rep", "words").mapInArrow(_sketches(n), "rep long, paths binary, bytes long"), "near-sketches")
+    found, _ = forest_links(classes, sketches, n, threshold, recall, block)
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     linked = classes.select("rep", "first").join(links, "rep").join(parts, F.col("rep") == F.col("node"), "left").select("rep", "first", "links", "texts", F.coalesce("root", "rep").alias("root"))
