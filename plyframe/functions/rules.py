@@ -18,13 +18,18 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def sow(pits: str, start: str) -> str:
-    """Pits after sowing from start (closed form): a single stone moves on; of more,
-    one stays and the rest go round, the starting pit included."""
-    moved = (
-        f"transform({pits}, (v, i) -> {let('d', f'pmod(i - {start}, {PITS})', f'if(d = 0, 0, v) + if(n = 1, if(d = 1, 1, 0), (n + {PITS - 1} - d) div {PITS})')})"
+def sown_at(pits: str, start: str, i: str, v: str) -> str:
+    """Stones in pit i (v before) after sowing the n stones of start (closed form): a
+    single one moves on; of more, one stays and the rest go round, start included."""
+    return (
+        f"int(if(n = 1, if({i} = {start}, 0, if({i} = pmod({start} + 1, {PITS}), {v} + 1, {v})), "
+        f"if({i} = {start}, 0, {v}) + (n + {PITS - 1} - pmod({i} - {start}, {PITS})) div {PITS}))"
     )
-    return f"transform({let('n', f'{pits}[{start}]', moved)}, v -> int(v))"
+
+
+def sow(pits: str, start: str) -> str:
+    """All pits after sowing from start."""
+    return let("n", f"{pits}[{start}]", f"transform({pits}, (v, i) -> {sown_at(pits, start, 'i', 'v')})")
 
 
 def landing(pits: str, start: str) -> str:
@@ -37,30 +42,50 @@ def legal(g: str) -> str:
     return f"filter(sequence(0, {SIDE - 1}), a -> {g}.pits[{g}.turn * {SIDE} + a] > 0 and {g}.tuz[1 - {g}.turn] <> a)"
 
 
+def _makes(g: str, last: str, count: str) -> str:
+    """Whether a last stone that makes `count` in pit `last` wins a tuzdyk there."""
+    col = f"{last} % {SIDE}"
+    return f"({last} div {SIDE} = 1 - {g}.turn and {count} = 3 and {g}.tuz[{g}.turn] = -1 and {col} <> {SIDE - 1} and {col} <> {g}.tuz[1 - {g}.turn])"
+
+
+def _owned(g: str, i: str) -> str:
+    """Whether pit i is somebody's tuzdyk."""
+    return f"(({g}.tuz[0] >= 0 and {i} = {SIDE} + {g}.tuz[0]) or ({g}.tuz[1] >= 0 and {i} = {g}.tuz[1]))"
+
+
+def notation(g: str, action: str) -> str:
+    """A move as it is written, from where its last stone lands, without playing it."""
+    count = f"if({_owned('g0', 'last')}, 0, {sown_at('g0.pits', 'start', 'last', 'g0.pits[last]')})"
+    body = f"concat(act + 1, last % {SIDE} + 1, if({_makes('g0', 'last', 'count')}, 'x', ''))"
+    body = let("n", "g0.pits[start]", let("count", count, body))
+    body = let("last", landing("g0.pits", "start"), body)
+    return let("g0", g, let("act", action, let("start", f"g0.turn * {SIDE} + act", body)))
+
+
+def notations(g: str) -> str:
+    """The legal moves of a state as they are written, in order of action."""
+    return f"transform({legal(g)}, a -> {notation(g, 'a')})"
+
+
 def play(g: str, action: str) -> str:
     """struct<state, action, notation, captured, makes_tuzdyk, sown> after a move."""
     income = lambda s: f"if(g0.tuz[{s}] < 0, 0, sown[{SIDE} * (1 - {s}) + g0.tuz[{s}]])"
-    emptied = f"transform(sown, (v, i) -> if((g0.tuz[0] >= 0 and i = {SIDE} + g0.tuz[0]) or (g0.tuz[1] >= 0 and i = g0.tuz[1]), 0, v))"
-    makes = f"(theirs and count = 3 and g0.tuz[g0.turn] = -1 and col <> {SIDE - 1} and col <> g0.tuz[1 - g0.turn])"
+    emptied = f"if(g0.tuz[0] < 0 and g0.tuz[1] < 0, sown, transform(sown, (v, i) -> if({_owned('g0', 'i')}, 0, v)))"
     state = (
-        f"named_struct('pits', transform(held, (v, i) -> if(i = last and gain > 0, 0, v)), "
-        f"'kazans', transform(array({income(0)}, {income(1)}), (v, s) -> int(g0.kazans[s] + v + if(s = g0.turn, gain, 0))), "
-        "'tuz', transform(g0.tuz, (v, s) -> if(makes and s = g0.turn, int(col), v)), 'turn', 1 - g0.turn)"
+        f"named_struct('pits', if(gain > 0, transform(held, (v, i) -> if(i = last, 0, v)), held), "
+        f"'kazans', array(int(g0.kazans[0] + {income(0)} + if(g0.turn = 0, gain, 0)), int(g0.kazans[1] + {income(1)} + if(g0.turn = 1, gain, 0))), "
+        f"'tuz', if(makes, array(if(g0.turn = 0, int(last % {SIDE}), g0.tuz[0]), if(g0.turn = 1, int(last % {SIDE}), g0.tuz[1])), g0.tuz), 'turn', 1 - g0.turn)"
     )
     result = (
-        f"named_struct('state', {state}, 'action', int(act), 'notation', concat(act + 1, col + 1, if(makes, 'x', '')), "
+        f"named_struct('state', {state}, 'action', int(act), 'notation', concat(act + 1, last % {SIDE} + 1, if(makes, 'x', '')), "
         "'captured', int(if(makes, 0, gain)), 'makes_tuzdyk', makes, 'sown', sown)"
     )
-    body = let("gain", "if(makes, 3, if(theirs and count % 2 = 0, count, 0))", result)
-    body = let("makes", makes, body)
-    body = let("count", "held[last]", body)
-    body = let("theirs", f"(last div {SIDE} = 1 - g0.turn)", body)
-    body = let("col", f"last % {SIDE}", body)
+    body = let("gain", f"if(makes, 3, if(last div {SIDE} = 1 - g0.turn and held[last] % 2 = 0, held[last], 0))", result)
+    body = let("makes", _makes("g0", "last", "held[last]"), body)
     body = let("held", emptied, body)
     body = let("sown", sow("g0.pits", "start"), body)
     body = let("last", landing("g0.pits", "start"), body)
-    body = let("start", f"g0.turn * {SIDE} + act", body)
-    return let("g0", g, let("act", action, body))
+    return let("g0", g, let("act", action, let("start", f"g0.turn * {SIDE} + act", body)))
 
 
 def side_total(g: str, side: int) -> str:
@@ -87,20 +112,37 @@ def annotated(move: str) -> str:
 PLY = "struct<ply:int,action:int,notation:string,captured:int,makes_tuzdyk:boolean,sown:array<int>,before:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>,after:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>>"
 
 
-def playout(choices: str) -> str:
+#: What a fold of a whole game keeps of each ply: its type, and the value for move m.
+KEPT = {
+    "plies": (PLY, "named_struct('ply', s.n + 1, 'action', m.action, 'notation', m.notation, 'captured', m.captured, 'makes_tuzdyk', m.makes_tuzdyk, 'sown', m.sown, 'before', s.state, 'after', m.state)"),
+    "moves": ("string", "concat(m.notation, if(m.captured > 0, '+', ''))"),
+}
+
+
+def playout(choices: str, keep: str | None = "plies") -> str:
     """Fold a game: choice c takes legal action number c % n; the game stops when it
-    is over.  struct<state, plies>."""
-    ply = "named_struct('ply', size(s.plies) + 1, 'action', m.action, 'notation', m.notation, 'captured', m.captured, 'makes_tuzdyk', m.makes_tuzdyk, 'sown', m.sown, 'before', s.state, 'after', m.state)"
-    step = let("m", play("s.state", "can[int(pmod(c, size(can)))]"), f"named_struct('state', m.state, 'plies', concat(s.plies, array({ply})))")
-    step = let("can", legal("s.state"), f"if(size(can) = 0 or array_max(s.state.kazans) >= {WINNING}, s, {step})")
-    return f"aggregate({choices}, named_struct('state', {START}, 'plies', cast(array() as array<{PLY}>)), (s, c) -> {step})"
+    is over.  struct<state, n, plies or moves>; with keep=None only state and n."""
+    kind, value = KEPT[keep] if keep else (None, None)
+    more = f", '{keep}', concat(s.{keep}, array({value}))" if keep else ""
+    none = f", '{keep}', cast(array() as array<{kind}>)" if keep else ""
+    step = let("m", play("s.state", "can[int(pmod(c, size(can)))]"), f"named_struct('state', m.state, 'n', s.n + 1{more})")
+    step = f"if(array_max(s.state.kazans) >= {WINNING}, s, {let('can', legal('s.state'), f'if(size(can) = 0, s, {step})')})"
+    return f"aggregate({choices}, named_struct('state', {START}, 'n', 0{none}), (s, c) -> {step})"
+
+
+def fits(g: str, move: str) -> str:
+    """Whether a move (a trailing + is ignored) is legal as it is written; its first
+    character tells the only action that it can be."""
+    act = f"try_cast(substring({move}, 1, 1) as int) - 1"
+    ok = f"act_ between 0 and {SIDE - 1} and array_contains({legal('g1')}, act_) and {notation('g1', 'act_')} = rtrim('+', {move})"
+    return let("g1", g, let("act_", act, f"coalesce({ok}, false)"))
 
 
 def replay(moves: str) -> str:
     """Fold given notations (a trailing + is ignored): struct<state, stopped, played>;
     stopped is the first move that is not legal as written, else null."""
-    fits = f"filter(transform({legal('s.state')}, a -> {play('s.state', 'a')}), m -> m.notation = rtrim('+', t))"
-    step = let("fit", fits, "if(size(fit) = 0, named_struct('state', s.state, 'stopped', t, 'played', s.played), named_struct('state', fit[0].state, 'stopped', s.stopped, 'played', concat(s.played, array(%s))))" % annotated("fit[0]"))
+    played = let("m", play("s.state", "int(substring(t, 1, 1)) - 1"), "named_struct('state', m.state, 'stopped', s.stopped, 'played', concat(s.played, array(%s)))" % annotated("m"))
+    step = f"if({fits('s.state', 't')}, {played}, named_struct('state', s.state, 'stopped', t, 'played', s.played))"
     return f"aggregate({moves}, named_struct('state', {START}, 'stopped', cast(null as string), 'played', cast(array() as array<string>)), (s, t) -> if(s.stopped is not null, s, {step}))"
 
 

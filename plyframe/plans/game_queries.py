@@ -61,8 +61,8 @@ _STATE_SQL = "array_to_string(pits, ',') AS pits, k0 AS kazan0, k1 AS kazan1, t0
 
 def playout_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole games as folds: moves played, final board, winner."""
-    g = adapters.games(spark, sf_dir)
-    return g.select("user_id", F.size("plies").alias("n_plies"), *_state_columns("state"), F.expr(rules.winner("state")).alias("winner"), F.expr(rules.is_over("state")).alias("is_over"))
+    g = adapters.finals(spark, sf_dir)
+    return g.select("user_id", "n_plies", *_state_columns("state"), F.expr(rules.winner("state")).alias("winner"), F.expr(rules.is_over("state")).alias("is_over"))
 
 
 def sow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +72,15 @@ def sow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal notations before each half-move, in order."""
-    shown = f"array_sort(transform({rules.legal('before')}, a -> {rules.play('before', 'a')}.notation))"
+    shown = f"array_sort({rules.notations('before')})"
     return adapters.plies(spark, sf_dir).select("user_id", "ply", _joined(F.expr(shown)).alias("legal"))
 
 
 def replay_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts replayed move by move; move number user_id % 30 + 2 is spoilt, so
     replays stop there if the game is that long."""
-    g = adapters.games(spark, sf_dir)
-    moves = F.transform("plies", lambda m: m.notation)
-    spoilt = F.transform(moves, lambda m, i: F.when(i == F.col("user_id") % 30 + 1, F.lit("00")).otherwise(m))
+    g = adapters.texts(spark, sf_dir)
+    spoilt = F.transform("moves", lambda m, i: F.when(i == F.col("user_id") % 30 + 1, F.lit("00")).otherwise(m))
     r = g.select("user_id", spoilt.alias("moves")).select("user_id", F.expr(rules.replay("moves")).alias("r"))
     return r.select("user_id", F.size("r.played").alias("n_played"), F.col("r.stopped").alias("stopped"), F.array_join("r.played", " ").alias("played"), *_state_columns("r.state"))
 
@@ -100,7 +99,7 @@ def side_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pgn_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered lines of two moves."""
-    g = adapters.games(spark, sf_dir).select("user_id", F.expr(f"transform(plies, m -> {rules.annotated('m')})").alias("moves"))
+    g = adapters.texts(spark, sf_dir)
     return g.select("user_id", F.expr(rules.pgn("moves")).alias("pgn"))
 
 
@@ -108,14 +107,13 @@ def raw_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a read move is among the legal ones; every fifth is misread."""
     p = adapters.plies(spark, sf_dir)
     raw = F.when(F.col("ply") % 5 == 0, F.concat(F.col("action") + 1, F.lit("0"))).otherwise(F.col("notation"))
-    legal = F.expr(f"transform({rules.legal('before')}, a -> {rules.play('before', 'a')}.notation)")
-    return p.select("user_id", "ply", raw.alias("raw"), F.array_contains(legal, raw).alias("raw_is_legal"))
+    return p.select("user_id", "ply", raw.alias("raw"), F.array_contains(F.expr(rules.notations("before")), raw).alias("raw_is_legal"))
 
 
 def stop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a sheet ends: an empty cell wins over anything before, an illegal move
     or the end of the game comes first, else the sheet is exhausted."""
-    g = adapters.games(spark, sf_dir).select("user_id", F.size("plies").alias("n"), F.expr(rules.is_over("state")).alias("over"))
+    g = adapters.finals(spark, sf_dir).select("user_id", F.col("n_plies").alias("n"), F.expr(rules.is_over("state")).alias("over"))
     illegal_at = F.when(F.col("user_id") % 4 == 1, F.lit(12))
     empty_at = F.when(F.col("user_id") % 3 == 1, F.lit(20))
     return g.select("user_id", decode.stop_reason(F.col("n"), F.col("over"), illegal_at, empty_at).alias("stop_reason"))
@@ -130,7 +128,7 @@ def tuzdyk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a stated result agrees with a position: 0, 1 or 2."""
-    g = adapters.games(spark, sf_dir)
+    g = adapters.finals(spark, sf_dir)
     stated = F.expr("if(user_id % 4 = 3, null, int(user_id % 4) - 1)")
     return g.select("user_id", stated.alias("stated"), "state").select("user_id", "stated", F.expr(decode.result_consistency("state", "stated")).alias("consistency"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.functions import text
+from plyframe.functions import rules, text
+from plyframe.operators import decode
 
 from . import adapters
 from .prob_queries import _NAMES, class_domain
@@ -43,7 +44,7 @@ def csv_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spellings to codes; misspelt ones are marked."""
-    f = _lines(spark, sf_dir).select("o_orderkey", text.csv_fields(F.col("line"))[2].alias("spelt"))
+    f = _lines(spark, sf_dir).select("o_orderkey", F.coalesce(F.get(text.csv_fields(F.col("line")), F.lit(2)), F.lit("")).alias("spelt"))
     return f.select("o_orderkey", "spelt", text.result_code(F.col("spelt")).alias("code"), text.result_is_valid(F.col("spelt")).alias("valid"))
 
 
@@ -111,10 +112,9 @@ def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: one line per game for display."""
-    from .game_queries import stop_reason
-
-    games = adapters.games(spark, sf_dir).select("user_id", F.size("plies").alias("n"))
-    return games.join(stop_reason(spark, sf_dir), "user_id").select("user_id", F.format_string("game%d: %d plies, %s", F.col("user_id"), F.col("n"), F.col("stop_reason")).alias("row"))
+    games = adapters.finals(spark, sf_dir).select("user_id", "n_plies", F.expr(rules.is_over("state")).alias("over"))
+    why = decode.stop_reason(F.col("n_plies"), F.col("over"), F.when(F.col("user_id") % 4 == 1, F.lit(12)), F.when(F.col("user_id") % 3 == 1, F.lit(20)))
+    return games.select("user_id", F.format_string("game%d: %d plies, %s", F.col("user_id"), F.col("n_plies"), why).alias("row"))
 
 
 QUERIES = {f.__name__: f for f in (csv_meta, result_codes, pgn_tags, game_pad_join, slug, label_from_path, label_semi, unknown_moves, missing_digits, warnings_distinct, batch_errors, result_rows)}
