@@ -54,6 +54,8 @@ CUT_WORD = r"(?i) (?<=[aehilo][dgmry] )"
 #: LONG_WORD characters (as where no spaces are written) after characters, by theirs.
 LONG_WORD, EVERY = 40, 8
 NO_ID = -(1 << 63)
+#: Characters of text that a partition of documents has on average.
+PART_CHARS = 4 << 20
 #: Ids a task puts in order at once: 2 ** ID_BITS.
 ID_BITS = 12
 
@@ -181,10 +183,12 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Both joins below read the same columns of rows, so that Spark shuffles them once.
     rows = rows.withColumn("digests", digests("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
-    ids = rows.groupBy("x").agg(F.max(third).alias("k"))
-    low, high = ids.agg(F.min("x"), F.max("x")).first()
+    ids = rows.groupBy("x").agg(F.max(third).alias("k"), F.sum(F.char_length("text")).alias("chars"))
+    low, high, chars = ids.agg(F.min("x"), F.max("x"), F.sum("chars")).first()
     if low is None:
-        low = high = 0
+        low, high, chars = 0, 0, 0
+    # Cells take several times the text's memory, so partitions go by the text.
+    rows = rows.repartition(1 + chars // PART_CHARS, "x")
     follows = next_smaller(ids.select("x"), low, high).select("x", F.coalesce("next", F.lit(high)).alias("next"))
     wanted = follows.join(ids, "x").select(F.col("x").alias("of"), "next", "k")
     tails = (
