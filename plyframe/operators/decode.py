@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plyframe.functions import rules
+from plyframe.functions import prob, rules
 from plyframe.functions.rules import let
 
 #: Fixed values of the scoring.
@@ -49,52 +49,81 @@ def marginals(p: str) -> str:
     return f"named_struct('src', {src}, 'land', {land}, 'x', {x})"
 
 
-def legal_score(p: str, marg: str, move: str) -> str:
+def legal_score(p: str, marg: str, note: str, action: str) -> str:
     """The exact class and the marginals, halves each, times the weight of the
     tuzdyk mark.  Unnormalised, as the beam needs it."""
-    note = f"{move}.notation"
-    both = f"{marg}.src[{move}.action] * {marg}.land[int(substring({note}, 2, 1)) - 1] * 9"
-    return f"((0.5D * {p}[{class_index(note)}] + 0.5D * {both}) * if({move}.makes_tuzdyk, {marg}.x, 1 - {marg}.x))"
+    both = f"{marg}.src[{action}] * {marg}.land[int(substring({note}, 2, 1)) - 1] * 9"
+    return f"((0.5D * {p}[{class_index(note)}] + 0.5D * {both}) * if(endswith({note}, 'x'), {marg}.x, 1 - {marg}.x))"
 
 
 def scored_moves(g: str, p: str, marg: str) -> str:
-    """Legal moves of a state as array<struct<score, move>>, best first, then in
-    order of action."""
-    scored = f"transform({rules.legal(g)}, a -> {let('mv', rules.play(g, 'a'), f'named_struct({chr(39)}score{chr(39)}, {legal_score(p, marg, chr(109) + chr(118))}, {chr(39)}move{chr(39)}, mv)')})"
-    order = "(l, r) -> case when l.score > r.score then -1 when l.score < r.score then 1 when l.move.action < r.move.action then -1 when l.move.action > r.move.action then 1 else 0 end"
-    return f"array_sort({scored}, {order})"
+    """Legal moves of a state as array<struct<neg, action, notation>>, best first (neg is
+    the negated score), then in order of action.  No move is played for that."""
+    one = let("note_", rules.notation(g, "a"), f"named_struct('neg', -{legal_score(p, marg, 'note_', 'a')}, 'action', a, 'notation', note_)")
+    return f"array_sort(transform({rules.legal(g)}, a -> {one}))"
 
 
-def beam_step(beam: str, p: str, marg: str, width: int, per_ply: int) -> str:
+#: Fixed values of the evidence: weights and floors of kazans and pits, classes of the
+#: tuzdyk and the dash, the largest count that a class says.
+KAZAN_WEIGHT, KAZAN_FLOOR, PIT_WEIGHT, PIT_FLOOR, X, DASH, MOST = "1D", "1e-4D", "0.5D", "1e-3D", 82, 83, 81
+
+
+def evidence(g: str, check: str) -> str:
+    """D3: log-likelihood of a diagram given a board.  check: 20 distributions over the
+    diagram classes, pits 0-17 and both kazans, null where nothing was read."""
+    chance = (
+        f"if(k >= 18, if({g}.kazans[k - 18] > {MOST}, 0D, d[{g}.kazans[k - 18]]), "
+        f"if({g}.tuz[1 - k div 9] = k % 9, d[{X}], if({g}.pits[k] = 0, d[{DASH}] + d[0], if({g}.pits[k] > {MOST}, 0D, d[{g}.pits[k]]))))"
+    )
+    term = let("c_", chance, f"if(k >= 18, {KAZAN_WEIGHT} * ln(greatest(c_, {KAZAN_FLOOR})), {PIT_WEIGHT} * ln(greatest(c_, {PIT_FLOOR})))")
+    return f"aggregate(transform({check}, (d, k) -> if(d is null, 0D, {term})), 0D, (s_, t_) -> s_ + t_)"
+
+
+CHECK = "array<array<double>>"
+
+
+def diagram_filter(k: str, p: str) -> str:
+    """what a diagram cell can say: 10-81 in a kazan (18, 19), anything but
+    `empty` in a pit; null where nothing is left."""
+    return f"if({k} >= 18, {prob.class_filter(p, f'i between 10 and {MOST}')}, {prob.class_filter(p, f'i <= {DASH}')})"
+
+
+def beam_step(beam: str, q: str, width: str, per_ply: int) -> str:
     """One level of the beam: every live hypothesis by its best moves, the `width`
     best stay; finished ones are never pruned.  Ties: parent first, then child.
 
-    beam: struct<active, finished> of struct<state, moves, logp>.
+    beam: struct<active, finished, open>; q: struct<p, marg, check>, check null but
+    where a diagram shows the board after this ply.
     """
-    child = (
-        "transform(slice({scored}, 1, {per}), c -> named_struct('state', c.move.state, 'moves', concat(h.moves, array({note})), "
-        "'logp', h.logp + ln(greatest(c.score, {floor}))))"
-    ).format(scored=scored_moves("h.state", p, marg), per=per_ply, note=rules.annotated("c.move"), floor=SCORE_FLOOR)
-    over = rules.is_over("k.state")
-    ranked = "transform(filter(kids, k -> not {over}), (k, i) -> named_struct('neg', -k.logp, 'rank', i, 'h', k))".format(over=over)
-    best = f"transform(slice(array_sort({ranked}, (l, r) -> case when l.neg < r.neg then -1 when l.neg > r.neg then 1 when l.rank < r.rank then -1 when l.rank > r.rank then 1 else 0 end), 1, {width}), k -> k.h)"
-    done = f"concat({beam}.finished, filter(kids, k -> {over}))"
-    body = f"if(size(filter(kids, k -> not {over})) = 0, named_struct('active', {beam}.active, 'finished', {done}, 'open', false), named_struct('active', {best}, 'finished', {done}, 'open', true))"
-    return f"if({beam}.open, {let('kids', f'flatten(transform({beam}.active, h -> {child}))', body)}, {beam})"
+    logp = f"h.logp + ln(greatest(-c.neg, {SCORE_FLOOR})) + if({q}.check is null, 0D, {evidence('mv.state', f'{q}.check')})"
+    child = let(
+        "mv",
+        rules.play("h.state", "c.action"),
+        f"named_struct('state', mv.state, 'moves', concat(h.moves, array({rules.annotated('mv')})), 'shares', concat(h.shares, array(-c.neg / if(all_ = 0, 1D, all_))), 'logp', {logp}, 'over', {rules.is_over('mv.state')})",
+    )
+    scored = scored_moves("h.state", f"{q}.p", f"{q}.marg")
+    kids_of = let("ranked_", scored, let("all_", "aggregate(ranked_, 0D, (s_, x_) -> s_ - x_.neg)", f"transform(slice(ranked_, 1, {per_ply}), c -> {child})"))
+    best = f"transform(slice(array_sort(transform(live_, (k, i) -> named_struct('neg', -k.logp, 'rank', i))), 1, {width}), x -> live_[x.rank])"
+    done = f"concat({beam}.finished, filter(kids, k -> k.over))"
+    body = f"if(size(live_) = 0, named_struct('active', {beam}.active, 'finished', {done}, 'open', false), named_struct('active', {best}, 'finished', {done}, 'open', true))"
+    body = let("live_", "filter(kids, k -> not k.over)", body)
+    return f"if({beam}.open, {let('kids', f'flatten(transform({beam}.active, h -> {kids_of}))', body)}, {beam})"
 
 
-HYPOTHESIS = "struct<state:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>,moves:array<string>,logp:double>"
+HYPOTHESIS = "struct<state:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>,moves:array<string>,shares:array<double>,logp:double,over:boolean>"
 
 
-def beam(dists: str, width: int, per_ply: int = 9) -> str:
-    """Decode array<struct<p, marg>> (one per ply): struct<active, finished, open>."""
-    first = f"named_struct('state', {rules.START}, 'moves', cast(array() as array<string>), 'logp', 0D)"
+def beam(dists: str, width: int | str, per_ply: int = 9) -> str:
+    """Decode array<struct<p, marg, check>> (one per ply): struct<active, finished, open>.
+    The width is cut to what the pool's memory takes (D6)."""
+    cap = f"greatest(1L, least(bigint({width}), bigint({POOL_BYTES} div ({BYTES_EACH} * {max(per_ply, 1)}))))"
+    first = f"named_struct('state', {rules.START}, 'moves', cast(array() as array<string>), 'shares', cast(array() as array<double>), 'logp', 0D, 'over', false)"
     start = f"named_struct('active', array({first}), 'finished', cast(array() as array<{HYPOTHESIS}>), 'open', true)"
-    return f"aggregate({dists}, {start}, (b, q) -> {beam_step('b', 'q.p', 'q.marg', width, per_ply)})"
+    return let("cap_", f"int({cap})", f"aggregate({dists}, {start}, (b, q) -> {beam_step('b', 'q', 'cap_', per_ply)})")
 
 
 def beam_final(beam: str, stated: str) -> str:
-    """Longest first, then agreement with the stated result, then likelihood;
-    live hypotheses come before finished ones."""
+    """Longest first, then agreement with the stated result, then likelihood;
+    live hypotheses come before finished ones.  struct<moves, shares, logp, state>."""
     keyed = f"transform(concat({beam}.active, {beam}.finished), (h, i) -> named_struct('len', size(h.moves), 'fits', {result_consistency('h.state', stated)}, 'logp', h.logp, 'rank', -i, 'h', h))"
-    return f"array_max(transform({keyed}, k -> named_struct('len', k.len, 'fits', k.fits, 'logp', k.logp, 'rank', k.rank, 'h', named_struct('moves', k.h.moves, 'state', k.h.state)))).h"
+    return f"array_max(transform({keyed}, k -> named_struct('len', k.len, 'fits', k.fits, 'logp', k.logp, 'rank', k.rank, 'h', named_struct('moves', k.h.moves, 'shares', k.h.shares, 'logp', k.h.logp, 'state', k.h.state)))).h"

@@ -58,3 +58,13 @@ def plies163(spark: SparkSession, sf_dir: str) -> DataFrame:
     # once per element.
     p = rules.let("logit", z, prob.softmax("logit"))
     return logits64(spark, sf_dir).select("vec_id", F.expr("vec_id div 40").alias("game"), F.expr("int(vec_id % 40)").alias("ply"), F.expr(p).alias("p"))
+
+
+def diagrams85(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributions over the 85 diagram classes: vec_id, p."""
+    return logits64(spark, sf_dir).select("vec_id", F.expr(prob.softmax(prob.diagram_logits("z", "vec_id"))).alias("p"))
+
+
+def diagram_cells(boards: DataFrame, n_vectors: int) -> DataFrame:
+    """The 20 cells k of each diagram (user_id, ply) with the vector that stands for it."""
+    return boards.select("user_id", "ply", F.explode(F.expr("sequence(0, 19)")).alias("k")).withColumn("vec_id", F.expr(f"(user_id * 13 + ply + k) % {n_vectors}"))

@@ -54,9 +54,13 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper median of quantities per supplier."""
-    t = adapters.table(spark, sf_dir, "lineitem")
-    return t.groupBy("l_suppkey").agg(metrics.upper_median(F.collect_list("l_quantity")).alias("upper_median"))
+    """The upper median of quantities per supplier, from counts by value: no
+    supplier's quantities are gathered in one row."""
+    counts = adapters.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("l_suppkey")
+    upto = F.sum("n").over(own.orderBy("l_quantity"))
+    placed = counts.select("l_suppkey", "l_quantity", upto.alias("upto"), F.floor(F.sum("n").over(own) / 2).alias("half"))
+    return placed.filter("upto > half").groupBy("l_suppkey").agg(F.min("l_quantity").alias("upper_median"))
 
 
 def median_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +131,14 @@ def skew_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """boxes near the median area, if at least three remain; else all."""
-    b = _boxes(spark, sf_dir).join(_boxes(spark, sf_dir).groupBy("page").agg(F.median("area").alias("m")), "page")
-    near = b.withColumn("near", (F.col("area") > 0.5 * F.col("m")) & (F.col("area") < 2 * F.col("m")))
-    kept = near.withColumn("n", F.sum(F.col("near").cast("int")).over(Window.partitionBy("page"))).filter("near or n < 3")
-    return kept.groupBy("page").agg(F.count("*").alias("kept"), F.max("n").alias("near"))
+    """boxes near the median area of their page, if at least eight remain; else
+    all.  The eight largest of them stay.  A supplier's boxes are a page."""
+    page = Window.partitionBy("page")
+    t = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_quantity") * F.col("l_extendedprice")).alias("area"), "l_orderkey", "l_partkey", "l_linenumber")
+    near = t.withColumn("m", F.median("area").over(page)).withColumn("near", (F.col("area") > 0.5 * F.col("m")) & (F.col("area") < 2 * F.col("m")))
+    kept = near.withColumn("n", F.sum(F.col("near").cast("int")).over(page)).filter("near or n < 8")
+    rank = F.row_number().over(page.orderBy(F.desc("area"), "l_orderkey", "l_partkey", "l_linenumber"))
+    return kept.select("page", rank.cast("long").alias("rank"), F.round("area", 2).alias("area"), F.col("n").alias("near")).filter("rank <= 8")
 
 
 def band_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +237,7 @@ ORACLE = {
         UNION ALL SELECT d, 'kazan', CASE WHEN s = 0 THEN 'B' ELSE 'W' END, 0, 18 + s FROM range(8) a(d), range(2) b(s)""",
     "corner_order": f"WITH {_BOXES} SELECT page, min(round(x + y, 2)) AS tl, max(round(x + y, 2)) AS br, min(round(y - x, 2)) AS tr, max(round(y - x, 2)) AS bl FROM b GROUP BY page",
     "skew_angle": f"WITH {_BOXES}, m AS (SELECT page, least(15.0, greatest(-15.0, median(degrees(atan2(x - 25, y / 100))))) AS m FROM b GROUP BY page) SELECT page, round(CASE WHEN abs(m) < 0.05 THEN 0 ELSE m END, 4)::DOUBLE AS angle FROM m",
-    "area_outlier": f"WITH {_BOXES}, m AS (SELECT *, median(area) OVER (PARTITION BY page) AS m FROM b), n AS (SELECT *, area > 0.5::DOUBLE * m AND area < 2 * m AS near FROM m), k AS (SELECT *, sum(near::INT) OVER (PARTITION BY page) AS n FROM n) SELECT page, count(*) AS kept, max(n)::BIGINT AS near FROM k WHERE near OR n < 3 GROUP BY page",
+    "area_outlier": "WITH b AS (SELECT l_suppkey AS page, l_quantity * l_extendedprice AS area, l_orderkey, l_partkey, l_linenumber FROM lineitem), m AS (SELECT *, median(area) OVER (PARTITION BY page) AS m FROM b), n AS (SELECT *, area > 0.5::DOUBLE * m AND area < 2 * m AS near FROM m), k AS (SELECT *, sum(near::INT) OVER (PARTITION BY page) AS n FROM n) SELECT page, row_number() OVER (PARTITION BY page ORDER BY area DESC, l_orderkey, l_partkey, l_linenumber) AS rank, round(area, 2) AS area, n::BIGINT AS near FROM k WHERE near OR n < 8 QUALIFY rank <= 8",
     "band_split": f"WITH {_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, l_partkey, l_linenumber) AS r FROM b), t AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY y, x, r) - 1) // 4 AS band FROM r WHERE r <= 8) SELECT page, band, row_number() OVER (PARTITION BY page, band ORDER BY x, y, r) - 1 AS place, l_partkey FROM t",
     "game_order": "WITH e AS (SELECT user_id, event_id, event_id // 7 % 40 AS m, event_id % 2 <> 0 AS b FROM events) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY m, b, event_id) AS ply FROM e",
     "take_while": "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT *, min(CASE WHEN value < 2 THEN n END) OVER (PARTITION BY user_id) AS stop FROM e) SELECT user_id, count(*) AS kept FROM s WHERE stop IS NULL OR n < stop GROUP BY user_id",

@@ -89,39 +89,38 @@ def class_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States before each ply of the games that have distributions."""
-    return adapters.plies(spark, sf_dir).select(F.col("user_id").alias("game"), (F.col("ply") - 1).alias("ply"), "before")
+    """States before each ply of the games that have distributions: no other game is
+    played, and none beyond the 40 plies that a sheet has distributions for."""
+    wanted = adapters.logits64(spark, sf_dir).select(F.expr("vec_id div 40").alias("user_id")).distinct()
+    return adapters.plies(spark, sf_dir, wanted, 40).select(F.col("user_id").alias("game"), (F.col("ply") - 1).alias("ply"), "before")
 
 
 def legal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal moves by score, with the share of the sum for reports."""
     p = adapters.plies163(spark, sf_dir).join(_positions(spark, sf_dir), ["game", "ply"]).select("game", "ply", "p", "before", F.expr(decode.marginals("p")).alias("m"))
-    scored = p.select("game", "ply", F.expr(decode.scored_moves("before", "p", "m")).alias("s")).withColumn("t", F.expr("aggregate(s, 0D, (t, x) -> t + x.score)"))
-    return scored.select("game", "ply", "t", F.posexplode_outer("s").alias("rank", "x")).select("game", "ply", "rank", F.col("x.move.notation").alias("notation"), F.round("x.score", 6).alias("score"), F.round(F.expr("x.score / if(t = 0, 1D, t)"), 6).alias("share"))
+    scored = p.select("game", "ply", F.expr(decode.scored_moves("before", "p", "m")).alias("s")).withColumn("t", F.expr("aggregate(s, 0D, (t, x) -> t - x.neg)"))
+    return scored.select("game", "ply", "t", F.posexplode_outer("s").alias("rank", "x")).select("game", "ply", "rank", F.col("x.notation").alias("notation"), F.round(-F.col("x.neg"), 6).alias("score"), F.round(F.expr("-x.neg / if(t = 0, 1D, t)"), 6).alias("share"))
 
 
 def legal_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal moves by their own class probability rounded to 4, ties by text."""
     p = adapters.plies163(spark, sf_dir).join(_positions(spark, sf_dir), ["game", "ply"])
-    notes = F.expr(f"array_sort(transform({rules.legal('before')}, a -> {rules.play('before', 'a')}.notation))")
+    notes = F.expr(f"array_sort({rules.notations('before')})")
     alt = p.select("game", "ply", "p", notes.alias("n")).select("game", "ply", F.expr(f"array_sort(transform(n, (t, i) -> named_struct('np', -round(p[{decode.class_index('t')}], 4), 'i', i, 't', t)))").alias("a"))
     return alt.select("game", "ply", F.posexplode_outer("a").alias("rank", "x")).select("game", "ply", "rank", F.col("x.t").alias("notation"), (-F.col("x.np")).alias("p"))
 
 
+def _n_vectors(spark: SparkSession, sf_dir: str) -> int:
+    return adapters.table(spark, sf_dir, "embeddings").count()
+
+
 def evidence_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-likelihood of diagrams after plies 20 and 40 given the board."""
-    boards = adapters.plies(spark, sf_dir).filter("ply in (20, 40)").select("user_id", "ply", F.col("after").alias("g"))
-    seen = boards.select("user_id", "ply", "g", F.explode(F.expr("sequence(0, 19)")).alias("k")).withColumn("vec_id", F.expr("(user_id * 13 + ply + k) % 500"))
-    z = adapters.logits64(spark, sf_dir).select("vec_id", F.expr(prob.softmax(prob.diagram_logits("z", "vec_id"))).alias("p"))
-    # k 0-17: pits; 18, 19: kazans, whose evidence is limited to 10-81.
-    dist = F.when(F.col("k") >= 18, F.expr(prob.class_filter("p", "i between 10 and 81"))).otherwise(F.expr(prob.class_filter("p", "i < 84")))
-    both = seen.join(z, "vec_id").withColumn("q", dist)
-    count = F.expr("if(k >= 18, g.kazans[k - 18], g.pits[least(k, 17)])")
-    owned = F.expr("k < 18 and g.tuz[1 - k div 9] = k % 9")
-    chance = F.expr(f"case when n > 81 then 0D when owned then q[{prob.X}] when k < 18 and n = 0 then q[{prob.DASH}] + q[0] else q[n] end")
-    term = F.expr("if(k >= 18, ln(greatest(coalesce(c, 0D), 1e-4D)), 0.5D * ln(greatest(coalesce(c, 0D), 1e-3D)))")
-    rows = both.withColumn("n", count).withColumn("owned", owned).withColumn("c", chance).withColumn("t", term)
-    return rows.groupBy("user_id", "ply").agg(F.round(F.sum("t"), 6).alias("logp"))
+    """Log-likelihood given the board of a diagram after every 20th ply."""
+    boards = adapters.plies(spark, sf_dir).filter("ply % 20 = 0").select("user_id", "ply", F.col("after").alias("g"))
+    seen = adapters.diagram_cells(boards.select("user_id", "ply"), _n_vectors(spark, sf_dir))
+    read = seen.join(adapters.diagrams85(spark, sf_dir), "vec_id").select("user_id", "ply", "k", F.expr(decode.diagram_filter("k", "p")).alias("d"))
+    checks = read.groupBy("user_id", "ply").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("check")).select("user_id", "ply", F.col("check.d").alias("check"))
+    return boards.join(checks, ["user_id", "ply"]).select("user_id", "ply", F.round(F.expr(decode.evidence("g", "check")), 6).alias("logp"))
 
 
 def beam_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +134,7 @@ def _beams(spark: SparkSession, sf_dir: str, width: int, plies: int | None = Non
     p = adapters.plies163(spark, sf_dir)
     if plies is not None:
         p = p.filter(F.col("ply") < plies)
-    dist = p.select("game", "ply", F.struct("p", F.expr(decode.marginals("p")).alias("marg")).alias("q"))
+    dist = p.select("game", "ply", F.struct("p", F.expr(decode.marginals("p")).alias("marg"), F.lit(None).cast(decode.CHECK).alias("check")).alias("q"))
     games = dist.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("ply", "q"))).alias("d")).select("game", F.col("d.q").alias("d"))
     return games.select("game", F.expr(decode.beam("d", width)).alias("b"))
 
@@ -211,8 +210,8 @@ ORACLE = {
     + """, zz AS (SELECT vec_id, c AS i, 8.0::DOUBLE * embedding[c % 64 + 1]::DOUBLE + ((c * 37 + vec_id * 11) % 101)::DOUBLE / 50.0::DOUBLE AS z FROM embeddings, range(85) r(c)),
     ee AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM zz), pp AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ee),
     tot AS (SELECT vec_id, sum(p) FILTER (WHERE i BETWEEN 10 AND 81) AS kz, sum(p) FILTER (WHERE i < 84) AS pt FROM pp GROUP BY vec_id),
-    ob AS (SELECT user_id, ply, k, (user_id * 13 + ply + k) % 500 AS vec_id, CASE WHEN k = 18 THEN k0 WHEN k = 19 THEN k1 ELSE pits[k + 1] END AS n,
-           k < 18 AND CASE WHEN k // 9 = 1 THEN t0 ELSE t1 END = k % 9 AS owned FROM plies, range(20) r(k) WHERE ply IN (20, 40)),
+    ob AS (SELECT user_id, ply, k, (user_id * 13 + ply + k) % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN k = 18 THEN k0 WHEN k = 19 THEN k1 ELSE pits[k + 1] END AS n,
+           k < 18 AND CASE WHEN k // 9 = 1 THEN t0 ELSE t1 END = k % 9 AS owned FROM plies, range(20) r(k) WHERE ply % 20 = 0),
     ch AS (SELECT o.user_id, o.ply, o.k, CASE WHEN o.n > 81 THEN 0 WHEN o.k >= 18 THEN CASE WHEN o.n BETWEEN 10 AND 81 THEN a.p / t.kz ELSE 0 END
            WHEN o.owned THEN x.p / t.pt WHEN o.n = 0 THEN (d.p + a.p) / t.pt ELSE a.p / t.pt END AS c
            FROM ob o JOIN tot t USING (vec_id) LEFT JOIN pp a ON a.vec_id = o.vec_id AND a.i = o.n JOIN pp x ON x.vec_id = o.vec_id AND x.i = 82 JOIN pp d ON d.vec_id = o.vec_id AND d.i = 83)
