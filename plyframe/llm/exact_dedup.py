@@ -10,15 +10,17 @@ Members find their group through the key of their partition-local
 representative, never through the text, so no join key is hot.
 
 Null text counts as empty.  Null ids lose against any id; of rows that are
-equal in all of this exactly one stays.  An empty table gives an empty result.
-Other columns are carried in a struct, so their names can't clash.
+equal in all of this exactly one stays.  A very long text is one byte string in
+one trie; Arrow batches are taken in parts of about 1 MB of text, whole rows.  An
+empty table gives an empty result.  Other columns are carried in a struct, so
+their names can't clash.
 """
 
 from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import WHITE, text_or_empty, written
+from ._shared import WHITE, slices, text_or_empty, written
 
-#: Guessed bytes of a trie node besides its label.
-NODE_BYTES = 250
+#: Guessed bytes of a trie node besides its label, and of a member of its list.
+NODE_BYTES, MEMBER_BYTES = 250, 40
+#: Files that an owner has open at most; more spilled subtrees share them.
+MOST_FILES = 32
 
 
 class _Node:
@@ -54,8 +58,8 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 class RadixTrie:
     """A Patricia trie over byte strings; insert() returns the terminal node."""
 
-    def __init__(self):
-        self.root, self.size = _Node(b""), 0
+    def __init__(self, item_bytes: Callable[[object], int] = lambda item: 0):
+        self.root, self.size, self.item_bytes = _Node(b""), 0, item_bytes
 
     def insert(self, key: bytes) -> _Node:
         node, at = self.root, 0
@@ -105,7 +109,7 @@ class RadixTrie:
             total, stack = 0, [top]
             while stack:
                 x = stack.pop()
-                total += NODE_BYTES + len(x.label)
+                total += NODE_BYTES + len(x.label) + (self.item_bytes(x.item) if x.item is not None else 0)
                 stack += (x.kids or {}).values()
             return total
 
@@ -124,13 +128,24 @@ class _Owner:
     """Folds (key, best, count, members) with equal keys, in bounded memory."""
 
     def __init__(self, most: int):
-        self.most, self.trie, self.spilled = most, RadixTrie(), {}
+        self.most, self.trie = most, self._trie()
+        self.files, self.spilled, self.lengths = [], {}, set()
+
+    @staticmethod
+    def _trie() -> RadixTrie:
+        return RadixTrie(lambda item: MEMBER_BYTES * len(item[2]))
+
+    def _file_of(self, key: bytes):
+        """The file of the spilled subtree that a key belongs to, or None."""
+        for n in self.lengths:
+            if (file := self.spilled.get(key[:n])) is not None:
+                return file
+        return None
 
     def add(self, key: bytes, best: tuple, count: int, members: list[int]) -> None:
-        for prefix, file in self.spilled.items():
-            if key.startswith(prefix):
-                pickle.dump((key, best, count, members), file)
-                return
+        if (file := self._file_of(key)) is not None:
+            pickle.dump((key, best, count, members), file)
+            return
         node = self.trie.insert(key)
         if node.item is None:
             node.item = [best, count, members]
@@ -138,18 +153,21 @@ class _Owner:
             node.item[0] = _better(node.item[0], best)
             node.item[1] += count
             node.item[2] += members
-        self.trie.size += 40 * len(members)
+        self.trie.size += MEMBER_BYTES * len(members)
         if self.trie.size > self.most:
             prefix, entries = self.trie.cut_heaviest()
             if entries:
-                self.spilled[prefix] = file = tempfile.TemporaryFile()
+                if len(self.files) < MOST_FILES:
+                    self.files.append(tempfile.TemporaryFile())
+                self.spilled[prefix] = file = self.files[len(self.spilled) % MOST_FILES]
+                self.lengths.add(len(prefix))
                 for k, (b, n, m) in entries:
                     pickle.dump((k, b, n, m), file)
 
     def groups(self) -> Iterator[tuple[bytes, list]]:
         yield from self.trie.walk()
-        self.trie = RadixTrie()
-        for file in self.spilled.values():
+        self.trie = self._trie()
+        for file in self.files:
             end = file.tell()
             file.seek(0)
             inner = _Owner(self.most)
@@ -189,7 +207,7 @@ def _fold_partition(most: int):
                 names=["is_rep", "rep", "id", "n_cp", "row_key", "sha", "size", "payload", "carry"],
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "norm")):
             carried = batch.column("carry").type
             ids, lengths = batch.column("id").to_pylist(), batch.column("n_cp").to_pylist()
             mine = []
@@ -220,7 +238,7 @@ def _fold_partition(most: int):
 def _own_partition(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = _Owner(most)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "payload")):
             c = {n: batch.column(n).to_pylist() for n in ("rep", "id", "n_cp", "row_key", "size", "payload")}
             for rep, doc, n, key, size, text in zip(*c.values(), strict=True):
                 owner.add(text, (n, doc, key), size, [rep])
