@@ -2,7 +2,8 @@
 
 Writer: one archive per task, each record a gzip member of its own.  Of records
 with equal payloads of at least `min_bytes`, the one with the largest id is a
-response and the others are revisits of it.  Archives get a unique name per
+response and the others are revisits of it.  Only responses carry a payload, and
+each payload travels once.  Archives get a unique name per
 attempt; a manifest that Spark commits names the ones that count, so retried
 tasks leave no trace in what is read.
 
@@ -12,8 +13,11 @@ header, and owns the records whose member starts inside the range; from there
 members follow each other, and the last may end beyond the range.
 
 Null payloads count as empty, null urls as the empty address.  Null ids are
-written as the empty id and lose against any id.  An empty table gives no
-archive and an empty result.
+written as the empty id and lose against any id.  Of rows that repeat id and
+payload the one with the largest url is the response, of rows equal in all one.
+A very long payload is one record; it is written and read in the task that has
+it.  Columns other than id, url and html are not looked at, so their names can't
+clash.  An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_path, written
+from ._shared import shared_path, slices, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Compressed bytes looked at to decide whether a member starts at a candidate.
@@ -62,30 +66,33 @@ def record_bytes(kind: str, record_id: str, url: str, payload: bytes | None, dig
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n") + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
 
 
-def assign_revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """digest (hex), payload_bytes and first (the id of the response, null for a
-    response) for each page.  The first id of a digest comes from a map-side
-    combined aggregate; the join back may be split by Spark where a payload is hot."""
+def assign_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
+    """One row per page: id, url, digest (hex), payload_bytes, is_response, and first (the
+    id of the response, for revisits).  Equal rows are counted first, map-side, so no
+    group of copies is gathered; a digest's one top row is joined to what is left."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("id").alias("first"))
-    return rows.join(first, "digest").select("id", "digest", "payload_bytes", F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    counts = rows.groupBy("id", "url", "digest", "payload_bytes").agg(F.count("*").alias("copies"))
+    tops = counts.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("top"))
+    told = counts.join(tops, "digest").withColumn("is_top", F.struct("id", "url").eqNullSafe(F.col("top")))
+    each = told.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    response = (F.col("payload_bytes") < min_bytes) | (F.col("is_top") & (F.col("nth") == 1))
+    return each.select("id", "url", "digest", "payload_bytes", response.alias("is_response"), F.when(~response, F.col("top.id")).alias("first"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write pages as archives; the manifest (path, length) as a DataFrame."""
     folder = shared_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    first = assign_revisits(pages, id_col, html_col, min_bytes)
-    body = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    # One row per (id, digest): equal pages under one id are told apart by nothing,
-    # so the join keeps their number by joining on distinct decisions.
-    rows = body.join(first.distinct(), [body.id.eqNullSafe(first.id), body.digest == first.digest]).select(body.id, "url", body.digest, "payload_bytes", "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+    told = written(assign_revisits(pages, id_col, url_col, html_col, min_bytes), "warc-records")
+    bodies = pages.select(F.sha1(payload).alias("digest"), payload.alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    responses = told.filter("is_response").join(bodies, "digest").select("id", "url", "digest", "payload_bytes", "is_response", "first", "payload")
+    rows = responses.unionByName(told.filter("not is_response").withColumn("payload", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, path, length = None, None, 0
-        for batch in batches:
-            for doc, url, digest, size, refers, payload in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "digest", "payload_bytes", "first", "payload")), strict=True):
+        for batch in (part for whole in batches for part in slices(whole, "payload")):
+            for doc, url, digest, size, response, refers, payload in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "digest", "payload_bytes", "is_response", "first", "payload")), strict=True):
                 if sink is None:
                     fs, inner = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(inner, recursive=True)
@@ -93,7 +100,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     sink, path = fs.open_output_stream(f"{inner}/{name}", compression=None), f"{folder}/{name}"
                 name = "" if doc is None else str(doc)
                 bare = base64.b32encode(bytes.fromhex(digest)).decode()
-                data = record_bytes("response" if refers is None else "revisit", name, url.replace("\r", "%0D").replace("\n", "%0A"), payload, bare, size, None if refers is None else str(refers))
+                refers_to = None if response else "" if refers is None else str(refers)
+                data = record_bytes("response" if response else "revisit", name, url.replace("\r", "%0D").replace("\n", "%0A"), payload, bare, size, refers_to)
                 sink.write(data)
                 length += len(data)
         if sink is not None:
@@ -200,7 +208,8 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def read_archives(archives: DataFrame, split_bytes: int = 16 << 20, block: bool = True) -> DataFrame:
     """The records of archives given as (path, length): path, position, fields
-    (map), block bytes, and the block's size and sha1.  Set block=False to leave
+    (map), block bytes, and the block's size and digest (base32 SHA-1, as headers
+    have it).  Set block=False to leave
     the bytes in the task that decoded them."""
     ranges = archives.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")).select("path", "start", F.least(F.col("length"), F.col("start") + split_bytes).alias("end"))
 
@@ -215,7 +224,7 @@ def read_archives(archives: DataFrame, split_bytes: int = 16 << 20, block: bool
                 with fs.open_input_file(inner) as file:
                     for at, record in records_in_range(file, start, end):
                         fields, body = parse_record(record)
-                        for column, value in zip(out, (path, at, list(fields.items()), len(body), hashlib.sha1(body).hexdigest(), body if block else None), strict=True):
+                        for column, value in zip(out, (path, at, list(fields.items()), len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), body if block else None), strict=True):
                             column.append(value)
                         size += len(body) * block + 300
                         if size > 8 << 20:
@@ -230,16 +239,17 @@ def read_archives(archives: DataFrame, split_bytes: int = 16 << 20, block: bool
 
 def page_records(records: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
-    A response's bytes must agree with its own header."""
+    A response's bytes must agree with its own header in length and digest."""
     named = lambda field: F.col("fields")[field]
     page = lambda field: F.regexp_extract(named(field), r"urn:page:(-?\d+)", 1)
     to_id = lambda field: F.when(page(field) != "", page(field).cast("long"))
     length = named("x-payload-length").cast("long")
-    sound = (named("warc-type") != "response") | (length == F.col("block_bytes"))
+    digest = F.regexp_replace(named("warc-payload-digest"), "^sha1:", "")
+    sound = (named("warc-type") != "response") | ((length == F.col("block_bytes")) & (digest == F.col("block_sha1")))
     return records.select(
         to_id("warc-record-id").alias("page_id"),
-        F.when(sound, length).otherwise(F.raise_error(F.concat(F.lit("payload of another length in "), F.col("path"))).cast("long")).alias("payload_bytes"),
-        F.regexp_replace(named("warc-payload-digest"), "^sha1:", "").alias("payload_digest"),
+        F.when(sound, length).otherwise(F.raise_error(F.concat(F.lit("a payload that its header does not agree with in "), F.col("path"))).cast("long")).alias("payload_bytes"),
+        digest.alias("payload_digest"),
         named("warc-type").alias("record_type"),
         to_id("warc-refers-to").alias("refers_to"),
     )
