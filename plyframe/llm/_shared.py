@@ -18,10 +18,12 @@ _own_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    spark.checkpoint.dir, or a fresh one where that is unset (local runs)."""
+    spark.checkpoint.dir, or a fresh one where that is unset and Spark runs locally."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -6,7 +6,8 @@ spread over many partitions.  Each task streams its rows once, a run of equal
 hashes at a time.  What a task can't know is how the runs at its two ends go
 on in its neighbours, nor does it hold a run longer than HOLD rows: such rows
 pass on undecided.  Their totals (two hashes per task, and one per HOLD rows, at
-most) are summed and joined back to them.
+most) are summed and joined back to them: by a broadcast while they are as few as
+that makes them, so that a hash of very many rows is never dealt to one task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 HOLD = 200_000
+#: Totals that are broadcast at most (some 40 bytes each).
+MOST_BROADCAST = 200_000
 
 
 def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, largest_first: bool = False) -> DataFrame:
@@ -95,4 +98,7 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
         .agg(F.count("*").alias("n_docs"), (F.max if largest_first else F.min)("doc").alias("first_doc"))
         .filter(F.col("n_docs") >= least_docs)
     )
+    totals = written(totals, f"{name}-totals")
+    if totals.count() <= MOST_BROADCAST:
+        totals = F.broadcast(totals)
     return found.filter("not edge").select(*fields, "first_doc").unionByName(edge.join(totals, hashes).select(*fields, "first_doc"))

@@ -8,7 +8,9 @@ the documents meet their bitmaps once, at the end.
 
 Null or empty text is one empty line.  Null ids are one document, smaller than
 any other.  Rows that repeat an id are one document too, each keeping or losing
-its own lines.  An empty table gives an empty result.
+its own lines.  A very long text is one row in the tasks that split it and that
+drop its lines.  Columns other than id and text are not looked at, so their names
+can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WHITE, text_or_empty, written
+from ._shared import WHITE, slices, text_or_empty, written
 from ._sorted_runs import repeated
 
 NO_ID = -(1 << 63)
@@ -79,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     joined = rows.join(maps, ["doc", "ver"], "left").select("id", "text", "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             total, gone, digest, kept = [], [], [], []
             for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist(), strict=True):
                 if bitmap is None:
