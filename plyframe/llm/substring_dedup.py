@@ -7,13 +7,15 @@ so boundaries depend on nothing but the bytes just before them, and an
 insertion shifts chunks without changing those that follow.  Stretches without
 a boundary, as in periodic text, are cut at the smallest hash 32 to 64 bytes
 after the last cut, which falls into step with the period.  Chunks are
-deduplicated by digest over all documents; neighbouring repeated chunks make a
-passage, reported from a given number of words on, in parts by the document
-that has them first.
+deduplicated by 128-bit digests over all documents, and so are pairs of
+neighbouring chunks: repeated chunks make a passage where their pairs are repeated as
+well (chunks that happen to be elsewhere one by one do not).  Passages are reported
+from a given number of words on, in parts by the document that has them first.
 
 Null or empty text has no chunks.  Null ids are one document, smaller than any
-other; rows that repeat an id are one document.  An empty table gives an empty
-result.
+other; rows that repeat an id are one document.  A very long text is chunked whole
+in the task that has it.  Only cut_repeats looks at other columns, and carries them
+in a struct, so their names can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import byte_buffer, slices, text_or_empty, written
+from ._shared import byte_buffer, mix64, slices, text_or_empty, written
 from ._sorted_runs import repeated
 
 #: Mean distance of candidate boundaries is 2 ** BITS bytes; the bits tested end
@@ -91,32 +93,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(row):
                 continue
             raw, digest = data.tobytes(), hashlib.blake2b
-            h = np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64)
+            h = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
             space = SPACE[data]
             begins = ~space
             begins[1:] &= space[:-1]
             upto = np.concatenate([[0], np.cumsum(begins)])
             doc, ver = batch.column("doc").to_numpy(), batch.column("ver").to_numpy()
-            cols = [h, doc[row], ver[row], start - offsets[row], end - start, upto[end] - upto[start]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "doc", "ver", "place", "length", "words"])
+            pair = np.flatnonzero(row[:-1] == row[1:])
+            two = [mix64(h[pair, k].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(h[pair + 1, k])).view(np.int64) for k in (0, 1)]
+            cols = [doc[row], ver[row], start - offsets[row], end - start, upto[end] - upto[start]]
+            for kind, hashes, at in ((0, [h[:, 0], h[:, 1]], slice(None)), (1, two, pair)):
+                rows = [*hashes, *[c[at] for c in cols], np.full(len(hashes[0]), kind)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["h1", "h2", "doc", "ver", "place", "length", "words", "pair"])
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, ver, place, length, words and first_doc of the chunks that are in
-    several documents; the smallest one holds the first occurrence."""
-    rows = docs.select(*_ids(id_col, text_col), text_or_empty(text_col).alias("text")).mapInArrow(_chunks, "h long, doc long, ver long, place long, length long, words long")
-    return repeated(written(rows, "chunks"), ["h"], 2, "chunk-runs").drop("h")
+    several documents (the smallest one holds the first occurrence), and linked:
+    whether the pair with the next chunk is in several documents."""
+    rows = docs.select(*_ids(id_col, text_col), text_or_empty(text_col).alias("text")).mapInArrow(_chunks, "h1 long, h2 long, doc long, ver long, place long, length long, words long, pair long")
+    found = repeated(written(rows, "chunks"), ["h1", "h2"], 2, "chunk-runs")
+    of = lambda c: F.max(F.when(F.col("pair") == 0, F.col(c))).alias(c)
+    by_place = found.groupBy("doc", "ver", "place").agg(of("length"), of("words"), of("first_doc"), F.max("pair").alias("pair"))
+    return by_place.filter("length is not null").withColumn("linked", F.col("pair") == 1).drop("pair")
 
 
 def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Repeated chunks with the number of their run of neighbouring ones, and of the
     part of it in which first_doc stays the same."""
     by = Window.partitionBy("doc", "ver").orderBy("place")
+    follows = (F.lag(F.col("place") + F.col("length")).over(by) == F.col("place")) & F.lag("linked").over(by)
     return (
         repeated_chunks(docs, id_col, text_col)
-        .dropDuplicates(["doc", "ver", "place"])
         .withColumn("first", F.col("doc") == F.col("first_doc"))
-        .withColumn("new", F.coalesce(F.lag(F.col("place") + F.col("length")).over(by), F.lit(-1)) != F.col("place"))
+        .withColumn("new", ~F.coalesce(follows, F.lit(False)))
         .withColumn("other", F.col("new") | (F.lag("first_doc").over(by) != F.col("first_doc")))
         .withColumn("run", F.sum(F.col("new").cast("int")).over(by))
         .withColumn("part", F.sum(F.col("other").cast("int")).over(by))
@@ -137,7 +147,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 15, id_col: str = "doc_i
     """One row per passage: doc, ver, start and end (bytes of the text in UTF-8),
     words, first_doc, and is_first where all of the passage is the first occurrence.
 
-    A passage is a run of neighbouring chunks that other documents have as well.
+    A passage is a run of neighbouring chunks that other documents have as well, next to
+    each other.
     Whole chunks lie within a repeated passage only, so a passage of 50 words
     shows with fewer; min_words counts what is shown.  What may be cut is told by
     passage_parts.
