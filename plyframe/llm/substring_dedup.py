@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import byte_buffer, mix64, slices, text_or_empty, written
+from ._shared import byte_buffer, mix64, slices, text_or_empty
 from ._sorted_runs import repeated
 
 #: Mean distance of candidate boundaries is 2 ** BITS bytes; the bits tested end
@@ -100,9 +100,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upto = np.concatenate([[0], np.cumsum(begins)])
             doc, ver = batch.column("doc").to_numpy(), batch.column("ver").to_numpy()
             pair = np.flatnonzero(row[:-1] == row[1:])
-            two = [mix64(h[pair, k].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(h[pair + 1, k])).view(np.int64) for k in (0, 1)]
+            # Pairs only tell whether chunks belong together: 64 bits do.
+            both = mix64(h[pair, 0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(h[pair + 1, 0])).view(np.int64)
             cols = [doc[row], ver[row], start - offsets[row], end - start, upto[end] - upto[start]]
-            for kind, hashes, at in ((0, [h[:, 0], h[:, 1]], slice(None)), (1, two, pair)):
+            for kind, hashes, at in ((0, [h[:, 0], h[:, 1]], slice(None)), (1, [both, np.zeros(len(pair), np.int64)], pair)):
                 rows = [*hashes, *[c[at] for c in cols], np.full(len(hashes[0]), kind)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["h1", "h2", "doc", "ver", "place", "length", "words", "pair"])
 
@@ -112,7 +113,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several documents (the smallest one holds the first occurrence), and linked:
     whether the pair with the next chunk is in several documents."""
     rows = docs.select(*_ids(id_col, text_col), text_or_empty(text_col).alias("text")).mapInArrow(_chunks, "h1 long, h2 long, doc long, ver long, place long, length long, words long, pair long")
-    found = repeated(written(rows, "chunks"), ["h1", "h2"], 2, "chunk-runs")
+    # Chunking twice (once for the bounds of the ranges) costs less than the disk to keep them.
+    found = repeated(rows, ["h1", "h2"], 2, "chunk-runs")
     of = lambda c: F.max(F.when(F.col("pair") == 0, F.col(c))).alias(c)
     by_place = found.groupBy("doc", "ver", "place").agg(of("length"), of("words"), of("first_doc"), F.max("pair").alias("pair"))
     return by_place.filter("length is not null").withColumn("linked", F.col("pair") == 1).drop("pair")
