@@ -187,13 +187,16 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low, high, chars = ids.agg(F.min("x"), F.max("x"), F.sum("chars")).first()
     if low is None:
         low, high, chars = 0, 0, 0
-    # Cells take several times the text's memory, so partitions go by the text.
-    rows = rows.repartition(1 + chars // PART_CHARS, "x")
+    # Cells take several times the text's memory, so partitions go by the text; all that
+    # is joined has as many, or Spark would deal the texts once more.
+    parts = 1 + chars // PART_CHARS
+    rows = rows.repartition(parts, "x")
     follows = next_smaller(ids.select("x"), low, high).select("x", F.coalesce("next", F.lit(high)).alias("next"))
-    wanted = follows.join(ids, "x").select(F.col("x").alias("of"), "next", "k")
+    wanted = follows.join(ids, "x").select(F.col("x").alias("of"), "next", "k").repartition(parts, "next")
     tails = (
         rows.join(wanted, rows.x == wanted.next)
         .select("of", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("tail"), "digests", "nth").alias("t"))
+        .repartition(parts, "of")
         .groupBy("of")
         .agg(F.min("t").alias("t"))
     )
