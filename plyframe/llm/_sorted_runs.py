@@ -6,8 +6,9 @@ spread over many partitions.  Each task streams its rows once, a run of equal
 hashes at a time.  What a task can't know is how the runs at its two ends go
 on in its neighbours, nor does it hold a run longer than HOLD rows: such rows
 pass on undecided.  Their totals (two hashes per task, and one per HOLD rows, at
-most) are summed and joined back to them: by a broadcast while they are as few as
-that makes them, so that a hash of very many rows is never dealt to one task.
+most) are summed, counted, and while they are as few as that makes them broadcast to
+the tasks that read the undecided rows, so that a hash of very many rows is never
+dealt to one task; beyond MOST_BROADCAST they are joined.
 """
 
 from __future__ import annotations
@@ -99,6 +100,23 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
         .filter(F.col("n_docs") >= least_docs)
     )
     totals = written(totals, f"{name}-totals")
-    if totals.count() <= MOST_BROADCAST:
-        totals = F.broadcast(totals)
-    return found.filter("not edge").select(*fields, "first_doc").unionByName(edge.join(totals, hashes).select(*fields, "first_doc"))
+    if totals.count() > MOST_BROADCAST:
+        later = edge.join(totals, hashes).select(*fields, "first_doc")
+    else:
+        told = rows.sparkSession.sparkContext.broadcast({tuple(r[h] for h in hashes): r["first_doc"] for r in totals.collect()})
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
+                n = batch.num_rows
+                new = np.ones(n, bool)
+                new[1:] = np.logical_or.reduce([x[h][1:] != x[h][:-1] for h in hashes])
+                first = np.flatnonzero(new)
+                got = [told.value.get(tuple(int(x[h][i]) for h in hashes)) for i in first]
+                each = np.repeat(np.array([0 if g is None else g for g in got], np.int64), np.diff([*first, n]))
+                pick = np.repeat(np.array([g is not None for g in got], bool), np.diff([*first, n]))
+                if pick.any():
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[f][pick]) for f in fields], pa.array(each[pick])], names=[*fields, "first_doc"])
+
+        later = edge.mapInArrow(look_up, f"{kinds}, first_doc long")
+    return found.filter("not edge").select(*fields, "first_doc").unionByName(later)
