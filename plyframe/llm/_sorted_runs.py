@@ -3,12 +3,14 @@
 Rows (hash words, document, place) are range-partitioned and sorted by hash,
 then document and place, so that a hash that a third of all documents hold is
 spread over many partitions.  Each task streams its rows once, a run of equal
-hashes at a time.  What a task can't know is how the runs at its two ends go
-on in its neighbours, nor does it hold a run longer than HOLD rows: such rows
-pass on undecided.  Their totals (two hashes per task, and one per HOLD rows, at
-most) are summed, counted, and while they are as few as that makes them broadcast to
-the tasks that read the undecided rows, so that a hash of very many rows is never
-dealt to one task; beyond MOST_BROADCAST they are joined.
+hashes at a time.  Of a run that ends with the task it has the beginning, so it knows
+the first document, and that the run counts once least_docs documents are seen;
+of the run that it starts within it knows neither: those rows pass on undecided,
+while the task before adds a row for each of least_docs documents to the sums.  The
+totals of such hashes (two per task, and one per HOLD rows, at most) are counted,
+and while they are as few as that makes them broadcast to the tasks that read the
+undecided rows, so that a hash of very many rows is never dealt to one task; beyond
+MOST_BROADCAST they are joined.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 HOLD = 200_000
+#: What a task knows of a row; SUMMED rows only add to the totals.
+DECIDED, UNDECIDED, SUMMED = 0, 1, 2
 #: Totals that are broadcast at most (some 40 bytes each).
 MOST_BROADCAST = 200_000
 
@@ -41,7 +45,8 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {f: np.zeros(0, np.int64) for f in fields}
-        undecided = None  # the hash of a run of which this task misses the beginning
+        # The hash of an open run, and its first document (None: undecided).
+        open_run = open_first = None
         started = False
 
         def starts(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -49,8 +54,8 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
             new[1:] = np.logical_or.reduce([x[h][1:] != x[h][:-1] for h in hashes])
             return new
 
-        def batch_of(x: dict[str, np.ndarray], first_doc: np.ndarray, edge: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.array(x[f]) for f in fields], pa.array(first_doc), pa.array(np.full(len(first_doc), edge))], names=[*fields, "first_doc", "edge"])
+        def batch_of(x: dict[str, np.ndarray], first_doc: np.ndarray, state: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(x[f]) for f in fields], pa.array(first_doc), pa.array(np.full(len(first_doc), state, np.int32))], names=[*fields, "first_doc", "state"])
 
         def decided(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             new = starts(x)
@@ -60,22 +65,34 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
             run_of = np.cumsum(new) - 1
             pick = (np.add.reduceat(other, first, dtype=np.int64) >= least_docs)[run_of]
             if pick.any():
-                yield batch_of({f: v[pick] for f, v in x.items()}, x["doc"][first][run_of][pick], False)
+                yield batch_of({f: v[pick] for f, v in x.items()}, x["doc"][first][run_of][pick], DECIDED)
+
+        def cut_off(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """A run that may go on elsewhere: rows of DECIDED and of SUMMED, or UNDECIDED."""
+            other = np.ones(len(x["doc"]), bool)
+            other[1:] = x["doc"][1:] != x["doc"][:-1]
+            docs = np.flatnonzero(other)[:least_docs]
+            if len(docs) == least_docs:
+                yield batch_of(x, np.full(len(other), x["doc"][0]), DECIDED)
+                yield batch_of({f: v[docs] for f, v in x.items()}, x["doc"][docs], SUMMED)
+            else:
+                yield batch_of(x, x["doc"], UNDECIDED)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = {f: np.concatenate([held[f], batch.column(f).to_numpy(zero_copy_only=False)]) for f in fields}
             if not started:
-                started, undecided = True, tuple(x[h][0] for h in hashes)
+                started, open_run = True, tuple(x[h][0] for h in hashes)
             first = np.flatnonzero(starts(x))
-            if undecided is not None:
-                if tuple(x[h][0] for h in hashes) == undecided:
+            if open_run is not None:
+                if tuple(x[h][0] for h in hashes) == open_run:
                     cut = first[1] if len(first) > 1 else len(x["doc"])
-                    yield batch_of({f: v[:cut] for f, v in x.items()}, x["doc"][:cut], True)
+                    part = {f: v[:cut] for f, v in x.items()}
+                    yield batch_of(part, part["doc"] if open_first is None else np.full(cut, open_first), UNDECIDED if open_first is None else DECIDED)
                     x, first = {f: v[cut:] for f, v in x.items()}, first[1:] - cut
                 if len(first):
-                    undecided = None
+                    open_run = open_first = None
             if not len(first):
                 held = x
                 continue
@@ -83,17 +100,21 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
                 yield from decided({f: v[: first[-1]] for f, v in x.items()})
             held = {f: v[first[-1] :] for f, v in x.items()}
             if len(held["doc"]) > HOLD:
-                undecided = tuple(held[h][0] for h in hashes)
-                yield batch_of(held, held["doc"], True)
+                open_run = tuple(held[h][0] for h in hashes)
+                for part in cut_off(held):
+                    if part.column("state")[0].as_py() == DECIDED:
+                        open_first = int(held["doc"][0])
+                    yield part
                 held = {f: v[:0] for f, v in held.items()}
         if len(held["doc"]):
-            yield batch_of(held, held["doc"], True)
+            yield from cut_off(held)
 
     kinds = ", ".join(f"{f} long" for f in fields)
-    found = written(spread.mapInArrow(run, f"{kinds}, first_doc long, edge boolean"), name)
-    edge = found.filter("edge").drop("first_doc")
+    found = written(spread.mapInArrow(run, f"{kinds}, first_doc long, state int"), name)
+    edge = found.filter(F.col("state") == UNDECIDED).select(*fields)
     totals = (
-        edge.select(*hashes, "doc")
+        found.filter(F.col("state") != DECIDED)
+        .select(*hashes, "doc")
         .distinct()
         .groupBy(*hashes)
         .agg(F.count("*").alias("n_docs"), (F.max if largest_first else F.min)("doc").alias("first_doc"))
@@ -119,4 +140,4 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
                     yield pa.RecordBatch.from_arrays([*[pa.array(x[f][pick]) for f in fields], pa.array(each[pick])], names=[*fields, "first_doc"])
 
         later = edge.mapInArrow(look_up, f"{kinds}, first_doc long")
-    return found.filter("not edge").select(*fields, "first_doc").unionByName(later)
+    return found.filter(F.col("state") == DECIDED).select(*fields, "first_doc").unionByName(later)
