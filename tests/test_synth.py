@@ -1,0 +1,90 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from plyframe.operators import images as im
+from plyframe.operators import synth
+
+
+def _image(a):
+    return (a.shape[0], a.shape[1], bytearray(np.ascontiguousarray(a, dtype=np.uint8).tobytes()))
+
+
+def _pool(spark, sources=("ardis", "emnist")):
+    bar = np.zeros((30, 12), np.uint8)
+    bar[:, 4:8] = 255
+    rows = [(f"/{s}/{c}/{i}.png", s, c, _image(bar)) for s in sources for c in "0123456789" for i in range(3)]
+    return spark.createDataFrame(rows + [("/skip", "ardis", "5", None)], f"path string, source string, char string, mask {im.IMAGE}")
+
+
+REQUESTS = [("a", "move", "48x"), ("b", "move", "empty"), ("c", "diagram", "07"), ("d", "diagram", "-"), ("e", "diagram", "x"), ("f", "diagram", "empty"), ("g", "move", None), ("h", "move", "71")]
+
+
+def _requests(spark):
+    return spark.createDataFrame(REQUESTS, "cell_id string, kind string, class string")
+
+
+def test_photos_of_every_kind_are_made_twice_alike(spark):
+    first, again = ({r["cell_id"]: r["image"] for r in synth.synthesize(_requests(spark), _pool(spark), 5).collect()} for _ in range(2))
+    assert first == again and set(first) == {r[0] for r in REQUESTS}
+    assert first["g"]["pixels"] is None
+    for key in set(first) - {"g"}:
+        got = first[key]
+        assert len(got["pixels"]) == got["height"] * got["width"]
+        low, high = (20, 90) if key in "cdef" else (48, 190)
+        assert low <= got["height"] <= high
+    dark = np.frombuffer(bytes(first["h"]["pixels"]), np.uint8)
+    assert np.percentile(dark, 1) < np.median(dark) - 25
+
+
+def test_a_character_without_glyphs_gives_null(spark):
+    pool = _pool(spark).filter("char <> '4'")
+    rows = {r["cell_id"]: r["image"]["pixels"] for r in synth.synthesize(_requests(spark), pool).collect()}
+    assert rows["a"] is None and rows["h"] is not None and rows["e"] is not None
+
+
+def test_shares_of_sources(spark):
+    many = spark.range(4000).select("id", F.lit("move").alias("kind"), F.lit("1x").alias("class")).withColumnRenamed("id", "cell_id")
+    got = {(r["char"], r["source"]): r["count"] for r in synth.chosen_glyphs(many, _pool(spark)).groupBy("char", "source").count().collect()}
+    assert abs(got["1", "ardis"] / 4000 - 0.55) < 0.04 and got["1", "ardis"] + got["1", "emnist"] == 4000
+    assert got["x", None] == 4000
+
+
+def test_pool_from_photos(spark):
+    page = np.full((30, 20), 220, np.uint8)
+    page[5:25, 8:12] = 30
+    rows = [("/raw/7/a_b.png", _image(page)), ("/raw/7/blank.png", _image(np.full((30, 20), 220))), ("/raw/q/z.png", _image(page)), ("/raw/x_3.png", None)]
+    pool = synth.glyph_pool(spark.createDataFrame(rows, f"path string, image {im.IMAGE}"), "ardis").cache()
+    got = pool.filter("path = '/raw/7/a_b.png'").first()
+    assert got["char"] == "7" and (got["mask"]["height"], got["mask"]["width"]) == (20, 4) and set(got["mask"]["pixels"]) == {255}
+    assert {r["char"]: r["glyphs"] for r in synth.pool_counts(pool).collect()} == {"7": 1, None: 3}
+
+
+def test_helpers():
+    rng = np.random.default_rng(1)
+    seven = np.zeros((40, 20))
+    seven[:, 9:11] = 1
+    barred = synth.with_bar(seven, rng)
+    assert (barred >= seven).all() and barred[14:26].max(axis=0).sum() > 15
+    flagged = synth.with_flag(seven, rng)
+    assert flagged.shape[0] == 40 and flagged.shape[1] >= 20 and flagged.sum() > seven.sum() + 5
+    assert np.allclose(synth.bezier((0, 0), (1, 2), (2, 0))[[0, -1]], [(0, 0), (2, 0)])
+    assert synth.drawn_cross(rng).max() > 0.8 and synth.dash(rng).shape[1] > 35
+    assert abs(synth.turned(seven, 0, 0).sum() - seven.sum()) < 1e-6
+    lean = synth.turned(seven, 0, 0.3)
+    assert lean[:3].argmax(axis=1).mean() > lean[-3:].argmax(axis=1).mean()
+    alpha = np.zeros((4, 4))
+    synth.pasted(alpha, np.ones((3, 3)), 2, -1)
+    assert alpha.sum() == 4 and alpha[:2, 2:].all()
+    synth.pasted(alpha, np.ones((3, 3)), 9, 9)
+    grey = np.rint(np.random.default_rng(2).uniform(90, 160, (21, 13)))
+    assert np.abs(synth.jpeg_like(grey, 85) - grey).mean() < np.abs(synth.jpeg_like(grey, 25) - grey).mean() < 30
+    assert np.allclose(synth.blurred(np.full((9, 9), 7.0), 1.0), 7)
+
+
+def test_fitted(spark):
+    cell = np.full((40, 60), 250, np.uint8)
+    cell[3:13, 2:12] = 0
+    got = spark.createDataFrame([(_image(cell),)], f"image {im.IMAGE}").select(synth.fitted(F.col("image"), 50, 100).alias("i")).first()["i"]
+    out = np.frombuffer(bytes(got["pixels"]), np.uint8).reshape(50, 100)
+    ys, xs = np.nonzero(out < 128)
+    assert (ys.min(), ys.max(), xs.min(), xs.max()) == (5, 44, 30, 69)
