@@ -169,6 +169,42 @@ def logits(image: Column, runner: Callable[[], Callable[[np.ndarray], np.ndarray
     return F.pandas_udf(run, "array<float>")(image)
 
 
+def probabilities(image: Column, runner: Callable[[], Callable[[np.ndarray], np.ndarray]], temperature: float = 1.0, views: bool = True, batch: int = 64) -> Column:
+    """array<double> of class probabilities for each image: the mean over its seven
+    shifted views of the softmax of a classifier's logits, `batch` views at a time.
+
+    The views are made beside the model, so an image enters Python once.
+    """
+    shifts = SHIFTS if views else SHIFTS[:1]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        classify = runner()
+        step = max(1, batch // len(shifts))
+        for part in parts:
+            grays = [_pixels(h, w, raw) for h, w, raw in zip(part["height"], part["width"], part["pixels"])]
+            good = [i for i, g in enumerate(grays) if g is not None]
+            out: list = [None] * len(grays)
+            for at in range(0, len(good), step):
+                chosen = good[at : at + step]
+                inputs = [model_input(_shifted(grays[i], dx, dy)) for i in chosen for dx, dy in shifts]
+                scores = np.asarray(classify(np.stack(inputs)[:, None]), np.float64) / temperature
+                share = np.exp(scores - scores.max(axis=1, keepdims=True))
+                share /= share.sum(axis=1, keepdims=True)
+                for i, mean in zip(chosen, share.reshape(len(chosen), len(shifts), -1).mean(axis=1)):
+                    out[i] = mean
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<double>")(image)
+
+
+def _shifted(image: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """The view of with_views; an image too small for a shift stays whole."""
+    height, width = image.shape
+    view = image[max(0, dy) : height + min(0, dy), max(0, dx) : width + min(0, dx)]
+    return view if view.size else image
+
+
 def _count(mask: np.ndarray, before: int, after: int, axis: int) -> np.ndarray:
     """How many of mask are set from `before` cells back to `after` cells on, inside the image."""
     n = mask.shape[axis]

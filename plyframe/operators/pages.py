@@ -146,23 +146,36 @@ def tables(found: Column) -> Column:
     Quads of half to twice the median area are taken if there are eight such, else
     all; the eight largest of them stay (ties: as found).  Null if fewer than eight.
     """
-    areas = F.array_sort(F.transform(found, lambda q: q["area"]))
-    n = F.size(found)
-    median = (F.get(areas, F.floor((n - 1) / 2).cast("int")) + F.get(areas, F.floor(n / 2).cast("int"))) / 2
-    near = F.filter(found, lambda q: (q["area"] > 0.5 * median) & (q["area"] < 2.0 * median))
-    chosen = F.when(F.size(near) >= TABLES, near).otherwise(found)
 
-    def mean(quad: Column, axis: str) -> Column:
-        return F.aggregate(quad["corners"], F.lit(0.0), lambda total, p: total + p[axis]) / 4
+    def total(quad: Column, axis: str) -> Column:
+        return F.aggregate(quad["corners"], F.lit(0.0), lambda total, p: total + p[axis])
 
     def ordered(quads: Column, key) -> Column:
         keyed = F.transform(quads, lambda q, i: F.struct(key(q).alias("key"), i.alias("at"), q.alias("quad")))
         return F.transform(F.array_sort(keyed, _by_key), lambda s: s["quad"])
 
-    largest = F.slice(ordered(chosen, lambda q: -q["area"]), 1, TABLES)
-    down = ordered(largest, lambda q: mean(q, "y"))
-    bands = [ordered(F.slice(down, at, 4), lambda q: mean(q, "x")) for at in (1, 5)]
-    return F.when(n >= TABLES, F.concat(*bands))
+    def middle(quads: Column) -> Column:
+        areas = F.array_sort(F.transform(quads, lambda q: q["area"]))
+        n = F.size(quads)
+        return let(areas, lambda a: (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+
+    def near(quads: Column) -> Column:
+        return let(middle(quads), lambda m: F.filter(quads, lambda q: (q["area"] > 0.5 * m) & (q["area"] < 2.0 * m)))
+
+    def chosen(quads: Column) -> Column:
+        best = let(near(quads), lambda c: F.when(F.size(c) >= TABLES, c).otherwise(quads))
+        return F.slice(ordered(best, lambda q: -q["area"]), 1, TABLES)
+
+    def bands(quads: Column) -> Column:
+        down = ordered(chosen(quads), lambda q: total(q, "y"))
+        return let(down, lambda d: F.concat(*[ordered(F.slice(d, at, 4), lambda q: total(q, "x")) for at in (1, 5)]))
+
+    return let(found, lambda quads: F.when(F.size(quads) >= TABLES, bands(quads)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value named, not copied to each place that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _by_key(a: Column, b: Column) -> Column:
@@ -178,10 +191,12 @@ def skew(quads: Column) -> Column:
         a, b = F.get(quad["corners"], start), F.get(quad["corners"], end)
         return F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
 
+    def clipped(middle: Column) -> Column:
+        within = F.greatest(F.lit(-MAX_SKEW), F.least(F.lit(MAX_SKEW), middle))
+        return F.when(F.abs(middle) < 0.05, F.lit(0.0)).when(middle.isNotNull(), within)
+
     edges = F.array_sort(F.flatten(F.transform(quads, lambda q: F.array(angle(q, 0, 1), angle(q, 3, 2)))))
-    middle = (F.get(edges, TABLES - 1) + F.get(edges, TABLES)) / 2
-    clipped = F.greatest(F.lit(-MAX_SKEW), F.least(F.lit(MAX_SKEW), middle))
-    return F.when(F.abs(middle) < 0.05, F.lit(0.0)).when(middle.isNotNull(), clipped)
+    return let(let(edges, lambda e: (F.get(e, TABLES - 1) + F.get(e, TABLES)) / 2), clipped)
 
 
 def _cubic(t: np.ndarray) -> list[np.ndarray]:
@@ -239,6 +254,33 @@ def grid(quads: Column) -> Column:
     def along(quad: Column, axis: str) -> Column:
         return F.transform(quad["corners"], lambda p: p[axis])
 
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def edge(boxes: Column, name: str) -> Column:
+        return F.array(*[(F.get(boxes, c)[name] + F.get(boxes, c + 4)[name]) / 2 for c in range(4)])
+
+    def line(boxes: Column, band: int, name: str) -> Column:
+        part = F.slice(boxes, 4 * band + 1, 4)
+        means = F.struct((total(F.transform(part, lambda b: (b["x0"] + b["x1"]) / 2)) / 4).alias("x"), (total(F.transform(part, lambda b: b[name])) / 4).alias("y"))
+
+        def fit(mean: Column) -> Column:
+            spread = total(F.transform(part, lambda b: F.pow((b["x0"] + b["x1"]) / 2 - mean["x"], F.lit(2.0))))
+            joint = total(F.transform(part, lambda b: ((b["x0"] + b["x1"]) / 2 - mean["x"]) * (b[name] - mean["y"])))
+            slope = F.coalesce(F.try_divide(joint, spread), F.lit(0.0))
+            return let(slope, lambda s: F.struct(s.alias("slope"), (mean["y"] - s * mean["x"]).alias("offset")))
+
+        return let(means, fit)
+
+    def of(boxes: Column) -> Column:
+        return F.struct(
+            edge(boxes, "x0").alias("x0"),
+            edge(boxes, "x1").alias("x1"),
+            F.array(line(boxes, 0, "y0"), line(boxes, 1, "y0")).alias("top"),
+            F.array(line(boxes, 0, "y1"), line(boxes, 1, "y1")).alias("bottom"),
+            (total(F.transform(boxes, lambda b: b["y1"] - b["y0"])) / TABLES / (ROWS + 1)).alias("cell"),
+        )
+
     boxes = F.transform(
         quads,
         lambda q: F.struct(
@@ -248,29 +290,7 @@ def grid(quads: Column) -> Column:
             F.array_max(along(q, "y")).alias("y1"),
         ),
     )
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-    def edge(name: str) -> Column:
-        return F.array(*[(F.get(boxes, c)[name] + F.get(boxes, c + 4)[name]) / 2 for c in range(4)])
-
-    def line(band: int, name: str) -> Column:
-        part = F.slice(boxes, 4 * band + 1, 4)
-        centre = total(F.transform(part, lambda b: (b["x0"] + b["x1"]) / 2)) / 4
-        level = total(F.transform(part, lambda b: b[name])) / 4
-        spread = total(F.transform(part, lambda b: F.pow((b["x0"] + b["x1"]) / 2 - centre, F.lit(2.0))))
-        joint = total(F.transform(part, lambda b: ((b["x0"] + b["x1"]) / 2 - centre) * (b[name] - level)))
-        slope = F.when(spread > 0, joint / spread).otherwise(F.lit(0.0))
-        return F.struct(slope.alias("slope"), (level - slope * centre).alias("offset"))
-
-    return F.struct(
-        edge("x0").alias("x0"),
-        edge("x1").alias("x1"),
-        F.array(line(0, "y0"), line(1, "y0")).alias("top"),
-        F.array(line(0, "y1"), line(1, "y1")).alias("bottom"),
-        (total(F.transform(boxes, lambda b: b["y1"] - b["y0"])) / TABLES / (ROWS + 1)).alias("cell"),
-    )
+    return let(boxes, of)
 
 
 def _table_parts(found: Column, i: Column, per: int) -> tuple[Column, Column, Column, Column]:
@@ -359,28 +379,37 @@ def crops(image: Column, boxes: Column) -> Column:
     return F.pandas_udf(cut, f"array<{IMAGE}>")(image, boxes)
 
 
+def fixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows with a column that is computed once: a generator of one value keeps the
+    optimizer from copying it (a UDF too) to each place that uses it."""
+    kept = [c for c in rows.columns if c != name]
+    return rows.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def with_layout(pages: DataFrame, image: str = "image") -> DataFrame:
     """Pages turned level, with `boxes` (160 moves, 160 of diagrams), `coarse` (the
-    median move cell is under 35 pixels high) and `error` (null where all is well)."""
-    first = pages.withColumn("_found", components(F.col(image))).withColumn("_tables", tables(F.col("_found")))
-    level = first.withColumn("_skew", skew(F.col("_tables"))).withColumn(image, rotate(F.col(image), F.col("_skew")))
-    again = level.withColumn("_found", components(F.col(image))).withColumn("_tables", tables(F.col("_found")))
-    again = again.withColumn("_grid", grid(F.col("_tables")))
+    upper median of the move cells is under 35 pixels high) and `error` (null where all is well)."""
+    first = fixed(fixed(pages, "_found", components(F.col(image))), "_tables", tables(F.col("_found")))
+    level = fixed(first, image, rotate(F.col(image), skew(F.col("_tables")))).drop("_found", "_tables")
+    again = fixed(fixed(level, "_found", components(F.col(image))), "_tables", tables(F.col("_found")))
     good = F.size("_found") >= TABLES
-    boxes = F.when(good, clamped(F.concat(move_boxes(F.col("_grid")), diagram_boxes(F.col("_grid"))), F.col(image)))
+    placed = let(grid(F.col("_tables")), lambda g: F.concat(move_boxes(g), diagram_boxes(g)))
+    again = fixed(again, "boxes", F.when(good, clamped(placed, F.col(image))))
     heights = F.array_sort(F.transform(F.filter(F.col("boxes"), lambda b: b["kind"] == "move"), lambda b: b["h"]))
-    half = TABLES * ROWS
-    short = (F.get(heights, half - 1) + F.get(heights, half)) / 2 < COARSE
+    short = F.get(heights, TABLES * ROWS) < COARSE
     text = F.when(F.col("_found").isNull(), "unreadable image").when(~good, F.format_string("found %d tables, need 8", F.size("_found")))
-    return again.withColumn("boxes", boxes).withColumn("coarse", short).withColumn("error", text).drop("_tables", "_found", "_grid", "_skew")
+    return again.withColumn("coarse", short).withColumn("error", text).drop("_tables", "_found")
 
 
-def cells(layout: DataFrame, image: str = "image") -> DataFrame:
+def cells(layout: DataFrame, image: str = "image", failed: bool = False) -> DataFrame:
     """A row a cell of pages with layout: the page's other columns, kind, move_no, side,
-    pit_index, bbox and the cell's image.  Pages with an error give no rows."""
-    kept = [c for c in layout.columns if c not in (image, "boxes", "coarse", "error", "kind", "move_no", "side", "pit_index", "bbox")]
-    cut = layout.filter(F.col("boxes").isNotNull()).select(*kept, "boxes", crops(F.col(image), F.col("boxes")).alias("_cut"))
-    rows = cut.select(*kept, F.explode(F.arrays_zip(F.col("boxes").alias("box"), F.col("_cut").alias("image"))).alias("_c"))
+    pit_index, bbox and the cell's image.  Pages with an error give no rows, or, with
+    `failed`, one row without a cell; coarse and error stay as columns then."""
+    left_out = {image, "boxes", "kind", "move_no", "side", "pit_index", "bbox"} | (set() if failed else {"coarse", "error"})
+    kept = [c for c in layout.columns if c not in left_out]
+    pages = layout if failed else layout.filter(F.col("boxes").isNotNull())
+    cut = pages.select(*kept, "boxes", crops(F.col(image), F.col("boxes")).alias("_cut"))
+    rows = cut.select(*kept, F.explode_outer(F.arrays_zip(F.col("boxes").alias("box"), F.col("_cut").alias("image"))).alias("_c"))
     box = F.col("_c.box")
     return rows.select(
         *kept,
