@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
+from . import alignment, exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
 from ._shared import WHITE, id_bucket
 
 
@@ -65,6 +65,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(F.col("doc") != substring_dedup.NO_ID, F.col("doc")).alias("doc_id"), "start", "end", "words", F.when(F.col("first_doc") != substring_dedup.NO_ID, F.col("first_doc")).alias("first_doc_id"), "is_first")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_iblt_fingerprints": op8_iblt_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
