@@ -235,7 +235,8 @@ def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_i
     entries = dictionaries.select("block", F.posexplode("words").alias("code", "word"))
     counted = dictionaries.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))).groupBy("word").agg(F.sum("n").alias("n"))
     words = written(encode(counted, names).withColumn("key", F.monotonically_increasing_id()), "alignment-words")
-    forms = aligned(words.select("key", "a", "a_len", "b", "b_len"))
+    # Dealt by chunk once, as arrays: windows, join and groups below keep that partitioning.
+    forms = aligned(words.select("key", "a", "a_len", "b", "b_len").repartition("key"))
     if not words.filter(~F.col("ok")).isEmpty():
         words = _without_bad(words, entries, texts)
     sized = words.select("key", "word", "n", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"))

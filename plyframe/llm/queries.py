@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, substring_dedup, toxicity, warc
+from . import alignment, exact_dedup, iblt, jaccard_join, language_id, line_dedup, mixing, packing, periodic_runs, quality, substring_dedup, toxicity, warc
 from ._shared import WHITE, id_bucket
 
 
@@ -69,6 +69,18 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    held_out = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
+    scored = quality.score(docs, quality.train(docs, labels, ~held_out)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(_documents(spark, sf_dir), change=periodic_runs.repeated).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -81,6 +93,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_quality": op12_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
