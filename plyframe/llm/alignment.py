@@ -9,8 +9,8 @@ its block of documents.  (With a vocabulary that breaks this rule the whole text
 is one chunk.)  The alignment is relational, on rows of tokens:
 
 1. tokens are posexploded, and a running sum of their byte lengths gives ends;
-2. A's and B's tokens meet in an equi-join on chunk and end (full, so that ends
-   of one side stay);
+2. A's and B's tokens meet in equi-joins on chunk and end (from either side, so
+   that ends of one side stay);
 3. ends of both sides cut; the running count of the cuts before a token is its
    group's number;
 4. a group's rows give its text form, its cut row is its link: the pair of
@@ -25,7 +25,7 @@ once per block at most, so that no key is hot.  A block holds about
 Null and empty texts, and texts whose tokens do not give their bytes back, have
 no tokens: zeros and an empty `groups_sha256`.  Their chunks count for no pair.
 Null and repeated ids and equal rows are kept row by row.  A very long text is a
-block of its own.  Ties (several A ids that share a B id's highest count) all
+block of its own, gathered in one row.  Ties (several A ids that share a B id's highest count) all
 count as best.  Columns other than id and text are not looked at, so their names
 can't clash.  An empty table gives an empty result.
 """
@@ -36,20 +36,21 @@ import base64
 import functools
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import slices, text_or_empty, written
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Blocks that one task gathers at the end, on average.
-BLOCKS_PER_TASK = 4
+BLOCKS_PER_TASK = 2
 #: Pairs of ids up to which their counts are sent to every executor.
 BROADCAST_PAIRS = 500_000
 
@@ -173,29 +174,33 @@ def token_ends(encoded: DataFrame, side: str) -> DataFrame:
     return rows.select("key", F.sum("t.length").over(running).alias("end"), F.col("t.id").alias(side))
 
 
-def groups(encoded: DataFrame) -> DataFrame:
-    """One row per token end: (key, end, a, b, cut, group_id); a or b is null where
-    only the other tokenizer has a token that ends there."""
-    met = token_ends(encoded, "a").join(token_ends(encoded, "b"), ["key", "end"], "full_outer")
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+def groups(encoded: DataFrame, side: str) -> DataFrame:
+    """One row per token of `side`: (key, end, id, other, group_id); `other` is the
+    other tokenizer's token that ends there too, or null."""
+    other = "b" if side == "a" else "a"
+    met = token_ends(encoded, side).join(token_ends(encoded, other), ["key", "end"], "left")
     before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return met.withColumn("cut", cut).withColumn("group_id", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
+    cuts = F.sum(F.col(other).isNotNull().cast("int")).over(before)
+    return met.select("key", "end", F.col(side).alias("id"), F.col(other).alias("other"), F.coalesce(cuts, F.lit(0)).alias("group_id"))
 
 
-def links(grouped: DataFrame, how: str = "end") -> DataFrame:
+def links(encoded: DataFrame, how: str = "end") -> DataFrame:
     """Pairs (key, group_id, a, b) of token occurrences: those that end together,
     or with how='group' all A-B pairs of a group (an equi-join on the group)."""
     if how == "end":
-        return grouped.filter("cut").select("key", "group_id", "a", "b")
-    sides = [grouped.filter(F.col(s).isNotNull()).select("key", "group_id", F.col("end").alias(f"{s}_end"), s) for s in "ab"]
+        return groups(encoded, "a").filter(F.col("other").isNotNull()).select("key", "group_id", F.col("id").alias("a"), F.col("other").alias("b"))
+    sides = [groups(encoded, s).select("key", "group_id", F.col("end").alias(f"{s}_end"), F.col("id").alias(s)) for s in "ab"]
     return sides[0].join(sides[1], ["key", "group_id"])
 
 
 def aligned(encoded: DataFrame) -> DataFrame:
     """One row per chunk with tokens: (key, groups, links); groups as text
     `a1,a2|b1;a3|b2,b3`, links as an array of (a, b)."""
-    one = lambda side, mark: F.collect_list(F.when(F.col(side).isNotNull(), F.struct("group_id", F.lit(mark).alias("side"), "end", F.col(side).alias("id"))))
-    rows = groups(encoded).groupBy("key").agg(F.array_sort(F.concat(one("a", 0), one("b", 1))).alias("x"), F.collect_list(F.when(F.col("cut"), F.struct("a", "b"))).alias("links"))
+    tokens = lambda mark: F.collect_list(F.struct("group_id", F.lit(mark).alias("side"), "end", "id"))
+    pair = F.struct(F.col("id").alias("a"), F.col("other").alias("b"))
+    a = groups(encoded, "a").groupBy("key").agg(tokens(0).alias("x"), F.collect_list(F.when(F.col("other").isNotNull(), pair)).alias("links"))
+    b = groups(encoded, "b").groupBy("key").agg(tokens(1).alias("y"))
+    rows = a.join(b, "key").select("key", F.array_sort(F.concat("x", "y")).alias("x"), "links")
 
     def joined(x: Column) -> Column:
         def part(e: Column, i: Column) -> Column:
@@ -208,6 +213,21 @@ def aligned(encoded: DataFrame) -> DataFrame:
     return rows.select("key", joined(F.col("x")).alias("groups"), "links")
 
 
+@contextmanager
+def _plans_that_keep_partitions(spark: SparkSession) -> Iterator[None]:
+    """Rows dealt by chunk stay where they are in a join on chunk and end, and
+    shuffle files go when the written result is there."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _without_bad(words: DataFrame, entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Take the occurrences in texts that have no tokens out of the counts."""
     bad = words.filter(~F.col("ok")).select("word")
@@ -225,43 +245,46 @@ def pair_counts(chunk_links: DataFrame) -> DataFrame:
     return found.join(top, "b").select("a", "b", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
-    """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and
-    groups_sha256 (and with `with_groups` the text form itself)."""
-    names = names or public_pair()
+def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts (block, id, codes), dictionaries (block, code, word), aligned chunks
+    (word, n, ok, n_a, n_b, groups, links) and pairs (a, b, count, best)."""
     kept = written(blocks(docs, names, id_col, text_col, block_bytes), "alignment-blocks")
     texts = kept.filter(F.col("codes").isNotNull()).select("block", "id", "codes")
     dictionaries = kept.filter(F.col("words").isNotNull()).select("block", "words", "counts")
     entries = dictionaries.select("block", F.posexplode("words").alias("code", "word"))
     counted = dictionaries.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))).groupBy("word").agg(F.sum("n").alias("n"))
     words = written(encode(counted, names).withColumn("key", F.monotonically_increasing_id()), "alignment-words")
-    # Dealt by chunk once, as arrays: windows, join and groups below keep that partitioning.
-    forms = aligned(words.select("key", "a", "a_len", "b", "b_len").repartition("key"))
-    if not words.filter(~F.col("ok")).isEmpty():
-        words = _without_bad(words, entries, texts)
-    sized = words.select("key", "word", "n", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-    forms = written(sized.join(forms, "key", "left"), "alignment-forms")
-
-    pairs = written(pair_counts(forms.select("n", "links").filter(F.size("links") > 0)), "alignment-pairs")
+    # Dealt by chunk once, as arrays: windows, joins and groups keep that partitioning.
+    dealt = words.repartition("key")
+    sized = dealt.select("key", "word", "n", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    forms = written(sized.join(aligned(dealt), "key", "left").drop("key"), "alignment-forms")
+    if not forms.filter(~F.col("ok")).isEmpty():
+        forms = _without_bad(forms, entries, texts)
+    return texts, entries, forms, written(pair_counts(forms.filter(F.size("links") > 0).select("n", "links")), "alignment-pairs")
+
+
+def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
+    """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and
+    groups_sha256 (and with `with_groups` the text form itself)."""
+    names = names or public_pair()
+    with _plans_that_keep_partitions(docs.sparkSession):
+        texts, entries, forms, pairs = _tables(docs, names, id_col, text_col, block_bytes)
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    linked = forms.select("key", F.inline("links")).join(pairs, ["a", "b"])
-    marks = linked.groupBy("key").agg(F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = forms.join(marks, "key", "left").select(
-        "word",
-        "ok",
-        "n_a",
-        "n_b",
-        F.when(F.size("links") > 0, F.size("links")).otherwise(0).alias("n_groups"),
-        F.coalesce("n_best", F.lit(0)).alias("n_best"),
-        F.coalesce("count_sum", F.lit(0)).alias("count_sum"),
-        "groups",
+    linked = forms.select("*", F.inline_outer("links")).drop("links").join(pairs, ["a", "b"], "left")
+    same = ["ok", "n_a", "n_b", "groups"]
+    facts = linked.groupBy("word").agg(
+        *[F.first(c).alias(c) for c in same],
+        F.count("a").alias("n_groups"),
+        F.coalesce(F.sum(F.col("best").cast("int")), F.lit(0)).alias("n_best"),
+        F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"),
     )
 
     fields = ["ok", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"]
     entry = entries.join(facts, "word").select("block", "code", F.struct(*fields).alias("entry"))
     together = entry.unionByName(texts.select("block", F.lit(-1).alias("code"), F.struct("id", "codes").alias("doc")), allowMissingColumns=True)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dictionaries.count() // BLOCKS_PER_TASK))
+    n_blocks = texts.agg(F.count_distinct("block")).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // BLOCKS_PER_TASK))
     whole = together.repartition(tasks, "block").sortWithinPartitions("block", "code").groupBy("block").agg(F.collect_list("doc").alias("docs"), F.array_sort(F.collect_list(F.when(F.col("code") >= 0, F.struct("code", "entry")))).alias("entries"))
 
     def facts_of(d: Column) -> Column:
