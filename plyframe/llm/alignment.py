@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import slices, text_or_empty, written
+from ._shared import dropped, slices, text_or_empty, written
 
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 8 << 20
@@ -245,9 +245,9 @@ def pair_counts(chunk_links: DataFrame) -> DataFrame:
     return found.join(top, "b").select("a", "b", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Texts (block, id, codes), dictionaries (block, code, word), aligned chunks
-    (word, n, ok, n_a, n_b, groups, links) and pairs (a, b, count, best)."""
+def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (block, id, codes) and dictionaries (block, code, entry), an entry being
+    what a chunk adds to a text: ok, n_a, n_b, n_groups, n_best, count_sum, groups."""
     kept = written(blocks(docs, names, id_col, text_col, block_bytes), "alignment-blocks")
     texts = kept.filter(F.col("codes").isNotNull()).select("block", "id", "codes")
     dictionaries = kept.filter(F.col("words").isNotNull()).select("block", "words", "counts")
@@ -257,31 +257,31 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
     # Dealt by chunk once, as arrays: windows, joins and groups keep that partitioning.
     dealt = words.repartition("key")
     sized = dealt.select("key", "word", "n", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-    forms = written(sized.join(aligned(dealt), "key", "left").drop("key"), "alignment-forms")
-    if not forms.filter(~F.col("ok")).isEmpty():
-        forms = _without_bad(forms, entries, texts)
-    return texts, entries, forms, written(pair_counts(forms.filter(F.size("links") > 0).select("n", "links")), "alignment-pairs")
-
-
-def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
-    """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and
-    groups_sha256 (and with `with_groups` the text form itself)."""
-    names = names or public_pair()
-    with _plans_that_keep_partitions(docs.sparkSession):
-        texts, entries, forms, pairs = _tables(docs, names, id_col, text_col, block_bytes)
+    found = written(sized.join(aligned(dealt), "key", "left").drop("key"), "alignment-forms")
+    dropped(words)
+    forms = found if found.filter(~F.col("ok")).isEmpty() else _without_bad(found, entries, texts)
+    pairs = written(pair_counts(forms.filter(F.size("links") > 0).select("n", "links")), "alignment-pairs")
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    linked = forms.select("*", F.inline_outer("links")).drop("links").join(pairs, ["a", "b"], "left")
-    same = ["ok", "n_a", "n_b", "groups"]
+    linked = found.select("*", F.inline_outer("links")).drop("links").join(pairs, ["a", "b"], "left")
     facts = linked.groupBy("word").agg(
-        *[F.first(c).alias(c) for c in same],
+        *[F.first(c).alias(c) for c in ("ok", "n_a", "n_b", "groups")],
         F.count("a").alias("n_groups"),
         F.coalesce(F.sum(F.col("best").cast("int")), F.lit(0)).alias("n_best"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"),
     )
-
     fields = ["ok", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"]
-    entry = entries.join(facts, "word").select("block", "code", F.struct(*fields).alias("entry"))
+    entry = written(entries.join(facts, "word").select("block", "code", F.struct(*fields).alias("entry")), "alignment-entries")
+    dropped(found)
+    return texts, entry
+
+
+def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
+    """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and
+    groups_sha256 (and with `with_groups` the text form itself)."""
+    names = names or public_pair()
+    with _plans_that_keep_partitions(docs.sparkSession):
+        texts, entry = _tables(docs, names, id_col, text_col, block_bytes)
     together = entry.unionByName(texts.select("block", F.lit(-1).alias("code"), F.struct("id", "codes").alias("doc")), allowMissingColumns=True)
     n_blocks = texts.agg(F.count_distinct("block")).first()[0]
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // BLOCKS_PER_TASK))
