@@ -6,7 +6,8 @@ another (within MIN_CHUNK bytes) does not count, whether or not that one did:
 so boundaries depend on nothing but the bytes just before them, and an
 insertion shifts chunks without changing those that follow.  Stretches without
 a boundary, as in periodic text, are cut at the smallest hash 32 to 64 bytes
-after the last cut, which falls into step with the period.  Chunks are
+after the last cut, which falls into step with the period.  A boundary inside a
+character moves to the character's end.  Chunks are
 deduplicated by 128-bit digests over all documents, and so are pairs of
 neighbouring chunks: repeated chunks make a passage where their pairs are repeated as
 well (chunks that happen to be elsewhere one by one do not).  Passages are reported
@@ -76,6 +77,10 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             at += 32 + int(gear[at + 32 : at + 64].argmin())
             more.append(at)
     ends = np.union1d(ends, np.array(more, ends.dtype))
+    # No chunk ends inside a character: ends move on past continuation bytes.
+    for _ in range(3):
+        ends = ends + ((ends < len(data)) & ((data[np.minimum(ends, len(data) - 1)] & 0xC0) == 0x80))
+    ends = np.unique(ends)
     row = np.searchsorted(offsets, ends, side="left") - 1
     starts = np.concatenate([[0], ends[:-1]])
     return row, starts, ends
@@ -111,13 +116,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, ver, place, length, words and first_doc of the chunks that are in
     several documents (the smallest one holds the first occurrence), and linked:
-    whether the pair with the next chunk is in several documents."""
+    whether the pair with the next chunk is in several documents (pair_first holds
+    its first occurrence)."""
     rows = docs.select(*_ids(id_col, text_col), text_or_empty(text_col).alias("text")).mapInArrow(_chunks, "h1 long, h2 long, doc long, ver long, place long, length long, words long, pair long")
     # Chunking twice (once for the bounds of the ranges) costs less than the disk to keep them.
     found = repeated(rows, ["h1", "h2"], 2, "chunk-runs")
     of = lambda c: F.max(F.when(F.col("pair") == 0, F.col(c))).alias(c)
-    by_place = found.groupBy("doc", "ver", "place").agg(of("length"), of("words"), of("first_doc"), F.max("pair").alias("pair"))
-    return by_place.filter("length is not null").withColumn("linked", F.col("pair") == 1).drop("pair")
+    by_place = found.groupBy("doc", "ver", "place").agg(of("length"), of("words"), of("first_doc"), F.max(F.when(F.col("pair") == 1, F.col("first_doc"))).alias("pair_first"))
+    return by_place.filter("length is not null").withColumn("linked", F.col("pair_first").isNotNull())
 
 
 def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,10 +131,14 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     part of it in which first_doc stays the same."""
     by = Window.partitionBy("doc", "ver").orderBy("place")
     follows = (F.lag(F.col("place") + F.col("length")).over(by) == F.col("place")) & F.lag("linked").over(by)
+    # A chunk next to others is where its pair is: alone it may be anywhere by chance.
+    first = F.coalesce(F.least(F.when(F.lead("joined").over(by), F.col("pair_first")), F.when(F.col("joined"), F.lag("pair_first").over(by))), F.col("first_doc"))
     return (
         repeated_chunks(docs, id_col, text_col)
+        .withColumn("joined", F.coalesce(follows, F.lit(False)))
+        .withColumn("first_doc", first)
         .withColumn("first", F.col("doc") == F.col("first_doc"))
-        .withColumn("new", ~F.coalesce(follows, F.lit(False)))
+        .withColumn("new", ~F.col("joined"))
         .withColumn("other", F.col("new") | (F.lag("first_doc").over(by) != F.col("first_doc")))
         .withColumn("run", F.sum(F.col("new").cast("int")).over(by))
         .withColumn("part", F.sum(F.col("other").cast("int")).over(by))
@@ -182,7 +192,7 @@ def cut_repeats(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", te
                     for s in spans:
                         kept.append(raw[at : s["start"]])
                         at = s["end"]
-                    texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     done = rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType).add("text", "string"))
