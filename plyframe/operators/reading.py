@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyframe.functions.text import whole_number
 from plyframe.operators import images, pages, sheets
 from plyframe.operators.metrics import has_ink
 
@@ -68,9 +69,9 @@ def read_pages(scans: DataFrame, moves: Runner, store: str, diagrams: Runner | N
 
 
 def beam_width(asked: Column) -> Column:
-    """The width a user typed; 2048 where it is no positive whole number."""
-    number = F.trim(asked).try_cast("int")
-    return F.when(number > 0, number).otherwise(F.lit(DEFAULT_WIDTH))
+    """The width a user typed, at least 1; 2048 where it is no whole number."""
+    number = F.coalesce(whole_number(asked), F.lit(DEFAULT_WIDTH))
+    return F.greatest(F.lit(1), F.least(number, F.lit((1 << 31) - 1))).cast("int")
 
 
 def request_error(n_images: Column) -> Column:

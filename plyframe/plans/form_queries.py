@@ -92,6 +92,6 @@ ORACLE = {
         SELECT o_custkey, len(coalesce(a, [])) + len(coalesce(b, [])) - 2 * len(list_intersect(coalesce(a, []), coalesce(b, []))) AS differing, coalesce(a = b, false) AS equal FROM s""",
     "file_order": "SELECT p_brand, p_partkey || '.png' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey || '.png') AS place FROM part",
     "request_checks": """SELECT o_custkey, count(*) AS images, CASE WHEN count(*) > 5 THEN 'at most 5 images, got ' || count(*) END AS error,
-        CASE o_custkey % 4 WHEN 1 THEN CASE WHEN o_custkey % 7 = 0 THEN 2048 ELSE o_custkey % 7 * 512 END WHEN 3 THEN 4096 ELSE 2048 END AS width FROM orders GROUP BY o_custkey""",
+        CASE o_custkey % 4 WHEN 1 THEN greatest(1, o_custkey % 7 * 512) WHEN 3 THEN 4096 ELSE 2048 END AS width FROM orders GROUP BY o_custkey""",
     "train_split": "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM labels",
 }

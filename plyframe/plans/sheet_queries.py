@@ -2,8 +2,8 @@
 
 The sheets are the games of `events` as they would be read: each ply's cell says
 the move played with near certainty, but where (user * 7 + ply) % 23 = 0 its tuzdyk
-mark is misread, and cell 25 of every third user is blank.  A sheet has 48 cells, and
-diagrams after plies 20 and 40.
+mark is misread, and cell 25 of every third user is blank.  A sheet has a cell for every
+ply of its game, and the eight diagrams of a sheet, after plies 20 to 160.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from plyframe.operators import decode, sheets
 from . import adapters
 from .game_queries import _LEGAL_SQL, GAMES_SQL
 
-#: What the class that a cell says gets on top of its logit; cells of a sheet.
-SURE, CELLS = 25, 48
+#: What the class that a cell says gets on top of its logit; the plies with a diagram.
+SURE, DIAGRAMS = 25, list(range(20, 161, 20))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sheet, move_no, side, ink, p; the noise under what a cell says is an embedding."""
     n = adapters.table(spark, sf_dir, "embeddings").count()
-    plies = adapters.texts(spark, sf_dir).select("user_id", F.posexplode_outer(F.slice("moves", 1, CELLS)).alias("i", "m")).filter("m is not null")
+    plies = adapters.texts(spark, sf_dir).select("user_id", F.posexplode_outer("moves").alias("i", "m")).filter("m is not null")
     index = decode.class_index("rtrim('+', m)")
     said = plies.select("user_id", "i", F.expr(f"if((user_id * 7 + i + 1) % 23 = 0, {index} ^ 1, {index})").alias("said"), F.expr(f"(user_id * 31 + i) % {n}").alias("vec_id"))
     z = f"transform(sequence(0, 162), c -> 8D * z[c % 64] + double((c * 37 + vec_id * 11) % 101) / 50D + if(c = said, {SURE}D, 0D))"
@@ -35,10 +35,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sheet, move_no, kind, side, pit_index, ink, p of both diagrams of each sheet."""
+    """sheet, move_no, kind, side, pit_index, ink, p of the diagrams of each sheet."""
     n = adapters.table(spark, sf_dir, "embeddings").count()
     users = adapters.table(spark, sf_dir, "events").select("user_id").distinct()
-    seen = adapters.diagram_cells(users.select("user_id", F.explode(F.array(F.lit(20), F.lit(40))).alias("ply")), n)
+    seen = adapters.diagram_cells(users.select("user_id", F.explode(F.array(*map(F.lit, DIAGRAMS))).alias("ply")), n)
     rows = seen.join(adapters.diagrams85(spark, sf_dir), "vec_id")
     kazan, black = F.col("k") >= 18, F.col("k").isin(*range(9, 18), 19)
     return rows.select(
@@ -105,9 +105,9 @@ QUERIES = {f.__name__: f for f in (ply_records, replay_texts, checkpoint_report,
 
 #: `read` has a row per ply that is scanned, `cut` one per sheet: plies scanned, the
 #: first misread one, whether a blank cell ended it.
-_READ_SQL = GAMES_SQL + f""",
+_READ_SQL = GAMES_SQL + """,
 len AS (SELECT user_id, max(ply) AS n FROM st GROUP BY user_id),
-cut AS (SELECT l.user_id, CASE WHEN l.user_id % 3 = 0 AND l.n >= 25 THEN 24 ELSE least(l.n, {CELLS}) END AS scanned, l.user_id % 3 = 0 AND l.n >= 25 AS blank,
+cut AS (SELECT l.user_id, CASE WHEN l.user_id % 3 = 0 AND l.n >= 25 THEN 24 ELSE l.n END AS scanned, l.user_id % 3 = 0 AND l.n >= 25 AS blank,
         (SELECT min(p.ply) FROM plies p WHERE p.user_id = l.user_id AND (p.user_id * 7 + p.ply) % 23 = 0) AS bad, l.n FROM len l),
 read AS (SELECT p.user_id, p.ply, p.captured, c.bad, c.scanned, p.notation,
          CASE WHEN (p.user_id * 7 + p.ply) % 23 <> 0 THEN p.notation WHEN p.notation LIKE '%x' THEN p.notation[1:2] ELSE p.notation || 'x' END AS raw
@@ -115,7 +115,7 @@ read AS (SELECT p.user_id, p.ply, p.captured, c.bad, c.scanned, p.notation,
 
 _DIAGRAM_SQL = """WITH zz AS (SELECT vec_id, c AS i, 8.0::DOUBLE * embedding[c % 64 + 1]::DOUBLE + ((c * 37 + vec_id * 11) % 101)::DOUBLE / 50.0::DOUBLE AS z FROM embeddings, range(85) r(c)),
 ob AS (SELECT user_id, ply, k, (user_id * 13 + ply + k) % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN k >= 18 THEN 'kazan' ELSE 'pit' END AS kind, CASE WHEN k BETWEEN 9 AND 17 OR k = 19 THEN 'B' ELSE 'W' END AS side
-       FROM (SELECT DISTINCT user_id FROM events), (VALUES (20), (40)) v(ply), range(20) r(k)),
+       FROM (SELECT DISTINCT user_id FROM events), range(20, 161, 20) v(ply), range(20) r(k)),
 best AS (SELECT vec_id, (list(i ORDER BY z DESC, i))[1] AS top, (list(i ORDER BY z DESC, i) FILTER (WHERE i BETWEEN 10 AND 81))[1] AS kz, (list(i ORDER BY z DESC, i) FILTER (WHERE i < 84))[1] AS pt FROM zz GROUP BY vec_id)"""
 
 ORACLE = {

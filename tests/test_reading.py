@@ -90,7 +90,7 @@ def test_pages_to_games(spark, tmp_path):
     assert rows[1]["plies_scanned"] == 0 and rows[1]["beam_plies"] == 0 and rows[2]["beam_pgn"] is None
 
 
-@pytest.mark.parametrize("text,width", [("4096", 4096), (" 1024 ", 1024), ("many", 2048), ("", 2048), (None, 2048), ("-3", 2048), ("1e99", 2048)])
+@pytest.mark.parametrize("text,width", [("4096", 4096), (" 1024 ", 1024), ("many", 2048), ("", 2048), (None, 2048), ("-3", 1), ("0", 1), ("+5", 5), ("2_000", 2000), ("1e99", 2048), ("9" * 30, (1 << 31) - 1)])
 def test_beam_width(spark, text, width):
     row = spark.createDataFrame([(text,)], "t string").select(reading.beam_width(F.col("t")).alias("w")).first()
     assert row["w"] == width and reading.WIDTHS[0] == 1024 and reading.WIDTHS[-1] == 1 << 30
