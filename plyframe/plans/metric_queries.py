@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.operators import metrics
+from plyframe.operators import metrics, scan
 
 from . import adapters
 
@@ -43,35 +43,30 @@ _EPOCH = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean discount (in percent) so far, weighted by quantity, per supplier.
     Sums are of whole numbers, so that their order does not matter."""
-    t = adapters.table(spark, sf_dir, "lineitem").withColumns({"d": F.round(F.col("l_discount") * 100).cast("long"), "q": F.col("l_quantity").cast("long")})
-    return t.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round(metrics.running_mean("d", "q", ["l_suppkey"], _EPOCH), 6).alias("mean"))
+    t = adapters.table(spark, sf_dir, "lineitem").select(*_EPOCH, "l_suppkey", F.round(F.col("l_discount") * 100).cast("long").alias("d"), F.col("l_quantity").cast("long").alias("q"))
+    return scan.running_mean(t, "d", "q", ["l_suppkey"], _EPOCH).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round("mean", 6).alias("mean"))
 
 
 def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that replace the best, later ties included."""
-    t = adapters.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_extendedprice", metrics.is_best_so_far("l_extendedprice", ["l_suppkey"], _EPOCH).alias("best"))
-    return t.filter("best").drop("best")
+    t = adapters.table(spark, sf_dir, "lineitem").select(*_EPOCH, "l_suppkey")
+    return scan.best_so_far(t, "l_extendedprice", ["l_suppkey"], _EPOCH).filter("best").select("l_suppkey", "l_orderkey", "l_extendedprice")
 
 
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper median of quantities per supplier, from counts by value: no
-    supplier's quantities are gathered in one row."""
-    counts = adapters.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
-    own = Window.partitionBy("l_suppkey")
-    upto = F.sum("n").over(own.orderBy("l_quantity"))
-    placed = counts.select("l_suppkey", "l_quantity", upto.alias("upto"), F.floor(F.sum("n").over(own) / 2).alias("half"))
-    return placed.filter("upto > half").groupBy("l_suppkey").agg(F.min("l_quantity").alias("upper_median"))
+    """The upper median of quantities per supplier."""
+    return scan.quantiles(adapters.table(spark, sf_dir, "lineitem"), "l_quantity", ["l_suppkey"], {"upper_median": 0.5}, upper=True)
 
 
 def median_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averaged median."""
-    return adapters.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.median("l_extendedprice"), 4).alias("median"))
+    return scan.quantiles(adapters.table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey"], {"median": 0.5}).withColumn("median", F.round("median", 4))
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated 50th and 99.5th percentile."""
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.995)))
-    return adapters.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(p.alias("p")).select("l_suppkey", F.round(F.col("p")[0], 2).alias("p50"), F.round(F.col("p")[1], 2).alias("p995"))
+    p = scan.quantiles(adapters.table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey"], {"p50": 0.5, "p995": 0.995})
+    return p.select("l_suppkey", F.round("p50", 2).alias("p50"), F.round("p995", 2).alias("p995"))
 
 
 def band_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,19 +121,20 @@ def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skew_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I8: median edge angle in degrees, clipped to 15; none under 0.05."""
     b = _boxes(spark, sf_dir).select("page", F.degrees(F.atan2(F.col("x") - 25, F.col("y") / 100)).alias("a"))
-    m = b.groupBy("page").agg(F.median("a").alias("m")).select("page", F.least(F.lit(15.0), F.greatest(F.lit(-15.0), "m")).alias("m"))
+    m = scan.quantiles(b, "a", ["page"], {"m": 0.5}).select("page", F.least(F.lit(15.0), F.greatest(F.lit(-15.0), "m")).alias("m"))
     return m.select("page", F.round(F.when(F.abs("m") < 0.05, F.lit(0.0)).otherwise(F.col("m")), 4).alias("angle"))
 
 
 def area_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boxes near the median area of their page, if at least eight remain; else
-    all.  The eight largest of them stay.  A supplier's boxes are a page."""
-    page = Window.partitionBy("page")
+    all.  The eight largest of them stay.  A supplier's boxes are a page; medians and
+    counts are a row a page, and the eight are taken before and after the shuffle."""
     t = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_quantity") * F.col("l_extendedprice")).alias("area"), "l_orderkey", "l_partkey", "l_linenumber")
-    near = t.withColumn("m", F.median("area").over(page)).withColumn("near", (F.col("area") > 0.5 * F.col("m")) & (F.col("area") < 2 * F.col("m")))
-    kept = near.withColumn("n", F.sum(F.col("near").cast("int")).over(page)).filter("near or n < 8")
-    rank = F.row_number().over(page.orderBy(F.desc("area"), "l_orderkey", "l_partkey", "l_linenumber"))
-    return kept.select("page", rank.cast("long").alias("rank"), F.round("area", 2).alias("area"), F.col("n").alias("near")).filter("rank <= 8")
+    near = t.join(scan.quantiles(t, "area", ["page"], {"m": 0.5}), "page").withColumn("near", (F.col("area") > 0.5 * F.col("m")) & (F.col("area") < 2 * F.col("m")))
+    counts = near.groupBy("page").agg(F.sum(F.col("near").cast("int")).alias("n"))
+    kept = near.join(counts, "page").filter("near or n < 8")
+    rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("area"), "l_orderkey", "l_partkey", "l_linenumber"))
+    return kept.withColumn("rank", rank).filter("rank <= 8").select("page", F.col("rank").cast("long").alias("rank"), F.round("area", 2).alias("area"), F.col("n").alias("near"))
 
 
 def band_split(spark: SparkSession, sf_dir: str) -> DataFrame:
