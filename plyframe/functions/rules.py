@@ -119,15 +119,20 @@ KEPT = {
 }
 
 
-def playout(choices: str, keep: str | None = "plies") -> str:
+def opening(keep: str | None = "plies") -> str:
+    """What a fold of a game begins with."""
+    none = f", '{keep}', cast(array() as array<{KEPT[keep][0]}>)" if keep else ""
+    return f"named_struct('state', {START}, 'n', 0{none})"
+
+
+def playout(choices: str, keep: str | None = "plies", start: str | None = None) -> str:
     """Fold a game: choice c takes legal action number c % n; the game stops when it
-    is over.  struct<state, n, plies or moves>; with keep=None only state and n."""
-    kind, value = KEPT[keep] if keep else (None, None)
-    more = f", '{keep}', concat(s.{keep}, array({value}))" if keep else ""
-    none = f", '{keep}', cast(array() as array<{kind}>)" if keep else ""
+    is over.  struct<state, n, plies or moves>; with keep=None only state and n.  With
+    `start`, such a struct, the game goes on from there."""
+    more = f", '{keep}', concat(s.{keep}, array({KEPT[keep][1]}))" if keep else ""
     step = let("m", play("s.state", "can[int(pmod(c, size(can)))]"), f"named_struct('state', m.state, 'n', s.n + 1{more})")
     step = f"if(array_max(s.state.kazans) >= {WINNING}, s, {let('can', legal('s.state'), f'if(size(can) = 0, s, {step})')})"
-    return f"aggregate({choices}, named_struct('state', {START}, 'n', 0{none}), (s, c) -> {step})"
+    return f"aggregate({choices}, {start or opening(keep)}, (s, c) -> {step})"
 
 
 def fits(g: str, move: str) -> str:

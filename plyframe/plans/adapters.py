@@ -6,39 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions import prob, rules
+from plyframe.operators import long_games
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def choices(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """user_id and the ids of a user's events in time order; with `only`, for the
-    users in it.  One shuffle, of an explicit number of partitions: a fold is much
-    work on few bytes, which adaptive execution would put in one task."""
+def _played(spark: SparkSession, sf_dir: str, keep: str | None, only: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """user_id and game: the ids of a user's events in time order choose the moves; with
+    `only`, of the users in it."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     if only is not None:
         events = events.join(only, "user_id", "left_semi")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    by_user = events.repartition(parts, "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e"))
-    return by_user.select("user_id", F.col("e.event_id").alias("choices"))
+    return long_games.fold_games(events, keep, first=first)
 
 
 def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, final state and number of half-moves: the id of each event in turn
     chooses among the legal moves."""
-    return choices(spark, sf_dir).select("user_id", F.expr(rules.playout("choices", None)).alias("game")).select("user_id", "game.state", F.col("game.n").alias("n_plies"))
+    return _played(spark, sf_dir, None).select("user_id", "game.state", F.col("game.n").alias("n_plies"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same games: user_id, final state and annotated moves."""
-    return choices(spark, sf_dir).select("user_id", F.expr(rules.playout("choices", "moves")).alias("game")).select("user_id", "game.state", "game.moves")
+    return _played(spark, sf_dir, "moves").select("user_id", "game.state", "game.moves")
 
 
 def games(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """The same games with all of their plies; with `first`, those of so many only."""
-    taken = "choices" if first is None else f"slice(choices, 1, {first})"
-    return choices(spark, sf_dir, only).select("user_id", F.expr(rules.playout(taken)).alias("game")).select("user_id", "game.state", "game.plies")
+    return _played(spark, sf_dir, "plies", only, first).select("user_id", "game.state", "game.plies")
 
 
 def plies(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, first: int | None = None) -> DataFrame:
