@@ -88,6 +88,24 @@ def play(g: str, action: str) -> str:
     return let("g0", g, let("act", action, let("start", f"g0.turn * {SIDE} + act", body)))
 
 
+def outcome(g: str, action: str) -> str:
+    """struct<notation, captured, over> of a move, without the board that it makes: only
+    the pits that decide it are sown."""
+    count = lambda i: sown_at("g0.pits", "start", i, f"g0.pits[{i}]")
+    income = lambda s: f"if(g0.tuz[{s}] < 0, 0, {count(f'({SIDE} * (1 - {s}) + g0.tuz[{s}])')})"
+    kazan = lambda s: f"g0.kazans[{s}] + {income(s)} + if(g0.turn = {s}, gain, 0)"
+    pit = f"((1 - g0.turn) * {SIDE} + b)"
+    # What the other side could move next: its own pits, but for the mover's tuzdyk.
+    owned = "if(makes, last % 9, g0.tuz[g0.turn])"
+    left = f"exists(sequence(0, {SIDE - 1}), b -> {owned} <> b and not ({pit} = last and gain > 0) and not {_owned('g0', pit)} and {count(pit)} > 0)"
+    body = f"named_struct('notation', concat(act + 1, last % {SIDE} + 1, if(makes, 'x', '')), 'captured', int(if(makes, 0, gain)), 'over', greatest({kazan(0)}, {kazan(1)}) >= {WINNING} or not {left})"
+    body = let("gain", f"int(if(makes, 3, if(last div {SIDE} = 1 - g0.turn and held % 2 = 0, held, 0)))", body)
+    body = let("makes", _makes("g0", "last", "held"), body)
+    body = let("held", f"if({_owned('g0', 'last')}, 0, {count('last')})", body)
+    body = let("n", "g0.pits[start]", let("last", landing("g0.pits", "start"), body))
+    return let("g0", g, let("act", action, let("start", f"g0.turn * {SIDE} + act", body)))
+
+
 def side_total(g: str, side: int) -> str:
     return f"aggregate(slice({g}.pits, {side * SIDE + 1}, {SIDE}), 0, (s, v) -> s + v)"
 

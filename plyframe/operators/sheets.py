@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plyframe.functions import prob, rules
 from plyframe.functions.rules import let
 
-from . import decode
+from . import decode, wide_beam
 from .metrics import has_ink
 
 #: Least ink of a cell with a move, alternatives kept a ply.
@@ -97,23 +97,38 @@ def checks_by_sheet(diagrams: DataFrame) -> DataFrame:
     return grouped.select("sheet", "checks", F.flatten("r.r").alias("report"))
 
 
+#: Hypotheses that one row of a game holds; wider beams have a row for each.
+FOLD_WIDTH = 16
+
+
 def read_sheets(cells: DataFrame, diagrams: DataFrame | None = None, results: DataFrame | None = None, width: int = 1024, per_ply: int = 9) -> DataFrame:
     """One row per sheet: raw_pgn, legal_pgn, beam_pgn, plies_scanned, legal_plies,
-    beam_plies, stopped, log_prob, beam_detail, checkpoint_report, warnings and plies."""
+    beam_plies, stopped, log_prob, beam_detail, agreed_plies, checkpoint_report, warnings
+    and plies.  `results` may have a column width, which then goes for its sheet."""
     rows = readable(cells)
     if diagrams is not None:
         rows = rows.join(checks_by_sheet(diagrams), "sheet", "left")
     else:
         rows = rows.withColumns({"checks": F.lit(None).cast(f"map<int,{decode.CHECK}>"), "report": F.expr("cast(null as array<struct<move_no:int,k:int,kind:string,side:string,pit_index:int,read:string,prob:double>>)")})
     rows = rows.join(results, "sheet", "left") if results is not None else rows.withColumn("result", F.lit(None).cast("int"))
-    q = f"transform(plies, (c, i) -> named_struct('p', c.p, 'marg', {decode.marginals('c.p')}, 'check', try_element_at(checks, i + 1)))"
-    done = rows.select("sheet", "plies", "blank", "report", "result", F.expr(strict_replay("plies")).alias("r"), F.expr(q).alias("q"))
-    done = done.withColumn("b", F.expr(decode.beam("q", width, per_ply))).withColumn("h", F.expr(decode.beam_final("b", "result"))).drop("b", "q")
+    own = "width" in rows.columns
+    rows = rows.withColumn("asked", F.coalesce(F.col("width"), F.lit(width)) if own else F.lit(width))
+    if own or width > FOLD_WIDTH:
+        plies = rows.select(F.col("sheet").alias("game"), F.col("asked").alias("width"), "checks", F.posexplode_outer("plies").alias("ply", "c")).filter("c is not null")
+        dists = plies.select("game", "ply", "width", "c.p", F.expr("try_element_at(checks, ply + 1)").alias("check"))
+        stated = rows.select(F.col("sheet").alias("game"), "result")
+        best = wide_beam.wide_beam(dists, width, per_ply, stated).select(F.col("game").alias("sheet"), F.struct("moves", "shares", "logp", "state").alias("h"))
+        none = F.expr(f"named_struct('moves', cast(array() as array<string>), 'shares', cast(array() as array<double>), 'logp', 0D, 'state', {rules.START})")
+        done = rows.join(best, "sheet", "left").withColumn("h", F.coalesce("h", none)).withColumn("r", F.expr(strict_replay("plies")))
+    else:
+        q = f"transform(plies, (c, i) -> named_struct('p', c.p, 'marg', {decode.marginals('c.p')}, 'check', try_element_at(checks, i + 1)))"
+        done = rows.select("sheet", "plies", "blank", "report", "result", "asked", F.expr(strict_replay("plies")).alias("r"), F.expr(q).alias("q"))
+        done = done.withColumn("b", F.expr(decode.beam("q", width, per_ply))).withColumn("h", F.expr(decode.beam_final("b", "result"))).drop("b", "q")
     blank = f"named_struct('move', blank.move_no, 'side', blank.side, 'reason', 'empty cell', 'winner', cast(null as string))"
     none = "named_struct('move', cast(null as int), 'side', cast(null as string), 'reason', 'sheet exhausted', 'winner', cast(null as string))"
     detail = "transform(h.moves, (m, i) -> named_struct('move', plies[i].move_no, 'side', plies[i].side, 'chosen', m, 'prob', round(h.shares[i], 4), 'agrees_with_raw', rtrim('+', m) = r.records[i].raw))"
-    capped = max(1, min(width, decode.POOL_BYTES // (decode.BYTES_EACH * max(per_ply, 1))))
-    warnings = [F.lit(f"beam width {width} trimmed to {capped} to stay inside the memory budget")] if capped < width else []
+    capped = decode.beam_cap(F.col("asked"), F.lit(per_ply))
+    trimmed = F.when(capped < F.col("asked"), F.concat(F.lit("beam width "), F.col("asked").cast("string"), F.lit(" trimmed to "), capped.cast("string"), F.lit(" to stay inside the memory budget")))
     return done.select(
         "sheet",
         F.expr(rules.pgn("r.raw")).alias("raw_pgn"),
@@ -126,8 +141,9 @@ def read_sheets(cells: DataFrame, diagrams: DataFrame | None = None, results: Da
         F.expr(f"case when blank is not null then {blank} when r.stopped is not null then r.stopped else {none} end").alias("stopped"),
         F.round("h.logp", 3).alias("log_prob"),
         F.expr(detail).alias("beam_detail"),
+        F.expr(f"size(filter({detail}, d -> d.agrees_with_raw))").alias("agreed_plies"),
         F.coalesce("report", F.expr("cast(array() as array<struct<move_no:int,k:int,kind:string,side:string,pit_index:int,read:string,prob:double>>)")).alias("checkpoint_report"),
-        F.array(*warnings).cast("array<string>").alias("warnings"),
+        F.array_compact(F.array(trimmed)).alias("warnings"),
         F.col("r.records").alias("records"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions import rules
-from plyframe.operators import decode
+from plyframe.operators import decode, difference
 
 from . import adapters
 
@@ -133,16 +133,24 @@ def result_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", stated.alias("stated"), "state").select("user_id", "stated", F.expr(decode.result_consistency("state", "stated")).alias("consistency"))
 
 
-def raw_vs_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw reads against chosen moves by position, cut to the shorter."""
-    g = adapters.games(spark, sf_dir)
-    chosen = F.expr(f"transform(plies, m -> {rules.annotated('m')})")
-    raw = F.expr("transform(slice(plies, 1, size(plies) - int(user_id % 3)), m -> if(m.ply % 7 = 0, '11', m.notation))")
-    pairs = F.expr("transform(sequence(0, least(size(chosen), size(raw)) - 1), i -> rtrim('+', chosen[i]) = raw[i])")
-    return g.select("user_id", chosen.alias("chosen"), raw.alias("raw")).select("user_id", F.size(pairs).alias("compared"), F.size(F.filter(pairs, lambda x: x)).alias("agree"))
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per half-move with the fields that a replay fixture has."""
+    s = F.col("after")
+    sides = [F.expr(rules.side_total("after", k)).alias(f"p{k + 1}_side") for k in (0, 1)]
+    return adapters.plies(spark, sf_dir).select("user_id", "ply", F.col("notation").alias("move"), s.kazans[0].alias("p1_kazan"), s.kazans[1].alias("p2_kazan"), *sides, s.tuz[0].alias("p1_tuzdyk"), s.tuz[1].alias("p2_tuzdyk"))
 
 
-QUERIES = {f.__name__: f for f in (playout_fold, sow, legal_moves, replay_strict, winner, side_totals, pgn_format, raw_legality, stop_reason, tuzdyk_events, result_consistency, raw_vs_beam)}
+def replay_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed half-moves against a copy in which some kazans are one too many,
+    some moves are not told, some rows are missing and some are there twice."""
+    told = _told(spark, sf_dir)
+    at = lambda a, b, m: (F.col("user_id") * a + F.col("ply") * b) % m == 0
+    spoilt = told.withColumns({"p1_kazan": F.col("p1_kazan") + at(7, 1, 50).cast("int"), "move": F.when(~at(3, 1, 70), F.col("move"))}).filter(~at(1, 1, 97))
+    found = difference.difference(told, spoilt.unionByName(spoilt.filter(at(1, 5, 89))), ["user_id", "ply"])
+    return found.select("user_id", "ply", "field", F.col("left").alias("told"), F.col("right").alias("copied"))
+
+
+QUERIES = {f.__name__: f for f in (playout_fold, sow, legal_moves, replay_strict, winner, side_totals, pgn_format, raw_legality, stop_reason, tuzdyk_events, result_consistency, replay_difference)}
 
 _LEGAL_SQL = """
 moves AS (SELECT user_id, ply, pits, t0, t1, turn, a, pits[turn * 9 + a + 1] AS n, turn * 9 + a AS start FROM (SELECT *, unnest(can) AS a FROM st)),
@@ -172,6 +180,9 @@ ORACLE = {
         FROM plies p JOIN st b ON b.user_id = p.user_id AND b.ply = p.ply - 1""",
     "result_consistency": GAMES_SQL + """SELECT user_id, CASE WHEN user_id % 4 <> 3 THEN user_id % 4 - 1 END AS stated, CASE WHEN user_id % 4 = 3 THEN CASE WHEN over THEN 1 ELSE 0 END
         WHEN over AND winner = user_id % 4 - 1 THEN 2 WHEN CASE WHEN k0 > k1 THEN 0 WHEN k0 < k1 THEN 1 ELSE -1 END = user_id % 4 - 1 THEN 1 ELSE 0 END AS consistency FROM won""",
-    "raw_vs_beam": GAMES_SQL + """SELECT p.user_id, count(*) AS compared, sum((CASE WHEN p.ply % 7 = 0 THEN '11' ELSE p.notation END = p.notation)::BIGINT)::BIGINT AS agree
-        FROM plies p JOIN finals f ON f.user_id = p.user_id WHERE p.ply <= f.ply - p.user_id % 3 GROUP BY p.user_id""",
+    "replay_difference": GAMES_SQL + """, c AS (SELECT *, CASE WHEN (user_id * 7 + ply) % 50 = 0 THEN 1 ELSE 0 END AS more, (user_id * 3 + ply) % 70 = 0 AS untold, (user_id + ply) % 97 = 0 AS gone, (user_id + 5 * ply) % 89 = 0 AS twice FROM plies)
+        SELECT user_id, ply, '*' AS field, '1' AS told, '0' AS copied FROM c WHERE gone
+        UNION ALL SELECT user_id, ply, '*', CASE WHEN more = 1 OR untold THEN '1' ELSE '0' END, CASE WHEN more = 1 OR untold THEN '2' ELSE '1' END FROM c WHERE NOT gone AND twice
+        UNION ALL SELECT user_id, ply, 'p1_kazan', k0::VARCHAR, (k0 + 1)::VARCHAR FROM c WHERE NOT gone AND NOT twice AND more = 1
+        UNION ALL SELECT user_id, ply, 'move', notation, NULL FROM c WHERE NOT gone AND NOT twice AND untold""",
 }

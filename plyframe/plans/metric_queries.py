@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.operators import metrics, scan
+from plyframe.sources import samples
 
 from . import adapters
 
@@ -208,9 +209,12 @@ def pool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synth_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class draws fixed by seed and index: the same under any partitioning."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("1234:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 163
-    return spark.range(4000).select(F.col("id").alias("sample"), draw.alias("class_idx"))
+    """A sample for each vector, its class drawn by seed and number from the
+    brands of the parts, against the vector's label."""
+    vectors = adapters.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    brands = [r["p_brand"] for r in adapters.table(spark, sf_dir, "part").select("p_brand").distinct().orderBy("p_brand").collect()]  # a list of classes
+    drawn = samples.samples(spark, vectors.count(), 1234, brands)
+    return drawn.join(vectors, drawn["sample"] == vectors["vec_id"]).select("sample", F.col("class_idx").cast("long").alias("class_idx"), "class", "label")
 
 
 QUERIES = {f.__name__: f for f in (accuracy, topk_accuracy, eval_report, running_mean, best_so_far, upper_median, median_exact, percentiles, band_fit, page_grid, layout_cells, layout_diagram, corner_order, skew_angle, area_outlier, band_split, game_order, take_while, ink_filter, ink_ratio, border_median, tight_bbox, tta_views, cap_per_key, pool_counts, synth_draw)}
@@ -244,5 +248,6 @@ ORACLE = {
     "tta_views": f"WITH {_IMG} SELECT vec_id, s - 3 AS shift, coalesce(sum(v) FILTER (WHERE CASE WHEN s - 3 >= 0 THEN i % 8 >= s - 3 ELSE i % 8 < 8 + s - 3 END), 0)::BIGINT AS total FROM im, range(7) r(s) GROUP BY ALL",
     "cap_per_key": "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings QUALIFY n <= 20",
     "pool_counts": "SELECT digit, coalesce(n::VARCHAR, 'procedural only') AS pool FROM range(10) r(digit) LEFT JOIN (SELECT p_size % 10 AS d, count(*) AS n FROM part WHERE p_size % 10 <> 4 GROUP BY 1) ON d = digit",
-    "synth_draw": "SELECT i AS sample, ('0x' || substr(md5('1234:' || i::VARCHAR), 1, 8))::BIGINT % 163 AS class_idx FROM range(4000) r(i)",
+    "synth_draw": """WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part))
+        SELECT vec_id AS sample, k AS class_idx, p_brand AS class, label FROM embeddings JOIN b ON k = ('0x' || substr(md5('1234:' || vec_id::VARCHAR), 1, 8))::BIGINT % n""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.functions import prob, rules
-from plyframe.operators import decode
+from plyframe.operators import decode, wide_beam
 
 from . import adapters
 from .game_queries import _LEGAL_SQL, GAMES_SQL
@@ -129,51 +129,49 @@ def beam_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("k", "asked", "per_ply", decode.beam_cap(F.col("asked"), F.col("per_ply")).alias("width"))
 
 
-def _beams(spark: SparkSession, sf_dir: str, width: int, plies: int | None = None) -> DataFrame:
-    """All plies of each game, or the first `plies` ones where a prefix is asked."""
-    p = adapters.plies163(spark, sf_dir)
-    if plies is not None:
-        p = p.filter(F.col("ply") < plies)
-    dist = p.select("game", "ply", F.struct("p", F.expr(decode.marginals("p")).alias("marg"), F.lit(None).cast(decode.CHECK).alias("check")).alias("q"))
+def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, ply (from 0) and the diagram after every 20th ply of plies163."""
+    plies = adapters.plies163(spark, sf_dir).filter("(ply + 1) % 20 = 0").select(F.col("game").alias("user_id"), "ply")
+    seen = adapters.diagram_cells(plies, _n_vectors(spark, sf_dir)).join(adapters.diagrams85(spark, sf_dir), "vec_id")
+    read = seen.select("user_id", "ply", "k", F.expr(decode.diagram_filter("k", "p")).alias("d")).groupBy("user_id", "ply").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("c"))
+    return read.select(F.col("user_id").alias("game"), "ply", F.col("c.d").alias("check"))
+
+
+def _beams(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    dist = adapters.plies163(spark, sf_dir).select("game", "ply", F.struct("p", F.expr(decode.marginals("p")).alias("marg"), F.lit(None).cast(decode.CHECK).alias("check")).alias("q"))
     games = dist.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("ply", "q"))).alias("d")).select("game", F.col("d.q").alias("d"))
     return games.select("game", F.expr(decode.beam("d", width)).alias("b"))
 
 
-def _finals(spark: SparkSession, sf_dir: str, width: int, plies: int | None = None) -> DataFrame:
-    best = _beams(spark, sf_dir, width, plies).select("game", F.expr(decode.beam_final("b", "cast(null as int)")).alias("h"), F.expr("array_max(transform(concat(b.active, b.finished), h -> h.logp))").alias("logp"))
+def _finals(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    best = _beams(spark, sf_dir, width).select("game", F.expr(decode.beam_final("b", "cast(null as int)")).alias("h"), F.expr("array_max(transform(concat(b.active, b.finished), h -> h.logp))").alias("logp"))
     return best.select("game", F.array_join("h.moves", " ").alias("moves"), F.array_join("h.state.pits", ",").alias("pits"), F.round("logp", 4).alias("best_logp"))
 
 
 def beam_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy decoding of the first 24 plies, as test_decode compares it.  Not
-    registered: the query of this name is `beam_w1_whole`."""
-    return _finals(spark, sf_dir, 1, 24)
-
-
-def beam_w16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 hypotheses, the first 12 plies, as test_decode compares it.  Not
-    registered: the query of this name is `beam_w16_whole`."""
-    return _finals(spark, sf_dir, 16, 12)
-
-
-def beam_w1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 with one hypothesis: greedy decoding of whole games."""
     return _finals(spark, sf_dir, 1)
 
 
-def beam_w16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def beam_w16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 with 16 hypotheses, whole games."""
     return _finals(spark, sf_dir, 16)
 
 
+def beam_w1024(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2, D3, T4 with 1,024 hypotheses a game, each a row, and the evidence of diagrams."""
+    dists = adapters.plies163(spark, sf_dir).join(checks(spark, sf_dir), ["game", "ply"], "left")
+    best = wide_beam.wide_beam(dists, 1024)
+    return best.select("game", F.array_join("moves", " ").alias("moves"), F.round("logp", 4).alias("logp"), F.array_join("state.pits", ",").alias("pits"))
+
+
 def beam_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pick among all hypotheses of whole games when a result is stated."""
     b = _beams(spark, sf_dir, 8)
     return b.select("game", F.expr(decode.beam_final("b", "int(game % 3) - 1")).alias("h")).select("game", F.array_join("h.moves", " ").alias("moves"))
 
 
-QUERIES = {f.__name__: f for f in (softmax, softmax_temp, masked_argmax, topk_classes, class_filter, allowed_pick, ply_marginals, tta_mean, class_domain, class_dim_join, legal_scores, legal_alternatives, evidence_logp, beam_cap, beam_final)}
-QUERIES |= {"beam_w1": beam_w1_whole, "beam_w16": beam_w16_whole}
+QUERIES = {f.__name__: f for f in (softmax, softmax_temp, masked_argmax, topk_classes, class_filter, allowed_pick, ply_marginals, tta_mean, class_domain, class_dim_join, legal_scores, legal_alternatives, evidence_logp, beam_cap, beam_w1, beam_w16, beam_w1024, beam_final)}
 
 _NAMES = "dim AS (SELECT 2 * (9 * (s - 1) + e - 1) + x AS idx, s::VARCHAR || e::VARCHAR || CASE WHEN x = 1 THEN 'x' ELSE '' END AS class FROM range(1, 10) a(s), range(1, 10) b(e), range(2) c(x) UNION ALL SELECT 162, 'empty')"
 _SCORES = (

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .committed import write_files
+
 REPLAY = "halfmove int, player string, move string, p1_kazan int, p2_kazan int, p1_side int, p2_side int, p1_tuzdyk int, p2_tuzdyk int, winner string"
 
 
@@ -35,7 +35,7 @@ def class_list_json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("idx", "class"))
 
 
-def image_files(spark: SparkSession, folder: str, pattern: str = "*.jpg", derived: str = "_split") -> DataFrame:
+def image_files(spark: SparkSession, folder: str | list[str], pattern: str = "*.jpg", derived: str = "_split") -> DataFrame:
     """Image files of a folder as (path, length, content), without derived ones."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return found.filter(~F.col("path").rlike(rf"{derived}\.[^./]*$")).select("path", "length", "content")
@@ -46,9 +46,11 @@ def write_documents(games: DataFrame, path: str) -> None:
     games.select(F.to_json(F.struct(*games.columns)).alias("value")).write.text(path)
 
 
-def write_pgn(games: DataFrame, path: str, kind: str = "kind", pgn: str = "pgn") -> None:
-    """PGN texts in a folder per kind."""
-    games.select(F.col(kind).alias("kind"), F.col(pgn).alias("value")).write.partitionBy("kind").text(path)
+def write_pgn(games: DataFrame, folder: str, name: str = "name", tags: str = "tags", kinds: tuple[str, ...] = ("beam", "raw", "legal"), replace: bool = False) -> None:
+    """`<name>_<kind>.pgn` for each game and kind of record (its column is `<kind>_pgn`):
+    the tags and then the moves, all committed together."""
+    each = [F.struct(F.concat(F.col(name), F.lit(f"_{k}.pgn")).alias("name"), F.concat(F.coalesce(F.col(tags), F.lit("")), F.col(f"{k}_pgn")).alias("content")) for k in kinds]
+    write_files(games.select(F.inline(F.array(*each))), folder, replace=replace)
 
 
 #: Endings of image files, the digits that need glyphs, EXIF's tag of orientation.
@@ -101,8 +103,9 @@ def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return pixels[::down, ::across]
 
 
-def sheet_images(spark: SparkSession, folder: str, pattern: str = "*.jpg", derived: str = "_split") -> DataFrame:
-    """Gray pages of a folder, turned upright by EXIF: (path, image), ordered by nothing.
+def sheet_images(spark: SparkSession, folder: str | list[str], pattern: str = "*", derived: str = "_split") -> DataFrame:
+    """Gray pages of a folder (or of some files), turned upright by EXIF: (path, image),
+    ordered by nothing.
 
     Spark's image source decodes; it hides EXIF, so the files' bytes are read beside
     it and joined by path.  A file that cannot be decoded has an image of nulls.
@@ -178,18 +181,6 @@ def png(image: Column) -> Column:
     return F.pandas_udf(encode, "binary")(image)
 
 
-def write_images(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """A file for each row in a folder that all executors share.  Each is written under a
-    name of its own and then renamed, so that a task may run twice.  Null contents make
-    no file; of rows with one name any may win."""
-
-    def write(part) -> None:
-        for row in part:
-            if row["content"] is not None:
-                target = os.path.join(folder, row["name"])
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.{uuid.uuid4().hex}", "wb") as out:
-                    out.write(row["content"])
-                os.replace(out.name, target)
-
-    rows.select(F.col(name).alias("name"), F.col(content).alias("content")).foreachPartition(write)
+def write_images(rows: DataFrame, folder: str, name: str = "name", content: str = "content", replace: bool = False) -> None:
+    """A file for each row, committed together; null contents make no file."""
+    write_files(rows, folder, name, content, replace)
