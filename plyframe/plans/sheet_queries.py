@@ -133,7 +133,6 @@ ORACLE = {
         SELECT user_id AS sheet, string_agg(k::VARCHAR || '. ' || raw, chr(10) ORDER BY k) || chr(10) AS raw_pgn, coalesce(string_agg(k::VARCHAR || '. ' || legal, chr(10) ORDER BY k) FILTER (WHERE legal IS NOT NULL), '') || chr(10) AS legal_pgn FROM line GROUP BY user_id""",
     "checkpoint_report": _DIAGRAM_SQL + """ SELECT user_id AS sheet, ply, k, kind, side, CASE CASE WHEN k >= 18 THEN kz ELSE pt END WHEN 82 THEN 'x' WHEN 83 THEN '-' ELSE (CASE WHEN k >= 18 THEN kz ELSE pt END)::VARCHAR END AS read
         FROM ob JOIN best USING (vec_id) WHERE top <> 84 AND (vec_id % 50)::DOUBLE / 1000.0::DOUBLE >= CASE WHEN kind = 'kazan' THEN 0.028::DOUBLE ELSE 0.02::DOUBLE END""",
-    "raw_vs_beam": _READ_SQL + "SELECT user_id AS sheet, count(*) AS compared, count(*) FILTER (WHERE raw = notation) AS agree FROM read GROUP BY user_id",
     "batch_run": _READ_SQL + """, im AS (SELECT user_id, user_id % 5 AS batch, row_number() OVER (PARTITION BY user_id % 5 ORDER BY user_id) AS n FROM (SELECT DISTINCT user_id FROM events)),
         res AS (SELECT c.user_id, CASE WHEN c.bad <= c.scanned THEN c.bad - 1 ELSE c.scanned END AS legal_plies,
                 CASE WHEN c.blank THEN 'empty cell' WHEN c.bad <= c.scanned THEN 'illegal move ' || (SELECT raw FROM read r WHERE r.user_id = c.user_id AND r.ply = c.bad)

@@ -42,6 +42,6 @@ def page_batch(moves: reading.Runner, out: str, store: str, **options) -> Callab
 def pages_in_batches(spark: SparkSession, folder: str, moves: reading.Runner, out: str, store: str, checkpoint: str, pattern: str = "*", files_per_batch: int = 1, **options) -> StreamingQuery:
     """Read the image files of a folder as they come, `files_per_batch` a batch, and
     stop when none is left; a later run goes on with what is new."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
     process = page_batch(moves, out, store, **options)
     return stream.select("path").writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
