@@ -247,7 +247,8 @@ def pair_counts(chunk_links: DataFrame) -> DataFrame:
 
 def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Texts (block, id, codes) and dictionaries (block, code, entry), an entry being
-    what a chunk adds to a text: ok, n_a, n_b, n_groups, n_best, count_sum, groups."""
+    what a chunk adds to a text: n_a (null where it makes the text have no tokens),
+    n_best, count_sum and groups."""
     kept = written(blocks(docs, names, id_col, text_col, block_bytes), "alignment-blocks")
     texts = kept.filter(F.col("codes").isNotNull()).select("block", "id", "codes")
     dictionaries = kept.filter(F.col("words").isNotNull()).select("block", "words", "counts")
@@ -256,7 +257,7 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
     words = written(encode(counted, names).withColumn("key", F.monotonically_increasing_id()), "alignment-words")
     # Dealt by chunk once, as arrays: windows, joins and groups keep that partitioning.
     dealt = words.repartition("key")
-    sized = dealt.select("key", "word", "n", "ok", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    sized = dealt.select("key", "word", "n", "ok", F.size("a").alias("n_a"))
     found = written(sized.join(aligned(dealt), "key", "left").drop("key"), "alignment-forms")
     dropped(words)
     forms = found if found.filter(~F.col("ok")).isEmpty() else _without_bad(found, entries, texts)
@@ -265,12 +266,12 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
         pairs = F.broadcast(pairs)
     linked = found.select("*", F.inline_outer("links")).drop("links").join(pairs, ["a", "b"], "left")
     facts = linked.groupBy("word").agg(
-        *[F.first(c).alias(c) for c in ("ok", "n_a", "n_b", "groups")],
-        F.count("a").alias("n_groups"),
+        F.first(F.when(F.col("ok"), F.col("n_a"))).alias("n_a"),
+        F.first("groups").alias("groups"),
         F.coalesce(F.sum(F.col("best").cast("int")), F.lit(0)).alias("n_best"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"),
     )
-    fields = ["ok", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"]
+    fields = ["n_a", "n_best", "count_sum", "groups"]
     entry = written(entries.join(facts, "word").select("block", "code", F.struct(*fields).alias("entry")), "alignment-entries")
     dropped(found)
     return texts, entry
@@ -288,21 +289,17 @@ def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_i
     whole = together.repartition(tasks, "block").sortWithinPartitions("block", "code").groupBy("block").agg(F.collect_list("doc").alias("docs"), F.array_sort(F.collect_list(F.when(F.col("code") >= 0, F.struct("code", "entry")))).alias("entries"))
 
     def facts_of(d: Column) -> Column:
-        codes, of = d["codes"], lambda c: F.get(F.col("entries"), c)["entry"]
-        good = (F.size(codes) > 0) & F.forall(codes, lambda c: of(c)["ok"])
-        total = lambda name: F.when(good, F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + of(c)[name])).otherwise(0)
-        form = F.when(good, F.array_join(F.transform(codes, lambda c: of(c)["groups"]), ";")).otherwise("")
-        return F.struct(
-            d["id"].alias("id"),
-            total("n_a").alias("n_a"),
-            total("n_b").alias("n_b"),
-            total("n_groups").alias("n_groups"),
-            total("n_best").alias("n_best"),
-            total("count_sum").alias("count_sum"),
-            form.alias("form"),
-        )
+        of = lambda c: F.get(F.col("entries"), c)["entry"]
+        total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + of(c)[name])
+        form = F.array_join(F.transform(d["codes"], lambda c: of(c)["groups"]), ";")
+        return F.struct(d["id"].alias("id"), total("n_a").alias("n_a"), total("n_best").alias("n_best"), total("count_sum").alias("count_sum"), form.alias("form"))
 
+    good = F.col("n_a") > 0
     rows = whole.select(F.inline(F.transform("docs", facts_of)))
+    rows = rows.select("id", *[F.when(good, F.col(c)).otherwise(0).alias(c) for c in ("n_a", "n_best", "count_sum")], F.when(good, F.col("form")).otherwise("").alias("form"))
+    # The form has a `|` a group, and a `,` between tokens of one side of a group.
+    signs = lambda sign: F.length("form") - F.length(F.replace("form", F.lit(sign)))
+    rows = rows.withColumn("n_groups", signs("|").cast("long")).withColumn("n_b", (signs(",") + 2 * F.col("n_groups") - F.col("n_a")).cast("long"))
     hashed = F.when(F.col("form") == "", "").otherwise(F.sha2("form", 256))
     columns = ["id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", hashed.alias("groups_sha256")]
     return rows.select(*columns, *([F.col("form").alias("groups")] if with_groups else []))
