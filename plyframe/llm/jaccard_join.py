@@ -6,13 +6,12 @@ similarity of at least `threshold`, by a MinHash LSH forest.
    is one row per task.)
 2. A representative's n-grams give a signature of trees x depth minimum hashes.
    In each tree the signature is a path of `depth` values, a leaf of a prefix
-   trie; leaves are sorted by path, and a subtrie is a run of equal prefixes.
+   trie; a subtrie is the leaves of one prefix, dealt and sorted together.
 3. Documents that share a prefix at full depth meet first.  Matched prefixes
-   are then shortened until a pair at the lowest similarity that the links found
-   so far show (the threshold, while there are none) shares one in some tree
-   with the target recall.  Only nodes that fork between the two depths are
-   looked at again, and a pair that met at the longer prefix or in an earlier
-   tree is not compared again, so it counts once.
+   are then shortened, in the nodes alone that fork below, until a pair at the
+   threshold shares one in some tree with the target recall, whatever else was
+   found.  A pair that met at the longer prefix or in an earlier tree is not
+   compared again, so it counts once.
 4. Subtries of more than `block` members or BLOCK_BYTES of words are cut into
    blocks that meet pairwise.  Members that meet nobody for the first time leave;
    the others bring their words and are verified exactly by their n-gram sets,
@@ -319,7 +318,6 @@ def links_at(classes: DataFrame, sketches: DataFrame, depth: int, longer: int |
     of `longer` values in any: per member and block pair rep, root, links, texts and
     the lowest similarity."""
     size = DEPTH * VALUE
-    leaf = F.substring("paths", F.col("tree") * size + 1, F.lit(size))
     trees = F.array(*[F.substring("paths", t * size + 1, size) for t in range(TREES)])
     entry = sketches.select("rep", "bytes", F.posexplode(trees).alias("tree", "path")).withColumn("label", F.xxhash64(F.substring("path", 1, depth * VALUE)))
     node = entry.withColumn("inner", F.xxhash64(F.substring("path", 1, (longer or depth) * VALUE)))
@@ -328,9 +326,9 @@ def links_at(classes: DataFrame, sketches: DataFrame, depth: int, longer: int |
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     placed = entry.join(forks, ["tree", "label"]).select("rep", "tree", "label", blocks.alias("blocks"), mine.alias("block"))
     paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "tree", "label", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block")
-    paired = written(paired, "near-subtries", "snappy").join(sketches.select("rep", "paths"), "rep").withColumn("leaf", leaf)
-    sorted_leaves = paired.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "leaf", "rep").drop("leaf")
-    wanted = written(sorted_leaves.mapInArrow(_candidates(depth, longer), "rep long, tree int, label long, one int, two int, block int, paths binary"), "near-candidates")
+    paired = written(paired, "near-subtries", "snappy").join(sketches.select("rep", "paths"), "rep")
+    subtries = paired.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep")
+    wanted = written(subtries.mapInArrow(_candidates(depth, longer), "rep long, tree int, label long, one int, two int, block int, paths binary"), "near-candidates")
     brought = wanted.join(classes.select("rep", "copies", "words"), "rep")
     made = brought.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep").mapInArrow(_verify(n, threshold, depth, longer), "rep long, root long, links long, texts long, lowest double")
     return written(made, "near-links")
@@ -340,13 +338,11 @@ def forest_links(classes: DataFrame, sketches: DataFrame, n: int, threshold: flo
     """All links, and the prefix lengths at which documents met, longest first."""
     depths = [DEPTH]
     found = links_at(classes, sketches, DEPTH, None, n, threshold, block)
-    while True:
-        lowest = found.agg(F.min("lowest")).first()[0]
-        depth = forest_depth(max(threshold, lowest or threshold), recall)
-        if depth >= depths[-1]:
-            return found, depths
-        found = found.unionByName(links_at(classes, sketches, depth, depths[-1], n, threshold, block))
+    depth = forest_depth(threshold, recall)
+    if depth < DEPTH:
+        found = found.unionByName(links_at(classes, sketches, depth, DEPTH, n, threshold, block))
         depths.append(depth)
+    return found, depths
 
 
 def near_classes(rows: DataFrame, n: int, threshold: float, recall: float, block: int) -> DataFrame:

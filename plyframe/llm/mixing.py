@@ -11,6 +11,7 @@ slice in which a source's rest ends is put in order.
 Null text has no words; null sources are one source, sorted last.  Null ids are
 drawn as the id "".  Rows equal in id and size share what the border leaves to
 them evenly.  An empty table gives an empty result.
+A very long text counts with all its words and, at a source's border, with part of them.
 """
 
 from __future__ import annotations

@@ -19,11 +19,15 @@ def changed(text, every, tag):
     return " ".join(f"{tag}{i}" if i % every == every - 1 else w for i, w in enumerate(text.split()))
 
 
-def test_only_close_copies_need_no_short_prefix(spark):
+def test_prefixes_shorten_whatever_is_found(spark):
+    """Close copies alone: pairs at the threshold would still be met as asked."""
     rows = [(10 * i + k, prose(400, i) if not k else prose(400, i) + f" last{k}") for i in range(6) for k in range(3)]
     classes, sketches = sketched(spark, rows)
-    _, depths = jj.forest_links(classes, sketches, 5, 0.8, 0.9999, 512)
-    assert depths == [jj.DEPTH]
+    found, depths = jj.forest_links(classes, sketches, 5, 0.8, 0.9999, 512)
+    assert depths == [jj.DEPTH, jj.forest_depth(0.8, 0.9999)]
+    assert 1 - (1 - 0.8 ** depths[-1]) ** jj.TREES >= 0.9999
+    links, _ = near_truth(rows)
+    assert dict(found.groupBy("rep").agg(F.sum("texts")).collect()) == {i: n for (i, _), n in zip(rows, links) if n}
 
 
 def test_links_at_the_threshold_shorten_the_prefix(spark):
