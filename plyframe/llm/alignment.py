@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from ._shared import dropped, slices, text_or_empty, written
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Blocks that one task gathers at the end, on average.
-BLOCKS_PER_TASK = 2
+BLOCKS_PER_TASK = 1
 #: Pairs of ids up to which their counts are sent to every executor.
 BROADCAST_PAIRS = 500_000
 
@@ -247,8 +247,8 @@ def pair_counts(chunk_links: DataFrame) -> DataFrame:
 
 def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Texts (block, id, codes) and dictionaries (block, code, entry), an entry being
-    what a chunk adds to a text: n_a (null where it makes the text have no tokens),
-    n_best, count_sum and groups."""
+    what a chunk adds to a text: mark (n_a and n_best in the halves of a long; null
+    where it makes the text have no tokens), count_sum and groups."""
     kept = written(blocks(docs, names, id_col, text_col, block_bytes), "alignment-blocks")
     texts = kept.filter(F.col("codes").isNotNull()).select("block", "id", "codes")
     dictionaries = kept.filter(F.col("words").isNotNull()).select("block", "words", "counts")
@@ -265,14 +265,17 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
     linked = found.select("*", F.inline_outer("links")).drop("links").join(pairs, ["a", "b"], "left")
+    best = F.coalesce(F.sum(F.col("best").cast("int")), F.lit(0))
     facts = linked.groupBy("word").agg(
         F.first(F.when(F.col("ok"), F.col("n_a"))).alias("n_a"),
         F.first("groups").alias("groups"),
-        F.coalesce(F.sum(F.col("best").cast("int")), F.lit(0)).alias("n_best"),
+        best.alias("n_best"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"),
     )
-    fields = ["n_a", "n_best", "count_sum", "groups"]
-    entry = written(entries.join(facts, "word").select("block", "code", F.struct(*fields).alias("entry")), "alignment-entries")
+    # A text has fewer than 2^31 tokens, so sums of marks are marks of sums.
+    mark = F.shiftleft(F.col("n_a").cast("long"), 32) + F.col("n_best")
+    facts = facts.select("word", F.struct(mark.alias("mark"), "count_sum", "groups").alias("entry"))
+    entry = written(entries.join(facts, "word").select("block", "code", "entry"), "alignment-entries")
     dropped(found)
     return texts, entry
 
@@ -292,10 +295,10 @@ def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_i
         of = lambda c: F.get(F.col("entries"), c)["entry"]
         total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + of(c)[name])
         form = F.array_join(F.transform(d["codes"], lambda c: of(c)["groups"]), ";")
-        return F.struct(d["id"].alias("id"), total("n_a").alias("n_a"), total("n_best").alias("n_best"), total("count_sum").alias("count_sum"), form.alias("form"))
+        return F.struct(d["id"].alias("id"), total("mark").alias("mark"), total("count_sum").alias("count_sum"), form.alias("form"))
 
     good = F.col("n_a") > 0
-    rows = whole.select(F.inline(F.transform("docs", facts_of)))
+    rows = whole.select(F.inline(F.transform("docs", facts_of))).withColumns({"n_a": F.shiftright("mark", 32), "n_best": F.col("mark").bitwiseAND((1 << 32) - 1)})
     rows = rows.select("id", *[F.when(good, F.col(c)).otherwise(0).alias(c) for c in ("n_a", "n_best", "count_sum")], F.when(good, F.col("form")).otherwise("").alias("form"))
     # The form has a `|` a group, and a `,` between tokens of one side of a group.
     signs = lambda sign: F.length("form") - F.length(F.replace("form", F.lit(sign)))

@@ -1,10 +1,8 @@
-"""Document fingerprints as invertible Bloom lookup tables of paragraph digests.
+"""Document fingerprints as invertible Bloom lookup tables of piece digests.
 
 A text is the set of digests of its pieces.  A line break or the end of any
 sentence closes one; what is still long is cut after words whose hash meets a
 condition (on the text itself, so that an edit moves no border but its own).
-The coarser paragraph_digests, unless pieces are asked, close at line breaks and
-sentence ends after one of a-g.
 
 A table has three rows of 2 ** bits cells, at least LOAD cells in a row for each
 digest of the text; a digest goes to one cell in each row, by other bits of its
@@ -61,12 +59,6 @@ ID_BITS = 12
 
 
 
-def paragraph_digests(text: str) -> Column:
-    """Distinct 64-bit digests of the paragraphs of a text, in a fixed order."""
-    parts = F.filter(F.split(F.col(text), r"\n|(?<=[a-g][.!?]) +"), lambda x: x != "")
-    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
-
-
 def piece_digests(text: str) -> Column:
     """Distinct 64-bit digests of the pieces of a text (SQL), in a fixed order: every
     sentence end closes one, and pieces of more than LONG characters are cut by
@@ -175,7 +167,7 @@ def next_smaller(ids: DataFrame, low: int, high: int) -> DataFrame:
     return inside.join(after, "slice", "left").select("x", F.coalesce("next", "top").alias("next"))
 
 
-def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
+def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = piece_digests) -> DataFrame:
     """id, text, digests, edited (the last third replaced by as much of the beginning
     of the next document), and next_digests, the digests of that document; x and
     nth tell the rows apart, and the result is partitioned by x."""
@@ -218,7 +210,7 @@ def fingerprint(cells: str, n: str) -> str:
     return f"concat({bits(n)}, '|', array_join({cells}.shown, ','))"
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = paragraph_digests) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[str], Column] = piece_digests) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and both likenesses."""
     texts = edited_texts(docs, id_col, text_col, digests)
     sets = texts.select(

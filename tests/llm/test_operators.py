@@ -166,6 +166,11 @@ def test_token_library_agreement():
     encode = packing.encoder(*packing.tokenizer_paths())
     for text in ["", " ", "a  b", "\n\n x\t\ty ", "It's 3 o'clock  now", "<|endoftext|>", "漢字 😀 é", "x" * 3000]:
         assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for text, want in zip(texts, exact.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text) == want.ids
 
 
 # ------------------------------------------------------------------ 4
@@ -300,21 +305,20 @@ def test_every_split_finds_each_record_once():
 # ------------------------------------------------------------------ 8
 
 
-def pieces(text):
-    return {x for x in re.split(r"\n|(?<=[a-g][.!?]) +", text) if x}
-
-
 def test_fingerprints(spark, docs, none):
     rows = sorted({r[0]: r[1] or "" for r in ROWS if r[0] is not None}.items(), reverse=True)
     df = spark.createDataFrame([(i, t or None) for i, t in rows], "doc_id long, text string")
     got = {r.id: r for r in iblt.fingerprints(df).collect()}
+    third_of = lambda k: rows[k][1][: len(rows[k][1]) - len(rows[k][1]) // 3] + rows[(k + 1) % len(rows)][1][: len(rows[k][1]) // 3]
+    texts = spark.createDataFrame([(k, t, third_of(k)) for k, (_, t) in enumerate(rows)], "k int, own string, edited string")
+    of = {r.k: (set(r.a), set(r.b)) for r in texts.select("k", iblt.piece_digests("own").alias("a"), iblt.piece_digests("edited").alias("b")).collect()}
     like = lambda a, b: 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
     for k, (i, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         third = len(text) // 3
         edited = text[: len(text) - third] + after[:third]
         assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i].near_edited == pytest.approx(like(pieces(text), pieces(edited))) and got[i].near_next == pytest.approx(like(pieces(text), pieces(after)))
+        assert got[i].near_edited == pytest.approx(like(*of[k])) and got[i].near_next == pytest.approx(like(of[k][0], of[(k + 1) % len(rows)][0]))
     assert len({r.fingerprint for i, r in got.items() if 100 <= i < 130}) == 1
     assert iblt.fingerprints(docs).count() == len(ROWS)
     assert iblt.fingerprints(none).count() == 0
