@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.operators import metrics, scan
+from plyframe.operators import metrics, pages, scan
 from plyframe.sources import samples
 
 from . import adapters
@@ -83,27 +83,38 @@ def page_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_col.select("l_suppkey", "col", F.round("x0", 4).alias("x0"), F.round(F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy("l_suppkey")) / 11, 4).alias("cell_height"))
 
 
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's grid for each supplier: where its eight tables are, a little askew; some
+    pages are too small for all of their boxes."""
+    key, tilt = F.col("s_suppkey"), (F.col("s_nationkey") - 12) / 1000.0
+    x0 = F.array(*[c * 300.0 + key % 17 for c in range(4)])
+    lines = lambda down: F.array(*[F.struct(tilt.alias("slope"), (down + band * 700.0 + key % 11).alias("offset")) for band in range(2)])
+    grid = F.struct(x0.alias("x0"), F.transform(x0, lambda x: x + 240 + key % 5).alias("x1"), lines(60.0).alias("top"), lines(390.0).alias("bottom"), (28.0 + key % 7 * 0.5).alias("cell"))
+    page = F.struct((1500 - key % 4 * 150).cast("int").alias("height"), (1300 - key % 3 * 100).cast("int").alias("width"))
+    return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", grid.alias("grid"), page.alias("page"))
+
+
 def layout_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """160 move cells of a page of 1100 x 880 with boxes cut to the page."""
-    cells = spark.range(2).select(F.col("id").alias("band")).crossJoin(spark.range(4).select(F.col("id").alias("col"))).crossJoin(spark.range(10).select(F.col("id").alias("row"))).crossJoin(spark.range(2).select(F.col("id").alias("side")))
-    x0 = F.col("col") * 220 + F.when(F.col("side") == 0, F.lit(44)).otherwise(F.lit(132))
-    y0 = F.col("band") * 560 + (F.col("row") + 1) * 50.5
-    return cells.select(
-        ((4 * F.col("band") + F.col("col")) * 10 + F.col("row") + 1).alias("move_no"),
-        F.when(F.col("side") == 0, "W").otherwise("B").alias("side"),
-        x0.cast("int").alias("x"),
-        y0.cast("int").alias("y"),
-        (F.least(F.lit(880), x0 + 88).cast("int") - x0.cast("int")).alias("w"),
-        (F.least(F.lit(1100.0), y0 + 50.5).cast("int") - y0.cast("int")).alias("h"),
-    )
+    """The 160 move cells of each page, cut to the page."""
+    rows = _grids(spark, sf_dir).select("s_suppkey", F.posexplode_outer(pages.clamped(pages.move_boxes(F.col("grid")), F.col("page"))).alias("_", "b"))
+    return rows.select("s_suppkey", "b.move_no", "b.side", "b.x", "b.y", "b.w", "b.h")
 
 
 def layout_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 diagrams of 18 pits and 2 kazans; black counts 9 to 1, white 1 to 9."""
-    pits = spark.range(8).select(F.col("id").alias("diagram")).crossJoin(spark.range(18).select(F.col("id").alias("j")))
-    pit = pits.select("diagram", F.lit("pit").alias("kind"), F.when(F.col("j") < 9, "B").otherwise("W").alias("side"), F.when(F.col("j") < 9, 9 - F.col("j")).otherwise(F.col("j") - 8).alias("pit_index"), F.col("j").alias("place"))
-    kazan = spark.range(16).select(F.floor(F.col("id") / 2).alias("diagram"), F.lit("kazan").alias("kind"), F.when(F.col("id") % 2 == 0, "B").otherwise("W").alias("side"), F.lit(0).cast("long").alias("pit_index"), (18 + F.col("id") % 2).alias("place"))
-    return pit.unionByName(kazan)
+    """The 18 pits and 2 kazans of each page's 8 diagrams, cut to the page."""
+    rows = _grids(spark, sf_dir).select("s_suppkey", F.posexplode_outer(pages.clamped(pages.diagram_boxes(F.col("grid")), F.col("page"))).alias("_", "b"))
+    return rows.select("s_suppkey", "b.kind", "b.move_no", "b.side", "b.pit_index", "b.x", "b.y", "b.w", "b.h")
+
+
+def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of 8 x 8 images at boxes that may reach over the edge: size and sum."""
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(F.transform("im", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("pixels"))
+    key = F.col("vec_id")
+    box = F.struct(F.lit("move").alias("kind"), F.lit(1).alias("move_no"), F.lit("W").alias("side"), F.lit(0).alias("pit_index"), (key % 9 - 2.5).alias("x0"), (key % 7 - 1.0).alias("y0"), (key % 9 + key % 4 + 0.5).alias("x1"), (key % 7 + 3.0).alias("y1"))
+    rows = _images(spark, sf_dir).select("vec_id", image.alias("image")).withColumn("boxes", pages.clamped(F.array(box), F.col("image")))
+    cut = rows.select("vec_id", F.col("boxes")[0].alias("b"), pages.crops(F.col("image"), F.col("boxes"))[0].alias("c"))
+    total = F.aggregate(F.sequence(F.lit(1), F.length("c.pixels")), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring("c.pixels", i, F.lit(1))), 16, 10).cast("long"))
+    return cut.select("vec_id", F.col("b.w").alias("w"), F.col("b.h").alias("h"), F.when((F.col("b.w") > 0) & (F.col("b.h") > 0), total).otherwise(0).alias("total"))
 
 
 _BOXES = "b AS (SELECT l_orderkey AS page, l_quantity AS x, l_extendedprice AS y, l_quantity * l_extendedprice AS area, l_partkey, l_linenumber FROM lineitem)"
@@ -217,9 +228,13 @@ def synth_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.join(vectors, drawn["sample"] == vectors["vec_id"]).select("sample", F.col("class_idx").cast("long").alias("class_idx"), "class", "label")
 
 
-QUERIES = {f.__name__: f for f in (accuracy, topk_accuracy, eval_report, running_mean, best_so_far, upper_median, median_exact, percentiles, band_fit, page_grid, layout_cells, layout_diagram, corner_order, skew_angle, area_outlier, band_split, game_order, take_while, ink_filter, ink_ratio, border_median, tight_bbox, tta_views, cap_per_key, pool_counts, synth_draw)}
+QUERIES = {f.__name__: f for f in (accuracy, topk_accuracy, eval_report, running_mean, best_so_far, upper_median, median_exact, percentiles, band_fit, page_grid, layout_cells, layout_diagram, crop_pixels, corner_order, skew_angle, area_outlier, band_split, game_order, take_while, ink_filter, ink_ratio, border_median, tight_bbox, tta_views, cap_per_key, pool_counts, synth_draw)}
 
 _ORDER = ", ".join(_EPOCH)
+#: DuckDB: a row per table of each page's grid, and a box cut to its page.
+_GRID = """WITH g AS (SELECT s_suppkey AS k, t, (s_nationkey - 12)::DOUBLE / 1000.0::DOUBLE AS tilt, (t % 4 * 300 + s_suppkey % 17)::DOUBLE AS x0, (240 + s_suppkey % 5)::DOUBLE AS bw, x0 + bw / 2 AS xc,
+    (60 + t // 4 * 700 + s_suppkey % 11)::DOUBLE AS up, (390 + t // 4 * 700 + s_suppkey % 11)::DOUBLE AS down, 28 + (s_suppkey % 7)::DOUBLE * 0.5::DOUBLE AS cell, 1300 - s_suppkey % 3 * 100 AS pw, 1500 - s_suppkey % 4 * 150 AS ph FROM supplier, range(8) r(t))"""
+_CUT = "trunc(greatest(0, ax))::BIGINT AS x, trunc(greatest(0, ay))::BIGINT AS y, greatest(0, trunc(least(pw, bx))::BIGINT - trunc(greatest(0, ax))::BIGINT) AS w, greatest(0, trunc(least(ph, ey))::BIGINT - trunc(greatest(0, ay))::BIGINT) AS h"
 ORACLE = {
     "accuracy": f"WITH {_SCORED} SELECT label, count(*) AS n, round(avg((i = label)::INT), 6) AS accuracy FROM r WHERE rn = 1 GROUP BY label",
     "topk_accuracy": f"WITH {_SCORED} SELECT count(DISTINCT vec_id) AS n, sum((i = label AND rn = 1)::BIGINT)::BIGINT AS top1, sum((i = label)::BIGINT)::BIGINT AS top3 FROM r WHERE rn <= 3",
@@ -231,10 +246,16 @@ ORACLE = {
     "percentiles": "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 2) AS p50, round(quantile_cont(l_extendedprice, 0.995), 2) AS p995 FROM lineitem GROUP BY l_suppkey",
     "band_fit": "SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_suppkey",
     "page_grid": "WITH c AS (SELECT l_suppkey, l_linenumber % 4 AS col, avg(l_quantity) AS x0, min(l_extendedprice) AS t, max(l_extendedprice) AS b FROM lineitem GROUP BY ALL) SELECT l_suppkey, col, round(x0, 4) AS x0, round(avg(b - t) OVER (PARTITION BY l_suppkey) / 11, 4) AS cell_height FROM c",
-    "layout_cells": """WITH c AS (SELECT b, c, r, s, c * 220 + CASE WHEN s = 0 THEN 44 ELSE 132 END AS x0, (b * 560 + (r + 1) * 50.5)::DOUBLE AS y0 FROM range(2) b(b), range(4) c(c), range(10) r(r), range(2) s(s))
-        SELECT (4 * b + c) * 10 + r + 1 AS move_no, CASE WHEN s = 0 THEN 'W' ELSE 'B' END AS side, x0 AS x, floor(y0)::BIGINT AS y, least(880, x0 + 88) - x0 AS w, floor(least(1100.0, y0 + 50.5))::BIGINT - floor(y0)::BIGINT AS h FROM c""",
-    "layout_diagram": """SELECT d AS diagram, 'pit' AS kind, CASE WHEN j < 9 THEN 'B' ELSE 'W' END AS side, CASE WHEN j < 9 THEN 9 - j ELSE j - 8 END AS pit_index, j AS place FROM range(8) a(d), range(18) b(j)
-        UNION ALL SELECT d, 'kazan', CASE WHEN s = 0 THEN 'B' ELSE 'W' END, 0, 18 + s FROM range(8) a(d), range(2) b(s)""",
+    "layout_cells": _GRID + """, e AS (SELECT *, CASE WHEN s = 0 THEN 0.2::DOUBLE ELSE 0.6::DOUBLE END AS l, CASE WHEN s = 0 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS r FROM g, range(10) a(i), range(2) b(s)),
+        q AS (SELECT k, (t * 10 + i + 1)::BIGINT AS move_no, CASE WHEN s = 0 THEN 'W' ELSE 'B' END AS side, x0 + l * bw AS ax, x0 + r * bw AS bx, (tilt * xc + up) + (i + 1) * cell AS ay, (tilt * xc + up) + (i + 1) * cell + cell AS ey, pw, ph FROM e)
+        SELECT k AS s_suppkey, move_no, side, """ + _CUT + " FROM q",
+    "layout_diagram": _GRID + """, d AS (SELECT *, (t + 1) * 10 AS move_no, x0 + -0.1::DOUBLE * bw AS gx, 1.05::DOUBLE * bw / 9 AS pw9, (tilt * xc + down) + 2.49::DOUBLE * cell AS top, cell * 1.1::DOUBLE AS high FROM g),
+        q AS (SELECT k, 'pit' AS kind, move_no, CASE WHEN o = 0 THEN 'B' ELSE 'W' END AS side, CASE WHEN o = 0 THEN 9 - j ELSE j + 1 END AS pit_index, gx + j * pw9 AS ax, gx + (j + 1) * pw9 AS bx,
+              CASE WHEN o = 0 THEN top ELSE top + high END AS ay, CASE WHEN o = 0 THEN top ELSE top + high END + high AS ey, pw, ph FROM d, range(2) a(o), range(9) b(j)
+              UNION ALL SELECT k, 'kazan', move_no, CASE WHEN o = 0 THEN 'B' ELSE 'W' END, 0, gx + 4 * pw9, gx + 4 * pw9 + 2 * pw9, CASE WHEN o = 0 THEN top - high ELSE top + 2 * high END, CASE WHEN o = 0 THEN top - high ELSE top + 2 * high END + high, pw, ph FROM d, range(2) a(o))
+        SELECT k AS s_suppkey, kind, move_no, side, pit_index, """ + _CUT + " FROM q",
+    "crop_pixels": f"""WITH {_IMG}, b AS (SELECT vec_id, greatest(0, trunc(vec_id % 9 - 2.5::DOUBLE))::BIGINT AS x, greatest(0, vec_id % 7 - 1) AS y, least(8, trunc(vec_id % 9 + vec_id % 4 + 0.5::DOUBLE))::BIGINT AS x1, least(8, vec_id % 7 + 3) AS y1 FROM embeddings)
+        SELECT b.vec_id, greatest(0, any_value(x1 - x)) AS w, greatest(0, any_value(y1 - y)) AS h, coalesce(sum(v) FILTER (WHERE i % 8 >= x AND i % 8 < x1 AND i // 8 >= y AND i // 8 < y1), 0)::BIGINT AS total FROM b JOIN im ON im.vec_id = b.vec_id GROUP BY b.vec_id""",
     "corner_order": f"WITH {_BOXES} SELECT page, min(round(x + y, 2)) AS tl, max(round(x + y, 2)) AS br, min(round(y - x, 2)) AS tr, max(round(y - x, 2)) AS bl FROM b GROUP BY page",
     "skew_angle": f"WITH {_BOXES}, m AS (SELECT page, least(15.0, greatest(-15.0, median(degrees(atan2(x - 25, y / 100))))) AS m FROM b GROUP BY page) SELECT page, round(CASE WHEN abs(m) < 0.05 THEN 0 ELSE m END, 4)::DOUBLE AS angle FROM m",
     "area_outlier": "WITH b AS (SELECT l_suppkey AS page, l_quantity * l_extendedprice AS area, l_orderkey, l_partkey, l_linenumber FROM lineitem), m AS (SELECT *, median(area) OVER (PARTITION BY page) AS m FROM b), n AS (SELECT *, area > 0.5::DOUBLE * m AND area < 2 * m AS near FROM m), k AS (SELECT *, sum(near::INT) OVER (PARTITION BY page) AS n FROM n) SELECT page, row_number() OVER (PARTITION BY page ORDER BY area DESC, l_orderkey, l_partkey, l_linenumber) AS rank, round(area, 2) AS area, n::BIGINT AS near FROM k WHERE near OR n < 8 QUALIFY rank <= 8",

@@ -82,6 +82,12 @@ def class_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(spark.range(1).select(F.lit(162).cast("long").alias("idx"), F.lit("empty").alias("class")))
 
 
+def class_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every move class with the number of events that read it, 0 included."""
+    reads = adapters.table(spark, sf_dir, "events").groupBy((F.col("event_id") * F.col("event_id") % 163).alias("idx")).agg(F.count("*").alias("n"))
+    return class_domain(spark, sf_dir).join(reads, "idx", "left").select("idx", "class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def class_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top class indices joined with their names (163 rows, so broadcast)."""
     top = adapters.plies163(spark, sf_dir).select("game", "ply", F.expr(prob.argmax("p")).cast("long").alias("idx"))
@@ -171,7 +177,7 @@ def beam_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("game", F.expr(decode.beam_final("b", "int(game % 3) - 1")).alias("h")).select("game", F.array_join("h.moves", " ").alias("moves"))
 
 
-QUERIES = {f.__name__: f for f in (softmax, softmax_temp, masked_argmax, topk_classes, class_filter, allowed_pick, ply_marginals, tta_mean, class_domain, class_dim_join, legal_scores, legal_alternatives, evidence_logp, beam_cap, beam_w1, beam_w16, beam_w1024, beam_final)}
+QUERIES = {f.__name__: f for f in (softmax, softmax_temp, masked_argmax, topk_classes, class_filter, allowed_pick, ply_marginals, tta_mean, class_domain, class_reads, class_dim_join, legal_scores, legal_alternatives, evidence_logp, beam_cap, beam_w1, beam_w16, beam_w1024, beam_final)}
 
 _NAMES = "dim AS (SELECT 2 * (9 * (s - 1) + e - 1) + x AS idx, s::VARCHAR || e::VARCHAR || CASE WHEN x = 1 THEN 'x' ELSE '' END AS class FROM range(1, 10) a(s), range(1, 10) b(e), range(2) c(x) UNION ALL SELECT 162, 'empty')"
 _SCORES = (
@@ -201,6 +207,7 @@ ORACLE = {
     "x AS (SELECT game, ply, sum(p) FILTER (WHERE i % 2 = 1) AS x FROM m GROUP BY ALL) SELECT game, ply, hole, round(src, 6) AS src, round(land, 6) AS land, round(x, 6) AS x_mass FROM s JOIN l USING (game, ply, hole) JOIN x USING (game, ply)",
     "tta_mean": f"WITH {_P64} SELECT vec_id // 7 AS cell, i, round(avg(p), 6) AS p, count(*) AS views FROM p GROUP BY ALL",
     "class_domain": f"WITH {_NAMES} SELECT idx, class FROM dim",
+    "class_reads": f"WITH {_NAMES} SELECT idx, class, count(event_id) AS n FROM dim LEFT JOIN events ON event_id * event_id % 163 = idx GROUP BY ALL",
     "class_dim_join": f"WITH {_P163}, {_NAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rn FROM p163) SELECT game, ply, idx, class FROM r JOIN dim ON dim.idx = r.i WHERE rn = 1",
     "legal_scores": _SCORES + "SELECT game, ply, row_number() OVER (PARTITION BY game, ply ORDER BY score DESC, a) - 1 AS rank, notation, round(score, 6) AS score, round(score / sum(score) OVER (PARTITION BY game, ply), 6) AS share FROM sc",
     "legal_alternatives": _SCORES + "SELECT game, ply, row_number() OVER (PARTITION BY game, ply ORDER BY round(own, 4) DESC, notation) - 1 AS rank, notation, round(own, 4) AS p FROM sc",
