@@ -130,10 +130,15 @@ def annotated(move: str) -> str:
 PLY = "struct<ply:int,action:int,notation:string,captured:int,makes_tuzdyk:boolean,sown:array<int>,before:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>,after:struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>>"
 
 
-#: What a fold of a whole game keeps of each ply: its type, and the value for move m.
+#: Plies between diagrams on a sheet.
+DIAGRAM_EVERY = 20
+STATE = "struct<pits:array<int>,kazans:array<int>,tuz:array<int>,turn:int>"
+
+#: What a fold of a whole game keeps: its type, and what move m adds.
 KEPT = {
-    "plies": (PLY, "named_struct('ply', s.n + 1, 'action', m.action, 'notation', m.notation, 'captured', m.captured, 'makes_tuzdyk', m.makes_tuzdyk, 'sown', m.sown, 'before', s.state, 'after', m.state)"),
-    "moves": ("string", "concat(m.notation, if(m.captured > 0, '+', ''))"),
+    "plies": (PLY, "array(named_struct('ply', s.n + 1, 'action', m.action, 'notation', m.notation, 'captured', m.captured, 'makes_tuzdyk', m.makes_tuzdyk, 'sown', m.sown, 'before', s.state, 'after', m.state))"),
+    "moves": ("string", "array(concat(m.notation, if(m.captured > 0, '+', '')))"),
+    "boards": (f"struct<ply:int,g:{STATE}>", f"if((s.n + 1) % {DIAGRAM_EVERY} = 0, array(named_struct('ply', s.n + 1, 'g', m.state)), cast(array() as array<struct<ply:int,g:{STATE}>>))"),
 }
 
 
@@ -147,7 +152,7 @@ def playout(choices: str, keep: str | None = "plies", start: str | None = None)
     """Fold a game: choice c takes legal action number c % n; the game stops when it
     is over.  struct<state, n, plies or moves>; with keep=None only state and n.  With
     `start`, such a struct, the game goes on from there."""
-    more = f", '{keep}', concat(s.{keep}, array({KEPT[keep][1]}))" if keep else ""
+    more = f", '{keep}', concat(s.{keep}, {KEPT[keep][1]})" if keep else ""
     step = let("m", play("s.state", "can[int(pmod(c, size(can)))]"), f"named_struct('state', m.state, 'n', s.n + 1{more})")
     step = f"if(array_max(s.state.kazans) >= {WINNING}, s, {let('can', legal('s.state'), f'if(size(can) = 0, s, {step})')})"
     return f"aggregate({choices}, {start or opening(keep)}, (s, c) -> {step})"

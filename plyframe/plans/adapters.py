@@ -38,6 +38,12 @@ def games(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, first
     return _played(spark, sf_dir, "plies", only, first).select("user_id", "game.state", "game.plies")
 
 
+def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, ply and the board g after every 20th half-move; only these are kept."""
+    kept = _played(spark, sf_dir, "boards").select("user_id", F.explode_outer("game.boards").alias("b"))
+    return kept.filter("b is not null").select("user_id", "b.ply", "b.g")
+
+
 def plies(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """One row per half-move: user_id and the ply's fields."""
     # explode would infer a filter on the array's size and fold each game once more for it.

@@ -122,7 +122,7 @@ def _n_vectors(spark: SparkSession, sf_dir: str) -> int:
 
 def evidence_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood given the board of a diagram after every 20th ply."""
-    boards = adapters.plies(spark, sf_dir).filter("ply % 20 = 0").select("user_id", "ply", F.col("after").alias("g"))
+    boards = adapters.boards(spark, sf_dir)
     seen = adapters.diagram_cells(boards.select("user_id", "ply"), _n_vectors(spark, sf_dir))
     read = seen.join(adapters.diagrams85(spark, sf_dir), "vec_id").select("user_id", "ply", "k", F.expr(decode.diagram_filter("k", "p")).alias("d"))
     checks = read.groupBy("user_id", "ply").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("check")).select("user_id", "ply", F.col("check.d").alias("check"))
