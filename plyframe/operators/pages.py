@@ -426,29 +426,75 @@ def cell_name(kind: Column, move_no: Column, side: Column, pit_index: Column) ->
     return F.concat(F.when(kind == "move", F.lit("")).otherwise(F.concat(kind, F.lit("_"))), number, F.lit("_"), side, tail, F.lit(".png"))
 
 
-def overlay(image: Column, boxes: Column) -> Column:
-    """PNG of a page in colour with the outline of every clamped box; null without boxes."""
+#: Letters of labels, 3 wide and 5 high: a row is a digit whose bits are its dots.
+FONT = {"0": "75557", "1": "26227", "2": "71747", "3": "71717", "4": "55711", "5": "74717", "6": "74757", "7": "71122", "8": "75757", "9": "75717", "x": "05250", "-": "00700", "+": "02720"}
+LABEL = (255, 0, 0)
+
+
+def grid_lines(found: Column) -> Column:
+    """Lines of a grid as array<struct<x0, y0, x1, y1>>: of each table the upper edges of
+    its rows, the lower edge, and the edges of its three columns."""
+
+    def of(table: Column) -> Column:
+        left, right = F.get(found["x0"], table % 4), F.get(found["x1"], table % 4)
+        band = F.floor(table / 4).cast("int")
+        top = lambda x: _at(F.get(found["top"], band), x)
+        line = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+        rows = F.transform(F.sequence(F.lit(0), F.lit(ROWS + 1)), lambda r: line(left, top(left) + r * found["cell"], right, top(right) + r * found["cell"]))
+        shares = F.array(*map(F.lit, (0.0, NUMBER_END, WHITE_END, 1.0)))
+        columns = F.transform(F.transform(shares, lambda c: left + c * (right - left)), lambda x: line(x, top(x), x, top(x) + (ROWS + 1) * found["cell"]))
+        return F.concat(rows, columns)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), of))
+
+
+def _draw_line(paper: np.ndarray, x0: float, y0: float, x1: float, y1: float, color: tuple[int, int, int]) -> None:
+    steps = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
+    x, y = (np.rint(np.linspace(a, b, steps + 1)).astype(int) for a, b in ((x0, x1), (y0, y1)))
+    inside = (x >= 0) & (y >= 0) & (x < paper.shape[1]) & (y < paper.shape[0])
+    paper[y[inside], x[inside]] = color
+
+
+def _draw_label(paper: np.ndarray, text: str, x: int, bottom: int, scale: int) -> None:
+    for place, char in enumerate(text):
+        dots = [[int(r) >> 2 & 1, int(r) >> 1 & 1, int(r) & 1] for r in FONT.get(char, "00000")]
+        mask = np.kron(dots, np.ones((scale, scale), int)).astype(bool)
+        ys, xs = np.nonzero(mask)
+        ys, xs = ys + bottom - 5 * scale, xs + x + place * 4 * scale
+        inside = (xs >= 0) & (ys >= 0) & (xs < paper.shape[1]) & (ys < paper.shape[0])
+        paper[ys[inside], xs[inside]] = LABEL
+
+
+def overlay(image: Column, boxes: Column, labels: Column | None = None, lines: Column | None = None) -> Column:
+    """PNG of a page in colour with its grid's lines (array of x0, y0, x1, y1), the outline
+    of every clamped box, and the label of each (array beside the boxes, null for none)
+    in its lower left corner; null without boxes."""
     from plyframe.sources.files import png_bytes
 
-    def draw(rows: pd.DataFrame, wanted: pd.Series) -> pd.Series:
+    def draw(rows: pd.DataFrame, wanted: pd.Series, texts: pd.Series, grids: pd.Series) -> pd.Series:
         out = []
-        for height, width, raw, page_boxes in zip(rows["height"], rows["width"], rows["pixels"], wanted):
+        for height, width, raw, page_boxes, page_texts, page_lines in zip(rows["height"], rows["width"], rows["pixels"], wanted, texts, grids):
             page = _pixels(height, width, raw)
             if page is None or page_boxes is None:
                 out.append(None)
                 continue
             paper = np.repeat(page[:, :, None], 3, axis=2)
-            for b in page_boxes:
+            for line in page_lines if page_lines is not None else []:
+                _draw_line(paper, line["x0"], line["y0"], line["x1"], line["y1"], COLORS["line"])
+            for i, b in enumerate(page_boxes):
                 x1, y1 = min(b["x"] + b["w"], width - 1), min(b["y"] + b["h"], height - 1)
                 if b["w"] and b["h"]:
                     color = COLORS[b["kind"]]
                     paper[[b["y"], y1], b["x"] : x1 + 1] = color
                     paper[b["y"] : y1 + 1, [b["x"], x1]] = color
+                    if page_texts is not None and page_texts[i]:
+                        _draw_label(paper, page_texts[i], b["x"] + 2, b["y"] + b["h"] - 2, 2 if b["kind"] == "move" else 1)
             out.append(png_bytes(paper))
         return pd.Series(out, dtype=object)
 
-    draw.__annotations__ = {"rows": pd.DataFrame, "wanted": pd.Series, "return": pd.Series}
-    return F.pandas_udf(draw, "binary")(image, boxes)
+    draw.__annotations__ = {"rows": pd.DataFrame, "wanted": pd.Series, "texts": pd.Series, "grids": pd.Series, "return": pd.Series}
+    none = F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    return F.pandas_udf(draw, "binary")(image, boxes, none[0] if labels is None else labels, none[1] if lines is None else lines)
 
 
 def split_preview(layout: DataFrame, image: str = "image") -> DataFrame:
