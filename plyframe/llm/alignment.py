@@ -116,12 +116,16 @@ def blocks(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, "text", block_bytes):
-                split = [chunks(t) if apart or not t else [t] for t in batch.column("text").to_pylist()]
-                offsets = np.zeros(len(split) + 1, np.int32)
-                np.cumsum([len(s) for s in split], out=offsets[1:])
-                coded = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
+                n, found, parts = batch.num_rows, [], [pa.array([], pa.string())]
+                for part in slices(batch, "text"):  # chunks are Python strings for a part only
+                    split = [chunks(t) if apart or not t else [t] for t in part.column("text").to_pylist()]
+                    found += map(len, split)
+                    parts.append(pa.array([w for s in split for w in s], pa.string()))
+                offsets = np.zeros(n + 1, np.int32)
+                np.cumsum(found, out=offsets[1:])
+                coded = pa.concat_arrays(parts).dictionary_encode()
                 counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-                n, size = len(split), len(coded.dictionary)
+                size = len(coded.dictionary)
                 one = np.array([0, size], np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * n, pa.int64()), batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), coded.indices.cast(pa.int32())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))],
