@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.
+
+Null and empty texts have no language and go in the first stage.  Of repeated rows, and
+of texts equal but for white space, one stays (the longest, then the smallest id); of a
+group of near-duplicates the smallest id stays.  Rows with null ids take part like
+others.  A very long text is one row to the last stage, where it becomes pieces.  All but
+the last stage return the columns of documents, whatever these are called; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
