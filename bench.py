@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from plyframe import catalog
 
-NAMES = ["playout_fold", "replay_strict", "legal_moves", "softmax", "ply_marginals", "legal_scores", "evidence_logp", "beam_w1", "beam_w16", "running_mean", "band_fit", "csv_meta", "game_order"]
+NAMES = ["playout_fold", "replay_strict", "legal_moves", "softmax", "ply_marginals", "legal_scores", "evidence_logp", "beam_w1", "beam_w16", "beam_w1024", "running_mean", "band_fit", "csv_meta", "game_order"]
 
 
 def main() -> None:
