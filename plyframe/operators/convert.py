@@ -34,4 +34,4 @@ def convert(requests: DataFrame, scans: DataFrame, moves: reading.Runner, store:
 def write_records(converted: DataFrame, folder: str, replace: bool = False) -> None:
     """The PGN files of each game under <request>/<name>_<kind>.pgn, committed together."""
     good = converted.filter("error is null").withColumn("file", F.concat(F.col("request").cast("string"), F.lit("/"), "name"))
-    files.write_pgn(good, folder, name="file", kinds=KINDS, replace=replace)
+    files.write_records(good, folder, name="file", kinds=KINDS, replace=replace)

@@ -46,7 +46,12 @@ def write_documents(games: DataFrame, path: str) -> None:
     games.select(F.to_json(F.struct(*games.columns)).alias("value")).write.text(path)
 
 
-def write_pgn(games: DataFrame, folder: str, name: str = "name", tags: str = "tags", kinds: tuple[str, ...] = ("beam", "raw", "legal"), replace: bool = False) -> None:
+def write_pgn(games: DataFrame, path: str, kind: str = "kind", pgn: str = "pgn") -> None:
+    """PGN texts in a folder per kind."""
+    games.select(F.col(kind).alias("kind"), F.col(pgn).alias("value")).write.partitionBy("kind").text(path)
+
+
+def write_records(games: DataFrame, folder: str, name: str = "name", tags: str = "tags", kinds: tuple[str, ...] = ("beam", "raw", "legal"), replace: bool = False) -> None:
     """`<name>_<kind>.pgn` for each game and kind of record (its column is `<kind>_pgn`):
     the tags and then the moves, all committed together."""
     each = [F.struct(F.concat(F.col(name), F.lit(f"_{k}.pgn")).alias("name"), F.concat(F.coalesce(F.col(tags), F.lit("")), F.col(f"{k}_pgn")).alias("content")) for k in kinds]

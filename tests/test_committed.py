@@ -64,5 +64,5 @@ def test_a_killed_and_retried_task_is_there_once(tmp_path):
 
 def test_records_with_their_tags(spark, tmp_path):
     games = spark.createDataFrame([("round7_game1", "[Event \"x\"]\n\n", "1. a b\n", "1. a\n", "\n")], "name string, tags string, beam_pgn string, raw_pgn string, legal_pgn string")
-    files.write_pgn(games, str(tmp_path / "pgn"))
+    files.write_records(games, str(tmp_path / "pgn"))
     assert listed(tmp_path / "pgn") == {"round7_game1_beam.pgn": b'[Event "x"]\n\n1. a b\n', "round7_game1_raw.pgn": b'[Event "x"]\n\n1. a\n', "round7_game1_legal.pgn": b'[Event "x"]\n\n\n'}
