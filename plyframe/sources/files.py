@@ -19,7 +19,7 @@ def labels_csv(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:
     """Rows `filename,label` with a header whose trimmed label is in classes(class)."""
     rows = spark.read.schema("filename string, label string").csv(path, header=True)
     trimmed = rows.select(F.trim("filename").alias("filename"), F.trim("label").alias("label"))
-    return trimmed.join(F.broadcast(classes), F.col("label") == F.col("class"), "left_semi")
+    return trimmed.join(classes, F.col("label") == F.col("class"), "left_semi")
 
 
 def replay_tsv(spark: SparkSession, path: str) -> DataFrame:
