@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.functions import prob, rules
-from plyframe.operators import decode, wide_beam
+from plyframe.operators import batches, decode
 
 from . import adapters
 from .game_queries import _LEGAL_SQL, GAMES_SQL
@@ -135,11 +135,15 @@ def beam_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("k", "asked", "per_ply", decode.beam_cap(F.col("asked"), F.col("per_ply")).alias("width"))
 
 
-def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """game, ply (from 0) and the diagram after every 20th ply of plies163."""
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, ply (from 0), k and p: the diagram after every 20th ply of plies163."""
     plies = adapters.plies163(spark, sf_dir).filter("(ply + 1) % 20 = 0").select(F.col("game").alias("user_id"), "ply")
-    seen = adapters.diagram_cells(plies, _n_vectors(spark, sf_dir)).join(adapters.diagrams85(spark, sf_dir), "vec_id")
-    read = seen.select("user_id", "ply", "k", F.expr(decode.diagram_filter("k", "p")).alias("d")).groupBy("user_id", "ply").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("c"))
+    return adapters.diagram_cells(plies, _n_vectors(spark, sf_dir)).join(adapters.diagrams85(spark, sf_dir), "vec_id")
+
+
+def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, ply and check: these diagrams, gathered."""
+    read = _seen(spark, sf_dir).select("user_id", "ply", "k", F.expr(decode.diagram_filter("k", "p")).alias("d")).groupBy("user_id", "ply").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("c"))
     return read.select(F.col("user_id").alias("game"), "ply", F.col("c.d").alias("check"))
 
 
@@ -165,10 +169,12 @@ def beam_w16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beam_w1024(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2, D3, T4 with 1,024 hypotheses a game, each a row, and the evidence of diagrams."""
-    dists = adapters.plies163(spark, sf_dir).join(checks(spark, sf_dir), ["game", "ply"], "left")
-    best = wide_beam.wide_beam(dists, 1024)
-    return best.select("game", F.array_join("moves", " ").alias("moves"), F.round("logp", 4).alias("logp"), F.array_join("state.pits", ",").alias("pits"))
+    """D2, D3, T4 with 1,024 hypotheses a game and the evidence of diagrams."""
+    dists = adapters.plies163(spark, sf_dir)
+    cells = dists.select(F.col("game").alias("sheet"), F.col("ply").alias("move_no"), F.lit("W").alias("side"), F.lit(1.0).alias("ink"), "p")
+    seen = _seen(spark, sf_dir).select(F.col("user_id").alias("sheet"), (F.col("ply") + 1).alias("ply"), F.col("ply").alias("move_no"), F.lit("pit").alias("kind"), F.lit("W").alias("side"), "k", F.lit(0).alias("pit_index"), "p")
+    best = batches.read_batches(cells, seen, width=1024, whole=True, records=False)
+    return best.select(F.col("sheet").alias("game"), F.array_join("moves", " ").alias("moves"), F.round("logp", 4).alias("logp"), F.array_join("state.pits", ",").alias("pits"))
 
 
 def beam_final(spark: SparkSession, sf_dir: str) -> DataFrame:
