@@ -107,7 +107,8 @@ def raw_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a read move is among the legal ones; every fifth is misread."""
     p = adapters.plies(spark, sf_dir)
     raw = F.when(F.col("ply") % 5 == 0, F.concat(F.col("action") + 1, F.lit("0"))).otherwise(F.col("notation"))
-    return p.select("user_id", "ply", raw.alias("raw"), F.array_contains(F.expr(rules.notations("before")), raw).alias("raw_is_legal"))
+    # A move's first character tells the only action that it can be, so one is written.
+    return p.select("user_id", "ply", "before", raw.alias("raw")).select("user_id", "ply", "raw", F.expr(rules.fits("before", "raw")).alias("raw_is_legal"))
 
 
 def stop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
