@@ -33,16 +33,20 @@ def padded(fields: Column, names: list[str]) -> Column:
 
 def parsed_meta(line: Column) -> Column:
     """struct<event, site, date, round, error>; the round is normalised (`07` is `7`)."""
-    fields = text.csv_fields(F.coalesce(line, F.lit("")))
-    f = padded(fields, META)
-    number = text.whole_number(f["round"])
-    error = (
-        F.when(text.too_many(fields, len(META)), _error("meta_fields", F.size(fields)))
-        .when((f["round"] != "") & number.isNull(), _error("round_not_number", f["round"]))
-        .when((f["round"] != "") & ~number.between(*ROUNDS), _error("round_range", number))
-    )
-    rounds = F.when(f["round"] != "", number.cast("string")).otherwise("")
-    return F.struct(f["event"].alias("event"), f["site"].alias("site"), f["date"].alias("date"), rounds.alias("round"), error.alias("error"))
+
+    def one(fields: Column) -> Column:
+        f = padded(fields, META)
+        number = text.whole_number(f["round"])
+        error = (
+            F.when(text.too_many(fields, len(META)), _error("meta_fields", F.size(fields)))
+            .when((f["round"] != "") & number.isNull(), _error("round_not_number", f["round"]))
+            .when((f["round"] != "") & ~number.between(*ROUNDS), _error("round_range", number))
+        )
+        rounds = F.when(f["round"] != "", number.cast("string")).otherwise("")
+        return F.struct(f["event"].alias("event"), f["site"].alias("site"), f["date"].alias("date"), rounds.alias("round"), error.alias("error"))
+
+    # The line is cut into fields once, not once for each use of one.
+    return F.transform(F.array(text.csv_fields(F.coalesce(line, F.lit("")))), one)[0]
 
 
 def parsed_games(lines: Column) -> Column:
@@ -50,18 +54,19 @@ def parsed_games(lines: Column) -> Column:
     that are not blank; the result is a code (0, 1, -1 or null)."""
     kept = F.filter(F.split(F.coalesce(lines, F.lit("")), LINE_ENDS), lambda x: ~x.rlike(r"^\s*$"))
 
-    def one(line: Column, i: Column) -> Column:
-        fields = text.csv_fields(line)
+    def one(fields: Column, i: Column) -> Column:
         f = padded(fields, GAME)
         error = F.when(text.too_many(fields, len(GAME)), _error("game_fields", F.size(fields), i + 1)).when(~text.result_is_valid(f["result"]), _error("game_result", f["result"], i + 1))
         return F.struct(*[(text.result_code(f[n]) if n == "result" else f[n]).alias(n) for n in GAME], error.alias("error"))
 
-    return F.transform(kept, one)
+    return F.transform(F.transform(kept, text.csv_fields), one)
 
 
 def checked(requests: DataFrame) -> DataFrame:
     """request, images, meta, games, width and the first error (code, line, got) or null."""
-    rows = requests.select("request", "images", parsed_meta(F.col("meta_text")).alias("meta"), parsed_games(F.col("games_text")).alias("games"), beam_width(F.col("beam_choice")).alias("width"))
+    parsed = F.struct(parsed_meta(F.col("meta_text")).alias("meta"), parsed_games(F.col("games_text")).alias("games"), beam_width(F.col("beam_choice")).alias("width"))
+    # An array of one: filters on the error stay above it, and nothing is parsed twice.
+    rows = requests.select("request", "images", F.explode_outer(F.array(parsed)).alias("_c")).select("request", "images", "_c.*")
     n = F.when(F.col("images").isNull(), 0).otherwise(F.size("images"))
     error = (
         F.when(n < 1, _error("no_images", n))
