@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions import rules
 from plyframe.operators import decode, difference
+from plyframe.sources.shared import shared_folder
 
 from . import adapters
 
@@ -144,7 +147,10 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Computed half-moves against a copy in which some kazans are one too many,
     some moves are not told, some rows are missing and some are there twice."""
-    told = _told(spark, sf_dir)
+    # Games are folded once, not once for each side of the difference.
+    folder = f"{shared_folder(spark)}/told-{uuid.uuid4().hex}"
+    _told(spark, sf_dir).write.parquet(folder)
+    told = spark.read.parquet(folder)
     at = lambda a, b, m: (F.col("user_id") * a + F.col("ply") * b) % m == 0
     spoilt = told.withColumns({"p1_kazan": F.col("p1_kazan") + at(7, 1, 50).cast("int"), "move": F.when(~at(3, 1, 70), F.col("move"))}).filter(~at(1, 1, 97))
     found = difference.difference(told, spoilt.unionByName(spoilt.filter(at(1, 5, 89))), ["user_id", "ply"])
