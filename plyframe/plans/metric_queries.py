@@ -91,7 +91,9 @@ def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lambda down: F.array(*[F.struct(tilt.alias("slope"), (down + band * 700.0 + key % 11).alias("offset")) for band in range(2)])
     grid = F.struct(x0.alias("x0"), F.transform(x0, lambda x: x + 240 + key % 5).alias("x1"), lines(60.0).alias("top"), lines(390.0).alias("bottom"), (28.0 + key % 7 * 0.5).alias("cell"))
     page = F.struct((1500 - key % 4 * 150).cast("int").alias("height"), (1300 - key % 3 * 100).cast("int").alias("width"))
-    return adapters.table(spark, sf_dir, "supplier").select("s_suppkey", grid.alias("grid"), page.alias("page"))
+    # The file is small and the boxes are many: pages are dealt to all cores first.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return adapters.table(spark, sf_dir, "supplier").repartition(parts, "s_suppkey").select("s_suppkey", grid.alias("grid"), page.alias("page"))
 
 
 def layout_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
