@@ -9,8 +9,8 @@ of the run that it starts within it knows neither: those rows pass on undecided,
 while the task before adds a row for each of least_docs documents to the sums.  The
 totals of such hashes (two per task, and one per HOLD rows, at most) are counted,
 and while they are as few as that makes them broadcast to the tasks that read the
-undecided rows, so that a hash of very many rows is never dealt to one task; beyond
-MOST_BROADCAST they are joined.
+rows found, once for decided and undecided ones, so that a hash of very many rows is
+never dealt to one task; beyond MOST_BROADCAST the undecided ones are joined.
 """
 
 from __future__ import annotations
@@ -123,21 +123,10 @@ def repeated(rows: DataFrame, hashes: list[str], least_docs: int, name: str, lar
     totals = written(totals, f"{name}-totals")
     if totals.count() > MOST_BROADCAST:
         later = edge.join(totals, hashes).select(*fields, "first_doc")
-    else:
-        told = rows.sparkSession.sparkContext.broadcast({tuple(r[h] for h in hashes): r["first_doc"] for r in totals.collect()})
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
-                n = batch.num_rows
-                new = np.ones(n, bool)
-                new[1:] = np.logical_or.reduce([x[h][1:] != x[h][:-1] for h in hashes])
-                first = np.flatnonzero(new)
-                got = [told.value.get(tuple(int(x[h][i]) for h in hashes)) for i in first]
-                each = np.repeat(np.array([0 if g is None else g for g in got], np.int64), np.diff([*first, n]))
-                pick = np.repeat(np.array([g is not None for g in got], bool), np.diff([*first, n]))
-                if pick.any():
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x[f][pick]) for f in fields], pa.array(each[pick])], names=[*fields, "first_doc"])
-
-        later = edge.mapInArrow(look_up, f"{kinds}, first_doc long")
-    return found.filter(F.col("state") == DECIDED).select(*fields, "first_doc").unionByName(later)
+        return found.filter(F.col("state") == DECIDED).select(*fields, "first_doc").unionByName(later)
+    # One reading of all rows: what is decided stays, the others meet their totals.
+    told = F.broadcast(totals.select(*[F.col(h).alias(f"_{h}") for h in hashes], F.col("first_doc").alias("_first")))
+    same = [F.col(h) == F.col(f"_{h}") for h in hashes]
+    rows = found.filter(F.col("state") != SUMMED).join(told, [*same, F.col("state") == UNDECIDED], "left")
+    known = F.when(F.col("state") == DECIDED, F.col("first_doc")).otherwise(F.col("_first"))
+    return rows.select(*fields, known.alias("first_doc")).filter("first_doc is not null")
