@@ -48,10 +48,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that written() returned and nobody reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        removed(df.sparkSession, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import dropped, slices, text_or_empty, written
+from ._shared import dropped, removed, shared_path, slices, text_or_empty, written
 
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 8 << 20
@@ -109,7 +109,10 @@ def chunks(text: str) -> list[str]:
 
 
 def blocks(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Rows (block, id, codes) of documents and (block, words, counts) of block dictionaries."""
+    """Rows (block, id, low, high) of documents, with the halves of their codes, and (block,
+    words, counts) of block dictionaries; `kind` is 'texts' or 'words'."""
+    names_of = ["block", "id", "low", "high", "words", "counts", "kind"]
+    shorts = lambda x: pa.array(x.astype(np.uint16).view(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = encoders(names)[4]
@@ -123,22 +126,29 @@ def blocks(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block
                     parts.append(pa.array([w for s in split for w in s], pa.string()))
                 offsets = np.zeros(n + 1, np.int32)
                 np.cumsum(found, out=offsets[1:])
+                offsets = pa.array(offsets)
                 coded = pa.concat_arrays(parts).dictionary_encode()
-                counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                codes = coded.indices.to_numpy()
+                counts = np.bincount(codes, minlength=len(coded.dictionary))
                 size = len(coded.dictionary)
                 one = np.array([0, size], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), coded.indices.cast(pa.int32())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))],
-                    names=["block", "id", "codes", "words", "counts"],
+                    [pa.array([block] * n, pa.int64()), batch.column("id"), *[pa.ListArray.from_arrays(offsets, shorts(x)) for x in (codes & 0xFFFF, codes >> 16)], pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())), pa.array(["texts"] * n)],
+                    names=names_of,
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(one), coded.dictionary), pa.ListArray.from_arrays(pa.array(one), pa.array(counts, pa.int64()))],
-                    names=["block", "id", "codes", "words", "counts"],
+                    [pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.list_(pa.int16()))] * 2, pa.ListArray.from_arrays(pa.array(one), coded.dictionary), pa.ListArray.from_arrays(pa.array(one), pa.array(counts, pa.int64())), pa.array(["words"])],
+                    names=names_of,
                 )
                 block += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "block long, id long, codes array<int>, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "block long, id long, low array<short>, high array<short>, words array<string>, counts array<long>, kind string")
+
+
+def codes_of(low: Column, high: Column) -> Column:
+    """The codes whose halves these are: halves take less of a shuffle than whole codes."""
+    return F.zip_with(low, high, lambda a, b: F.shiftleft(b.cast("int"), 16).bitwiseOR(a.cast("int").bitwiseAND(0xFFFF)))
 
 
 def encode(words: DataFrame, names: Tokenizers) -> DataFrame:
@@ -250,12 +260,16 @@ def pair_counts(chunk_links: DataFrame) -> DataFrame:
 
 
 def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (block, id, codes) and dictionaries (block, code, entry), an entry being
-    what a chunk adds to a text: mark (n_a and n_best in the halves of a long; null
-    where it makes the text have no tokens), count_sum and groups."""
-    kept = written(blocks(docs, names, id_col, text_col, block_bytes), "alignment-blocks")
-    texts = kept.filter(F.col("codes").isNotNull()).select("block", "id", "codes")
-    dictionaries = kept.filter(F.col("words").isNotNull()).select("block", "words", "counts")
+    """Texts (block, id, low, high) and entries (block, code, mark, count_sum, groups),
+    what a chunk adds to a text: mark is n_a and n_best in the halves of a long, and null
+    where it makes the text have no tokens."""
+    spark = docs.sparkSession
+    folder, both = shared_path(spark, "alignment-blocks"), blocks(docs, names, id_col, text_col, block_bytes)
+    # In two folders: the dictionaries go before the texts are shuffled.
+    both.write.partitionBy("kind").option("compression", "zstd").parquet(folder)
+    kept = spark.read.schema(both.schema).parquet(folder)
+    texts = kept.filter(F.col("kind") == "texts").select("block", "id", "low", "high")
+    dictionaries = kept.filter(F.col("kind") == "words").select("block", "words", "counts")
     entries = dictionaries.select("block", F.posexplode("words").alias("code", "word"))
     counted = dictionaries.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))).groupBy("word").agg(F.sum("n").alias("n"))
     words = written(encode(counted, names).withColumn("key", F.monotonically_increasing_id()), "alignment-words")
@@ -264,7 +278,7 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
     sized = dealt.select("key", "word", "n", "ok", F.size("a").alias("n_a"))
     found = written(sized.join(aligned(dealt), "key", "left").drop("key"), "alignment-forms")
     dropped(words)
-    forms = found if found.filter(~F.col("ok")).isEmpty() else _without_bad(found, entries, texts)
+    forms = found if found.filter(~F.col("ok")).isEmpty() else _without_bad(found, entries, texts.select("block", codes_of(F.col("low"), F.col("high")).alias("codes")))
     pairs = written(pair_counts(forms.filter(F.size("links") > 0).select("n", "links")), "alignment-pairs")
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
@@ -278,9 +292,10 @@ def _tables(docs: DataFrame, names: Tokenizers, id_col: str, text_col: str, bloc
     )
     # A text has fewer than 2^31 tokens, so sums of marks are marks of sums.
     mark = F.shiftleft(F.col("n_a").cast("long"), 32) + F.col("n_best")
-    facts = facts.select("word", F.struct(mark.alias("mark"), "count_sum", "groups").alias("entry"))
-    entry = written(entries.join(facts, "word").select("block", "code", "entry"), "alignment-entries")
+    facts = facts.select("word", mark.alias("mark"), "count_sum", "groups")
+    entry = written(entries.join(facts, "word").select("block", "code", "mark", "count_sum", "groups"), "alignment-entries")
     dropped(found)
+    removed(spark, f"{folder}/kind=words")
     return texts, entry
 
 
@@ -290,13 +305,14 @@ def align(docs: DataFrame, names: Tokenizers | None = None, id_col: str = "doc_i
     names = names or public_pair()
     with _plans_that_keep_partitions(docs.sparkSession):
         texts, entry = _tables(docs, names, id_col, text_col, block_bytes)
-    together = entry.unionByName(texts.select("block", F.lit(-1).alias("code"), F.struct("id", "codes").alias("doc")), allowMissingColumns=True)
+    together = entry.unionByName(texts.select("block", F.lit(-1).alias("code"), F.struct("id", "low", "high").alias("doc")), allowMissingColumns=True)
     n_blocks = texts.agg(F.count_distinct("block")).first()[0]
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // BLOCKS_PER_TASK))
-    whole = together.repartition(tasks, "block").sortWithinPartitions("block", "code").groupBy("block").agg(F.collect_list("doc").alias("docs"), F.array_sort(F.collect_list(F.when(F.col("code") >= 0, F.struct("code", "entry")))).alias("entries"))
+    whole = together.repartition(tasks, "block").sortWithinPartitions("block", "code").groupBy("block").agg(F.collect_list("doc").alias("docs"), F.array_sort(F.collect_list(F.when(F.col("code") >= 0, F.struct("code", "mark", "count_sum", "groups")))).alias("entries"))
+    whole = whole.select("entries", F.transform("docs", lambda d: F.struct(d["id"].alias("id"), codes_of(d["low"], d["high"]).alias("codes"))).alias("docs"))
 
     def facts_of(d: Column) -> Column:
-        of = lambda c: F.get(F.col("entries"), c)["entry"]
+        of = lambda c: F.get(F.col("entries"), c)
         total = lambda name: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda s, c: s + of(c)[name])
         form = F.array_join(F.transform(d["codes"], lambda c: of(c)["groups"]), ";")
         return F.struct(d["id"].alias("id"), total("mark").alias("mark"), total("count_sum").alias("count_sum"), form.alias("form"))
